@@ -12,6 +12,7 @@ from lateralis.llm.chat_format import format_conversations, read_back
 from lateralis.llm.decontaminate import decontaminate
 from lateralis.llm.exact_dedup import exact_dedup
 from lateralis.llm.license_scan import scan
+from lateralis.llm.line_dedup import line_dedup
 from lateralis.llm.quality import classify, held_out, train
 
 
@@ -59,6 +60,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2("deduped.text", 256).alias("kept_sha256"),
+        F.length("deduped.text").cast("long").alias("kept_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 OP5_SQL = r"""
