@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lateralis.llm.shared import named, stage
+
 #: 2**26 bits are at most 2**20 words (16 MB with their keys): the bound of every broadcast here.
 MAX_BITS = 1 << 26
 
@@ -37,3 +39,18 @@ def tested(rows: DataFrame, column: Column, words: DataFrame, bits: int, into: s
         bit = F.call_function("getbit", F.col(mask), _cell(column, i, bits).bitwiseAND(F.lit(63)).cast("int"))
         hits = hits & (F.coalesce(bit, F.lit(0)) == 1)
     return out.withColumn(into, hits).drop(*[f"__{x}{i}__" for i in range(hashes) for x in ("word", "mask")])
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose key is not in ``gone``; only rows that the filter cannot clear are shuffled.
+
+    ``gone`` is a staged table; rows with a null key stay.
+    """
+    bits = bits_for(gone.count())
+    words = stage(build(gone, column, bits), "gone-filter")
+    into, own = "__maybe__", "__key__"
+    split = tested(rows.withColumn(own, key), F.col(own), words, bits, into)
+    side = gone.select(F.col(column).alias(own)).distinct()
+    met = split.filter(into).join(side, own, "left_anti")
+    columns = [named(c) for c in rows.columns]
+    return split.filter(~F.col(into)).select(*columns).unionByName(met.select(*columns))

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lateralis.llm import bloom
 from lateralis.llm.shared import documents_of, named, smaller_batches, stage
 from lateralis.llm.wordhash import blocks, words_of
 
@@ -236,3 +237,11 @@ def decontaminate(
         "doc_id", "n_words", F.expr(COVERED).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         "items", "near_items", "spans", (F.size("items") > 0).alias("contaminated"),
     )
+
+
+def remove_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows in which a benchmark window occurs."""
+    row = F.xxhash64(named(key), F.coalesce(named(text), F.lit("")))  # rows with equal key and text share their fate
+    found = decontaminate(docs.select(row.alias("row"), named(text).alias("text")), bench, key="row")
+    dirty = stage(found.filter("contaminated").select("doc_id"), "contaminated")
+    return bloom.without(docs, row, dirty, "doc_id")

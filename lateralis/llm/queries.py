@@ -13,6 +13,7 @@ from lateralis.llm.decontaminate import decontaminate
 from lateralis.llm.exact_dedup import exact_dedup
 from lateralis.llm.license_scan import scan
 from lateralis.llm.line_dedup import line_dedup
+from lateralis.llm.near_dedup import near_classes
 from lateralis.llm.quality import classify, held_out, train
 
 
@@ -60,6 +61,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("d").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
