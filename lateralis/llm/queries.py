@@ -15,6 +15,7 @@ from lateralis.llm.license_scan import scan
 from lateralis.llm.line_dedup import line_dedup
 from lateralis.llm.near_dedup import near_classes
 from lateralis.llm.quality import classify, held_out, train
+from lateralis.llm.secret_scan import as_text, secret_spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return secret_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(as_text(base), 256).alias("base_sha256"),
+        as_text(F.col("spans")).alias("spans"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
@@ -79,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
