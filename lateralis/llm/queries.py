@@ -14,6 +14,7 @@ from lateralis.llm.exact_dedup import exact_dedup
 from lateralis.llm.license_scan import scan
 from lateralis.llm.line_dedup import line_dedup
 from lateralis.llm.near_dedup import near_classes
+from lateralis.llm.pitman_yor import score
 from lateralis.llm.quality import classify, held_out, train
 from lateralis.llm.secret_scan import as_text, secret_spans
 
@@ -58,6 +59,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return secret_spans(table(spark, sf_dir, "documents")).select(
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_model": op6_language_model,
     "op7_secret_scan": op7_secret_scan,
     "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
