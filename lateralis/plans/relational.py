@@ -201,9 +201,9 @@ def nearest_ties(t):
     return distances.nearest(vector_pairs(t)).select("a", "b", "dist")
 
 
-@query(DIST_SQL + "SELECT a, b, dist FROM d WHERE dist <= 0.9 AND a < b")
+@query(DIST_SQL + "SELECT a, b, dist FROM d WHERE dist <= 1.2 AND a < b")
 def within_threshold(t):
-    return distances.within(vector_pairs(t), 0.9).filter("a < b").select("a", "b", "dist")
+    return distances.within(vector_pairs(t), 1.2).filter("a < b").select("a", "b", "dist")
 
 
 @query(DIST_SQL + """SELECT label, min(dist) AS min, round(quantile_cont(dist, 0.25), 6) AS q1, round(quantile_cont(dist, 0.5), 6) AS median,

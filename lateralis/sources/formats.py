@@ -67,34 +67,31 @@ def partitions_of(df: DataFrame, column: str) -> DataFrame:
 
 def parse_newick(text: str) -> list[tuple[int, int | None, int, float | None, str | None]]:
     """(edge, parent_edge, n_children, length, label) of a Newick tree, edges numbered in reading order from 1."""
-    rows: list[list] = []
-    stack: list[int | None] = [None]
-    last: int | None = None
+    rows: list[list] = [[0, None, None, None]]  # id, parent, length, label; 0 is the root, which has no edge
+    stack: list[int] = []  # open nodes
+    last: int | None = None  # the node that a label or length belongs to
+
+    def new() -> int:
+        rows.append([len(rows), stack[-1] if stack else 0, None, None])
+        return len(rows) - 1
+
     for token in re.findall(r"'(?:[^']|'')*'|[(),;]|[^(),;]+", text.strip()):
         if token == "(":
-            if len(stack) > 1 or rows:
-                rows.append([len(rows) + 1, stack[-1], 0, None, None])
-                stack.append(len(rows))
-            else:
-                rows.append([0, None, 0, None, None])  # the root, no edge of its own
-                stack.append(0)
-            last = None
-        elif token in ",;":
+            stack.append(new() if stack else 0)
             last = None
         elif token == ")":
             last = stack.pop()
-        else:
-            label, _, length = token.strip().rpartition(":") if ":" in token else (token.strip(), "", "")
-            if last is None:
-                rows.append([len(rows), stack[-1], 0, None, None] if rows and rows[0][0] == 0 else [len(rows) + 1, stack[-1], 0, None, None])
-                last = rows[-1][0]
-            row = next(r for r in rows if r[0] == last)
-            row[3], row[4] = (float(length) if length else None), (label.strip("'") or None)
-    children: dict[int, int] = {}
-    for r in rows:
-        if r[1] is not None:
-            children[r[1]] = children.get(r[1], 0) + 1
-    return [(r[0], r[1] or None, children.get(r[0], 0), r[3], r[4]) for r in rows if r[0] != 0]
+        elif token in ",;":
+            last = None
+        elif token.strip():
+            last = new() if last is None else last
+            label, colon, length = token.strip().partition(":") if token[0] != "'" else (token, "", "")
+            rows[last][3] = label.strip().strip("'") or rows[last][3]
+            rows[last][2] = float(length) if colon else rows[last][2]
+    children = [0] * len(rows)
+    for r in rows[1:]:
+        children[r[1]] += 1
+    return [(i, p or None, children[i], length, label) for i, p, length, label in rows[1:]]
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
