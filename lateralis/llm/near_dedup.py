@@ -9,7 +9,9 @@ k ln k, not their product.
 
 Texts of equal word sequences are one node from the start. Nodes that share a band are candidates:
 in a small bucket every pair, in a large one each member with the most central member, and then,
-among what is still unlinked there, with the most central of those. Candidates are verified by exact
+among what is still unlinked there, with the most central of those. A member that is still outside
+its bucket's main component is tried with all members of other components, unless so many of its
+units occur nowhere else that it cannot be similar enough to any. Candidates are verified by exact
 similarity; classes are the connected components of what passes.
 """
 
@@ -194,6 +196,59 @@ def with_pivots(members: DataFrame, label: str) -> DataFrame:
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
+def large_buckets(members: DataFrame, comps: DataFrame, small: int) -> DataFrame:
+    """(bucket, node, mass, comp, main) of the large buckets; main is the component of the most central member."""
+    large = members.filter(F.col("n") > small).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    large = stage(large.select("bucket", "node", "mass", "comp"), "large-buckets")
+    best = F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp"))
+    return large.join(stage(large.groupBy("bucket").agg(best["comp"].alias("main")), "main-components"), "bucket")
+
+
+def later_pivots(large: DataFrame) -> DataFrame:
+    """(a, b): each member with the most central of those outside the main component, if in another component."""
+    best = F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp")).alias("best")
+    pivots = stage(large.filter("comp <> main").groupBy("bucket").agg(best).select(
+        "bucket", (-F.col("best.x")).alias("pivot"), F.col("best.comp").alias("pivot_comp")), "stray-pivots")
+    return large.join(pivots, "bucket").filter("comp <> pivot_comp").select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def single_units(sets: DataFrame) -> DataFrame:
+    """(node, size, lone): how many units each node has, and how many of them no other node of ``sets`` has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, packed in zip(*batch.to_pydict().values(), strict=True):
+                unit = np.frombuffer(packed, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), node)), pa.array(unit)], ["node", "unit"])
+
+    rows = sets.mapInArrow(spread, "node long, unit long")
+    once = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    lone = once.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    size = (F.octet_length("units") / 8).cast("long").alias("size")
+    return sets.select("node", size).join(lone, "node", "left").select("node", "size", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def stray_pairs(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): members outside their bucket's main component with all members of other components.
+
+    With c of its n units shared by anyone, a member has a similarity of at most c / (n + m - c) to one
+    of m units; where that is under ``similarity`` for the smallest member of the bucket, no pair is made.
+    """
+    large = stage(large, "main-buckets")
+    open_ = stage(large.filter("comp <> main").select("bucket").distinct(), "open-buckets")
+    held = stage(large.join(open_, "bucket", "left_semi"), "open-members")
+    nodes = stage(held.select("node").distinct(), "open-nodes")
+    sized = stage(single_units(sets.join(nodes, "node", "left_semi").select("node", "units")), "lone-units")
+    held = held.join(sized, "node")
+    least = stage(held.groupBy("bucket").agg(F.min("size").alias("least")), "least-sizes")
+    shared = F.col("size") - F.col("lone")
+    able = held.filter("comp <> main").join(least, "bucket").filter(shared * (1 + 1 / similarity) - F.col("size") >= F.col("least") - 1e-6)
+    able = stage(able.select("bucket", F.col("node").alias("stray"), F.col("comp").alias("stray_comp")), "able-strays")
+    return held.join(able, "bucket").filter("comp <> stray_comp").select(
+        F.least("node", "stray").alias("a"), F.greatest("node", "stray").alias("b")).distinct()
+
+
 def near_classes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -242,18 +297,14 @@ def near_classes(
     tried = stage(candidate_pairs(members, small).distinct(), "pairs")
     links = verified(tried)
     comps = components(links)
-    # large buckets that still hold several components: try their strays among each other and with the rest
-    large = members.filter(F.col("n") > small).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    large = stage(large, "large-buckets")
-    main = stage(large.groupBy("bucket").agg(
-        F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp"))["comp"].alias("main")), "main-components")
-    strays = large.join(main, "bucket").filter("comp <> main")
-    pivots = stage(strays.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp")).alias("best")).select(
-        "bucket", (-F.col("best.x")).alias("pivot"), F.col("best.comp").alias("pivot_comp")), "stray-pivots")
-    more = large.join(pivots, "bucket").filter("comp <> pivot_comp").select(
-        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    more = stage(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
+    more = stage(later_pivots(large_buckets(members, comps, small)).join(tried, ["a", "b"], "left_anti"), "more-pairs")
     late = verified(more)
+    if not late.isEmpty():
+        links = stage(links.unionByName(late), "all-links")
+        comps = components(links)
+    tried = tried.unionByName(more)
+    rest = stray_pairs(large_buckets(members, comps, small), sets, similarity).join(tried, ["a", "b"], "left_anti")
+    late = verified(stage(rest, "stray-pairs"))
     if not late.isEmpty():
         links = stage(links.unionByName(late), "all-links")
         comps = components(links)

@@ -279,7 +279,8 @@ def near_reference(rows):
     return collections.Counter((rows[i][0], min((x for x in classes[find(i)] if x is not None), default=None), len(classes[find(i)])) for i in range(len(rows)))
 
 
-def test_near_dedup(spark, docs, empty):
+@pytest.mark.parametrize("small", [8, 2])  # 2: nearly all buckets count as large
+def test_near_dedup(spark, docs, empty, small):
     def edited(text, i, n):
         w = text.split()
         for k in range(n):
@@ -289,7 +290,7 @@ def test_near_dedup(spark, docs, empty):
     base = prose(120, 50)
     rows = [*ROWS, *((200 + i, edited(base, i, i % 5)) for i in range(40)), (300, base.upper()), (301, prose(119, 51)), (302, "one two"), (303, "One, two!")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_dedup.near_classes(df).collect()
+    got = near_dedup.near_classes(df, small=small).collect()
     last = near_dedup.LAST
     assert collections.Counter((None if r.d == last else r.d, None if r.class_id == last else r.class_id, r.class_size) for r in got) == near_reference(rows)
     assert sum(r.kept for r in got) == len({(r.class_id, r.class_size) if r.class_size > 1 else (r.d, r.row) for r in got})
