@@ -10,8 +10,8 @@ k ln k, not their product.
 Texts of equal word sequences are one node from the start. Nodes that share a band are candidates:
 in a small bucket every pair, in a large one each member with the most central member, and then,
 among what is still unlinked there, with the most central of those. A member that is still outside
-its bucket's main component is tried with all members of other components, unless so many of its
-units occur nowhere else that it cannot be similar enough to any. Candidates are verified by exact
+its bucket's main component is tried with all members of other components, unless so many units of
+either occur nowhere else that the two cannot be similar enough. Candidates are verified by exact
 similarity; classes are the connected components of what passes.
 """
 
@@ -229,24 +229,43 @@ def single_units(sets: DataFrame) -> DataFrame:
     return sets.select("node", size).join(lone, "node", "left").select("node", "size", F.coalesce("lone", F.lit(0)).alias("lone"))
 
 
+def able_members(held: DataFrame, sets: DataFrame, similarity: float, label: str) -> DataFrame:
+    """The members that can be similar to some member of their bucket, with size and shared (units).
+
+    A member of n units, c of which any other member has, can share at most c of them: with one of m
+    units it has a similarity of at most c / (n + m - c). Members for which that is too little even
+    with the smallest one of their bucket can have no link in it and go, and then buckets without strays.
+    """
+    nodes = stage(held.select("node").distinct(), f"open-nodes-{label}")
+    counted = single_units(sets.join(nodes, "node", "left_semi").select("node", "units"))
+    counted = stage(counted.select("node", "size", (F.col("size") - F.col("lone")).alias("shared")), f"shared-units-{label}")
+    sized = stage(held.select("bucket", "node", "comp", "main").join(counted, "node"), f"sized-{label}")
+    least = stage(sized.groupBy("bucket").agg(F.min("size").alias("least")), f"least-sizes-{label}")
+    able = sized.join(least, "bucket").filter(F.col("shared") * (1 + 1 / similarity) >= F.col("size") + F.col("least") - 1e-6)
+    able = stage(able.drop("least"), f"able-{label}")
+    open_ = stage(able.filter("comp <> main").select("bucket").distinct(), f"open-buckets-{label}")
+    return stage(able.join(open_, "bucket", "left_semi"), f"open-members-{label}")
+
+
 def stray_pairs(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): members outside their bucket's main component with all members of other components.
+    """(a, b): members outside their bucket's main component with those members of other components that
+    the numbers of shared units of both allow (see ``able_members``), each pair in one of its buckets.
 
-    With c of its n units shared by anyone, a member has a similarity of at most c / (n + m - c) to one
-    of m units; where that is under ``similarity`` for the smallest member of the bucket, no pair is made.
+    Units are counted twice, the second time among the members that the first left.
     """
     large = stage(large, "main-buckets")
     open_ = stage(large.filter("comp <> main").select("bucket").distinct(), "open-buckets")
     held = stage(large.join(open_, "bucket", "left_semi"), "open-members")
-    nodes = stage(held.select("node").distinct(), "open-nodes")
-    sized = stage(single_units(sets.join(nodes, "node", "left_semi").select("node", "units")), "lone-units")
-    held = held.join(sized, "node")
-    least = stage(held.groupBy("bucket").agg(F.min("size").alias("least")), "least-sizes")
-    shared = F.col("size") - F.col("lone")
-    able = held.filter("comp <> main").join(least, "bucket").filter(shared * (1 + 1 / similarity) - F.col("size") >= F.col("least") - 1e-6)
-    able = stage(able.select("bucket", F.col("node").alias("stray"), F.col("comp").alias("stray_comp")), "able-strays")
-    return held.join(able, "bucket").filter("comp <> stray_comp").select(
-        F.least("node", "stray").alias("a"), F.greatest("node", "stray").alias("b")).distinct()
+    for label in ("first", "second"):
+        held = able_members(held, sets, similarity, label)
+    own = stage(held.groupBy("node").agg(F.collect_set("bucket").alias("own")), "own-buckets")  # one of each band at most
+    held = stage(held.join(own, "node"), "able-members")
+    stray = held.filter("comp <> main").select("bucket", *[F.col(c).alias(f"stray_{c}") for c in ("node", "comp", "size", "shared", "own")])
+    met = held.join(stray, "bucket").filter(
+        (F.col("comp") != F.col("stray_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("stray_node")))
+        & (F.least("shared", "stray_shared") * (1 + 1 / similarity) >= F.col("size") + F.col("stray_size") - 1e-6)
+        & (F.array_min(F.array_intersect("own", "stray_own")) == F.col("bucket")))
+    return met.select(F.least("node", "stray_node").alias("a"), F.greatest("node", "stray_node").alias("b"))
 
 
 def near_classes(
