@@ -10,6 +10,7 @@ whatever stands between the words, and are never suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,9 +133,15 @@ def detections(low: bytes, ordered: list[Rule]) -> list[tuple[int, int, str, int
                 label = rule.label + (f"-{version.decode()}" if version else "")
                 found.append((m.start(), m.end(), label, rule.priority, rule.confidence))
     kept: list[tuple[int, int, str, int, float]] = []
+    starts: list[int] = []  # of the accepted intervals that lie in no other; their ends ascend too
+    ends: list[int] = []
     for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+        at = bisect_right(starts, d[0])
+        if at and ends[at - 1] >= d[1]:
+            continue
+        kept.append(d)
+        first, last = bisect_left(starts, d[0]), bisect_right(ends, d[1])
+        starts[first:max(first, last)], ends[first:max(first, last)] = [d[0]], [d[1]]
     return sorted(kept)
 
 
