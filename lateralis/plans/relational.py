@@ -396,18 +396,15 @@ def substr_gene(t):
     return bases(t).select("doc_id", sequences.gene(F.col("seq"), F.lit(10), F.lit(39), strand).alias("gene"))
 
 
-INTERVAL_SQL = """WITH p AS (SELECT doc_id gene, sum(n_chars) OVER (ORDER BY doc_id) - n_chars + 1 s, sum(n_chars) OVER (ORDER BY doc_id) e FROM documents WHERE doc_id < 200),
-l AS (SELECT c_custkey locus, c_custkey * 700 + 1 s, c_custkey * 700 + 5000 e FROM customer WHERE c_custkey < 300)
+INTERVAL_SQL = """WITH p AS (SELECT doc_id gene, doc_id * 400 + 1 s, doc_id * 400 + n_chars e FROM documents),
+l AS (SELECT c_custkey locus, c_custkey * 300 + 1 s, c_custkey * 300 + 5000 e FROM customer)
 """
 
 
 def ranges(t: Tables) -> tuple[DataFrame, DataFrame]:
-    d = t.documents.filter("doc_id < 200")
-    end = F.sum("n_chars").over(W.orderBy("doc_id"))  # 200 rows
-    genes = d.select(F.col("doc_id").alias("gene"), (end - F.col("n_chars") + 1).alias("start"), end.alias("end"))
-    loci = t.customer.filter("c_custkey < 300").select(
-        F.col("c_custkey").alias("locus"), (F.col("c_custkey") * 700 + 1).alias("start"), (F.col("c_custkey") * 700 + 5000).alias("end"))
-    return loci, genes
+    k, start = F.col("c_custkey"), F.col("doc_id") * 400
+    genes = t.documents.select(F.col("doc_id").alias("gene"), (start + 1).alias("start"), (start + F.col("n_chars")).alias("end"))
+    return t.customer.select(k.alias("locus"), (k * 300 + 1).alias("start"), (k * 300 + 5000).alias("end")), genes
 
 
 @query(INTERVAL_SQL + "SELECT locus, gene FROM l JOIN p ON p.s >= l.s AND p.s <= l.e")
