@@ -185,13 +185,13 @@ def candidate_pairs(buckets: DataFrame, small: int) -> DataFrame:
     little = buckets.filter(F.col("n") <= small).select("bucket", "node")
     pairs = little.select("bucket", F.col("node").alias("a")).join(
         little.select("bucket", F.col("node").alias("b")), "bucket").filter("a < b").select("a", "b")
-    return pairs.unionByName(with_pivots(buckets.filter(F.col("n") > small), "large"))
+    return pairs.unionByName(with_pivots(buckets.filter(F.col("n") > small)))
 
 
-def with_pivots(members: DataFrame, label: str) -> DataFrame:
+def with_pivots(members: DataFrame) -> DataFrame:
     """Each member with its bucket's member that meets most others over all its buckets, then the smallest."""
-    pivots = stage(members.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("node")).alias("x"))).alias("best")).select(
-        "bucket", (-F.col("best.x")).alias("pivot")), f"pivots-{label}")
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("node")).alias("x"))).alias("best")).select(
+        "bucket", (-F.col("best.x")).alias("pivot"))
     return members.select("bucket", "node").join(pivots, "bucket").filter("node <> pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
@@ -201,14 +201,14 @@ def large_buckets(members: DataFrame, comps: DataFrame, small: int) -> DataFrame
     large = members.filter(F.col("n") > small).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     large = stage(large.select("bucket", "node", "mass", "comp"), "large-buckets")
     best = F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp"))
-    return large.join(stage(large.groupBy("bucket").agg(best["comp"].alias("main")), "main-components"), "bucket")
+    return large.join(large.groupBy("bucket").agg(best["comp"].alias("main")), "bucket")
 
 
 def later_pivots(large: DataFrame) -> DataFrame:
     """(a, b): each member with the most central of those outside the main component, if in another component."""
     best = F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp")).alias("best")
-    pivots = stage(large.filter("comp <> main").groupBy("bucket").agg(best).select(
-        "bucket", (-F.col("best.x")).alias("pivot"), F.col("best.comp").alias("pivot_comp")), "stray-pivots")
+    pivots = large.filter("comp <> main").groupBy("bucket").agg(best).select(
+        "bucket", (-F.col("best.x")).alias("pivot"), F.col("best.comp").alias("pivot_comp"))
     return large.join(pivots, "bucket").filter("comp <> pivot_comp").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
@@ -236,15 +236,13 @@ def able_members(held: DataFrame, sets: DataFrame, similarity: float, label: str
     units it has a similarity of at most c / (n + m - c). Members for which that is too little even
     with the smallest one of their bucket can have no link in it and go, and then buckets without strays.
     """
-    nodes = stage(held.select("node").distinct(), f"open-nodes-{label}")
-    counted = single_units(sets.join(nodes, "node", "left_semi").select("node", "units"))
-    counted = stage(counted.select("node", "size", (F.col("size") - F.col("lone")).alias("shared")), f"shared-units-{label}")
-    sized = stage(held.select("bucket", "node", "comp", "main").join(counted, "node"), f"sized-{label}")
-    least = stage(sized.groupBy("bucket").agg(F.min("size").alias("least")), f"least-sizes-{label}")
+    counted = stage(single_units(sets.join(held.select("node"), "node", "left_semi").select("node", "units")), f"lone-units-{label}")
+    counted = counted.select("node", "size", (F.col("size") - F.col("lone")).alias("shared"))
+    sized = held.select("bucket", "node", "comp", "main").join(counted, "node")
+    least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
     able = sized.join(least, "bucket").filter(F.col("shared") * (1 + 1 / similarity) >= F.col("size") + F.col("least") - 1e-6)
     able = stage(able.drop("least"), f"able-{label}")
-    open_ = stage(able.filter("comp <> main").select("bucket").distinct(), f"open-buckets-{label}")
-    return stage(able.join(open_, "bucket", "left_semi"), f"open-members-{label}")
+    return able.join(able.filter("comp <> main").select("bucket"), "bucket", "left_semi")
 
 
 def stray_pairs(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -254,11 +252,10 @@ def stray_pairs(large: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     Units are counted twice, the second time among the members that the first left.
     """
     large = stage(large, "main-buckets")
-    open_ = stage(large.filter("comp <> main").select("bucket").distinct(), "open-buckets")
-    held = stage(large.join(open_, "bucket", "left_semi"), "open-members")
+    held = stage(large.join(large.filter("comp <> main").select("bucket"), "bucket", "left_semi"), "open-members")
     for label in ("first", "second"):
         held = able_members(held, sets, similarity, label)
-    own = stage(held.groupBy("node").agg(F.collect_set("bucket").alias("own")), "own-buckets")  # one of each band at most
+    own = held.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # one of each band at most
     held = stage(held.join(own, "node"), "able-members")
     stray = held.filter("comp <> main").select("bucket", *[F.col(c).alias(f"stray_{c}") for c in ("node", "comp", "size", "shared", "own")])
     met = held.join(stray, "bucket").filter(
