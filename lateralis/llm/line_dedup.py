@@ -1,19 +1,27 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are sequences of words. Two lines are the same when their words are, and near when one word
-inserted, deleted or replaced turns one into the other. A line goes when an earlier line of the
-corpus is the same or near; the earliest stays.
+Lines are sequences of words. Two lines are the same when their words are, and near when few words
+inserted, deleted or replaced turn one into the other: one, and if asked one more for each
+``per_edit`` words of the shorter line. A line goes when an earlier line of the corpus is the same or near; the earliest
+stays.
 
-Each distinct line would emit, as hashed keys, all its variants with at most one word deleted. Two
+One edit: each distinct line would emit, as hashed keys, all its variants with at most one word deleted. Two
 lines are near just when one equals a variant of the other, or both lose the word at the same place
 and are then equal; so the earliest line per (variant, place) and the line that equals the variant
 are all that others must be joined with: two minima, no pairs. What they find is verified word by
 word. Only lines that share an unchanged half with another line can have such a partner; only those
 emit variants.
+
+More edits: of two lines within k edits at most 2k pairs of adjacent words of either are not in the
+other, so of each line's first 2k + 1 pairs, in one order for all lines, at least one is common. Pairs
+that are rare in the corpus come first. Lines are joined on these, first each with the earliest of its
+partners, then those that this does not settle with all others of about their length; every candidate
+is verified word by word.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +34,14 @@ from lateralis.llm import bloom
 from lateralis.llm.shared import named, smaller_batches, stage
 from lateralis.llm.wordhash import BASE, LOWER, blocks, buffers, mix, powers, runs, words_of
 
-LINE_TYPE = "d long, row long, line int, h1 long, h2 long, words int, halves array<long>"
+LINE_TYPE = "d long, row long, line int, h1 long, h2 long, words int, halves array<long>, rare array<long>"
 VARIANT_TYPE = "d long, row long, line int, variant long, place int"
 SECOND = np.uint64(0x9E6C63D0876A9A47)
 
 
+SLOT_BITS, MOST_COMMON = 22, 1 << 17  # counters of word pairs in a task, and how many of them are told to all
+
+
 def document_key(key: Column, text: Column) -> Column:
     """Rows with equal key and text are one document here and share its decisions."""
     return F.xxhash64(key, text)
@@ -75,13 +86,60 @@ def half_keys(sums: Sums, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.column_stack(out)
 
 
-def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """(d, row, line, h1, h2, words, halves): every line of at least ``min_words`` words; 128 bits of hash.
+def word_pairs(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of adjacent words of each line, and the line of each."""
+    n = np.maximum(last - first - 1, 0)
+    line = np.repeat(np.arange(len(n)), n)
+    at = first[line] + np.arange(len(line)) - (np.cumsum(n) - n)[line]
+    return mix(h[at] + mix(h[at + 1] ^ SECOND)), line
+
 
-    ``halves`` is empty below ``near_words``. ``docs`` has d, row, text.
+def common_pairs(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the word pairs that are common in lines of ``least`` words, and the logarithm of their counts.
+
+    They only say which pairs are tried last; whatever they are, no near line is lost.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in blocks(batches):
+            h, _, _, first, last = lines_of(batch.column(0))
+            long = last - first >= least
+            slots = (word_pairs(h, first[long], last[long])[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            slot, n = np.unique(slots, return_counts=True)
+            total[slot] += n
+        often = np.flatnonzero(total >= 8 * max(1.0, total.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(total[often])], ["slot", "n"])
+
+    found = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "slot").limit(MOST_COMMON).collect()
+    return np.array([r.slot for r in rows], dtype=np.int64), np.array([r.n.bit_length() for r in rows], dtype=np.uint64)
+
+
+def rare_pairs(h: np.ndarray, first: np.ndarray, last: np.ndarray, edits: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line its first 2 * edits + 1 word pairs in the order of rank and hash, without repeats; pairs per line."""
+    pairs, line = word_pairs(h, first, last)
+    key = (ranks[(pairs >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(56)) | (pairs & np.uint64((1 << 56) - 1))
+    order = np.lexsort((key, line))
+    key, line = key[order], line[order]
+    n = np.maximum(last - first - 1, 0)
+    place = np.arange(len(line)) - (np.cumsum(n) - n)[line]
+    keep = place < 2 * edits[line] + 1
+    keep[1:] &= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    return key[keep], np.bincount(line[keep], minlength=len(n))
+
+
+def lines(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None) -> DataFrame:
+    """(d, row, line, h1, h2, words, halves, rare): every line of at least ``min_words`` words; 128 bits of hash.
+
+    ``halves`` is empty below ``near_words``, ``rare`` below ``per_edit`` or without it. ``docs`` has d, row, text.
     """
+    least = max(per_edit, near_words) if per_edit else 0
+    slots, counts = common_pairs(docs, least) if per_edit else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
+        ranks[slots] = counts
         for batch in blocks(batches):
             h, text, number, first, last = lines_of(batch.column(2))
             n = last - first
@@ -91,12 +149,18 @@ def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
             near = n >= near_words
             halves = half_keys(one, first[near], last[near]).view(np.int64)
             at = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
+            long = (n >= least) & bool(per_edit)
+            rare, each = rare_pairs(h, first[long], last[long], 1 + n[long] // (per_edit or 1), ranks)
+            n_rare = np.zeros(len(n), dtype=np.int64)
+            n_rare[long] = each
+            rare_at = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)),
                 pa.array(number.astype(np.int32)),
                 pa.array(mix(one.run(first, last)).view(np.int64)), pa.array(mix(two.run(first, last)).view(np.int64)),
                 pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(halves.ravel())),
-            ], ["d", "row", "line", "h1", "h2", "words", "halves"])
+                pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare.view(np.int64))),
+            ], ["d", "row", "line", "h1", "h2", "words", "halves", "rare"])
 
     return docs.mapInArrow(split, LINE_TYPE)
 
@@ -145,36 +209,98 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def near_pairs(line: pa.Array, partner: pa.Array) -> pa.Array:
+def within(a: list[bytes], b: list[bytes], edits: int) -> bool:
+    """Whether at most ``edits`` words inserted, deleted or replaced turn a into b."""
+    n, m = len(a), len(b)
+    if abs(n - m) > edits or (Counter(a) & Counter(b)).total() < max(n, m) - edits:
+        return False
+    none = -2 - n - m
+    reach: dict[int, int] = {}  # the furthest place in a, by what the place in b is ahead
+    for e in range(edits + 1):
+        now = {}
+        for ahead in range(-e, e + 1):
+            i = max(reach.get(ahead, none) + 1, reach.get(ahead - 1, none), reach.get(ahead + 1, none) + 1) if e else 0
+            i = min(i, n, m - ahead)
+            while 0 <= i < n and 0 <= i + ahead < m and a[i] == b[i + ahead]:
+                i += 1
+            now[ahead] = i
+        if now.get(m - n, none) >= n:
+            return True
+        reach = now
+    return False
+
+
+def verified(line: Column, partner: Column, per_edit: int | None) -> Column:
     def split(texts: pa.Array) -> list[list[bytes]]:
         data, _ = buffers(texts)
         low, words = LOWER[data], words_of(texts)
         found = [low[s:e].tobytes() for s, e in zip(words.starts, words.ends, strict=True)]
         return [found[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
 
-    return pa.array([within_one(a, b) for a, b in zip(split(line), split(partner), strict=True)], pa.bool_())
-
+    def near_pairs(line: pa.Array, partner: pa.Array) -> pa.Array:
+        both = zip(split(line), split(partner), strict=True)
+        return pa.array([within(a, b, 1 + (min(len(a), len(b)) // per_edit if per_edit else 0)) for a, b in both], pa.bool_())
 
-def verified(line: Column, partner: Column) -> Column:
     return arrow_udf(near_pairs, "boolean")(line, partner)
 
 
 AT = ("d", "row", "line")
 
 
-def line_drops(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 8) -> DataFrame:
+def documents_with(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(d, row, text, asked) of the documents that have one of ``lines`` (d, row, line), staged."""
+    asked = stage(lines.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("asked")), "asked-lines")
+    bits = bloom.bits_for(asked.count())
+    rows = stage(bloom.build(asked, "row", bits), "document-filter")
+    found = bloom.tested(texts, F.col("row"), rows, bits, "maybe").filter("maybe").drop("maybe")
+    return stage(found.dropDuplicates(["d", "row"]).join(asked, ["d", "row"]), "near-documents")
+
+
+def near_lines(pairs: DataFrame, near_docs: DataFrame, per_edit: int | None) -> DataFrame:
+    """(first), staged: the lines of ``pairs`` (first, best) that are near their partner."""
+    split = near_docs.select("d", "row", F.explode("asked").alias("line"), F.split("text", "\n").alias("all"))
+    asked_text = stage(split.select(*AT, F.get("all", F.col("line")).alias("words")), "asked-text")
+    other = asked_text.select(*[F.col(c).alias(f"p_{c}") for c in AT], F.col("words").alias("p_words"))
+    pairs = pairs.select("first.*", *[F.col(f"best.{c}").alias(f"p_{c}") for c in AT])
+    near = pairs.join(asked_text, list(AT)).join(other, [f"p_{c}" for c in AT])
+    near = near.filter(verified(F.col("words"), F.col("p_words"), per_edit)).select(F.struct(*AT).alias("first"))
+    return stage(near.distinct(), "near-lines")
+
+
+def near_by_rare_pairs(texts: DataFrame, distinct: DataFrame, near: DataFrame, per_edit: int) -> DataFrame:
+    """(first), staged: ``near`` and the lines that are near an earlier one by more than one edit."""
+    each = distinct.filter(F.size("rare") > 0).select("first", "words", F.explode("rare").alias("pair"))
+    shared = each.groupBy("pair").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    held = stage(each.join(stage(shared, "shared-pairs"), "pair"), "rare-pairs")
+
+    def settled(candidates: DataFrame, near: DataFrame) -> DataFrame:
+        pairs = stage(candidates.select("first", "best").distinct(), "near-pairs")
+        both = pairs.select("first.*").unionByName(pairs.select("best.*"))
+        return stage(near.unionByName(near_lines(pairs, documents_with(texts, both), per_edit)), "near-so-far")
+
+    near = settled(held.filter("best < first").join(near, "first", "left_anti"), near)
+    other = held.select("pair", F.col("first").alias("other"), F.col("words").alias("other_words"))
+    open_ = held.join(near, "first", "left_anti").filter("best < first").join(other, "pair")
+    alike = F.abs(F.col("words") - F.col("other_words")) <= 1 + F.floor(F.least("words", "other_words") / per_edit)
+    open_ = open_.filter((F.col("other") < F.col("first")) & (F.col("other") != F.col("best")) & alike)
+    return settled(open_.select("first", F.col("other").alias("best")), near)
+
+
+def line_drops(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 8, per_edit: int | None = None
+) -> DataFrame:
     """(d, row, drop): per document the numbers of the lines that go, staged; see ``line_dedup``."""
     smaller_batches(docs.sparkSession)
     whole = F.coalesce(named(text), F.lit(""))
     texts = docs.select(
         F.coalesce(named(key).cast("long"), F.lit((1 << 63) - 1)).alias("d"),  # null keys come last
         document_key(named(key), whole).alias("row"), whole.alias("text"))
-    found = stage(lines(texts, min_words, near_words), "lines")
+    found = stage(lines(texts, min_words, near_words, per_edit), "lines")
     place = F.struct(*AT)
     distinct = stage(
         found.groupBy("h1", "h2").agg(
             F.min(place).alias("first"), F.max(place).alias("last"), F.first("words").alias("words"),
-            F.first("halves").alias("halves")),
+            F.first("halves").alias("halves"), F.first("rare").alias("rare")),
         "distinct-lines")
 
     # lines that share a half with another distinct line
@@ -186,12 +312,7 @@ def line_drops(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     halves = stage(bloom.build(shared, "half", bits), "half-filter")
     each = distinct.select("first", F.explode(F.array_distinct("halves")).alias("half"))
     asked = bloom.tested(each, F.col("half"), halves, bits, "maybe").filter("maybe")
-    asked = asked.select("first.*").groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("asked"))
-    asked = stage(asked, "asked-lines")
-    bits = bloom.bits_for(asked.count())
-    rows = stage(bloom.build(asked, "row", bits), "document-filter")
-    near_docs = bloom.tested(texts, F.col("row"), rows, bits, "maybe").filter("maybe").drop("maybe")
-    near_docs = stage(near_docs.dropDuplicates(["d", "row"]).join(asked, ["d", "row"]), "near-documents")
+    near_docs = documents_with(texts, asked.select("first.*"))
 
     # the earliest line per (variant, place), and the line that is the variant
     emitted = stage(variants(near_docs), "variants")
@@ -205,13 +326,11 @@ def line_drops(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     partner = same.unionByName(inserted).unionByName(deleted).filter(F.col("best") < place)
     partner = partner.groupBy(*AT).agg(F.min("best").alias("best"))
 
-    split = near_docs.select("d", "row", F.explode("asked").alias("line"), F.split("text", "\n").alias("all"))
-    asked_text = stage(split.select(*AT, F.get("all", F.col("line")).alias("words")), "asked-text")
-    other = asked_text.select(*[F.col(c).alias(f"p_{c}") for c in AT], F.col("words").alias("p_words"))
-    pairs = stage(partner.select(*AT, *[F.col(f"best.{c}").alias(f"p_{c}") for c in AT]), "near-pairs")
-    near = pairs.join(asked_text, list(AT)).join(other, [f"p_{c}" for c in AT])
-    near = near.filter(verified(F.col("words"), F.col("p_words"))).select(F.struct(*AT).alias("first")).distinct()
-    near = stage(near.withColumn("near", F.lit(True)), "near-lines")
+    pairs = stage(partner.select(place.alias("first"), "best"), "near-pairs")
+    near = near_lines(pairs, near_docs, per_edit)
+    if per_edit:
+        near = near_by_rare_pairs(texts, distinct, near, per_edit)
+    near = near.withColumn("near", F.lit(True))
 
     repeated = distinct.join(near, "first", "left").filter("near OR first < last")
     repeated = stage(repeated.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
@@ -233,16 +352,19 @@ def without(text: Column, drop: Column) -> Column:
     return arrow_udf(cut_lines, "struct<text:string,n_lines:long,n_dropped:long>")(text, drop)
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 8) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 8, per_edit: int | None = None
+) -> DataFrame:
     """All columns of ``docs`` and, as ``deduped``, a struct of the text left, n_lines and n_dropped.
 
     The order of lines is (key, hash of the document, line number), null keys last. Of equal lines of
     at least ``min_words`` words all but the earliest go; a line of at least ``near_words`` words also
-    goes, with its copies, when an earlier such line is near it. Shorter lines, and lines without
+    goes, with its copies, when an earlier such line is near it: within one word, and one more for each
+    ``per_edit`` words of the shorter line (None: no more). Shorter lines, and lines without
     words, always stay. Null texts are empty; rows with equal key and text share their decisions;
     an empty table stays empty. Documents in which nothing changes are not shuffled.
     """
-    drops = line_drops(docs, key, text, min_words, near_words)
+    drops = line_drops(docs, key, text, min_words, near_words, per_edit)
     bits = bloom.bits_for(drops.count())
     words = stage(bloom.build(drops, "row", bits), "drop-filter")
     whole = F.coalesce(named(text), F.lit(""))

@@ -350,6 +350,49 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(docs).count() == len(ROWS) and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_bound_grows_and_short_lines_go(spark):
+    base = prose(70, 71).split()
+
+    def edited(n, k):  # k words replaced in the first n
+        w = base[:n]
+        for i in range(k):
+            w[(3 + i * n // max(k, 1)) % n] = f"e{n}x{k}x{i}"
+        return " ".join(w)
+
+    texts = [edited(n, k) for n in (6, 16, 40, 64) for k in (0, 1, 2, 3, 5, 6)]
+    texts += [" ".join(base[2:40]), " ".join(["in", "front", *base[:38]]), "so", "two words", "So!", "Two, words", "one two three", *[f"{prose(20, 90 + i)} {' '.join(base[:9])}" for i in range(9)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, expected = [], {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        d = [[0] * (len(w) + 1) for _ in range(2)]
+        expected[i] = 0
+        for o in seen:
+            short = min(len(o), len(w))
+            d[0] = list(range(len(w) + 1))
+            for x in range(1, len(o) + 1):
+                d[x % 2] = [x] + [0] * len(w)
+                for y in range(1, len(w) + 1):
+                    d[x % 2][y] = min(d[(x - 1) % 2][y] + 1, d[x % 2][y - 1] + 1, d[(x - 1) % 2][y - 1] + (o[x - 1] != w[y - 1]))
+            expected[i] |= d[len(o) % 2][-1] <= (1 + short // 16 if short >= 5 else 0)
+        seen.append(w)
+    assert 10 < sum(expected.values()) < len(texts) - 10
+    got = {r.doc_id: r.deduped.n_dropped for r in line_dedup.line_dedup(df, min_words=1, near_words=5, per_edit=16).collect()}
+    assert got == expected
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9), st.integers(0, 5))
+def test_within(a, b, k):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left = [i]
+        for j, y in enumerate(b, 1):
+            left.append(min(d[j] + 1, left[-1] + 1, d[j - 1] + (x != y)))
+        d = left
+    assert line_dedup.within(a, b, k) == (d[-1] <= k)
+
+
 def test_within_one():
     assert all(line_dedup.within_one(a.split(), b.split()) for a, b in (("a b c", "a b c"), ("a b c", "a c"), ("a b c", "a x c"), ("a b", "a b c"), ("", "a")))
     assert not any(line_dedup.within_one(a.split(), b.split()) for a, b in (("a b c", "c b a"), ("a b c d", "a b"), ("a b c", "b c d")))
