@@ -3,10 +3,12 @@
 Two levels of restaurants: one per context (the last byte of the word before, so 257 at most) and,
 as their common parent, the restaurant of words without context, over a uniform base of all training
 words and one unknown word. In a context's restaurant each (context, word) cell seats its training
-occurrences; every table sends one customer to the parent. Seating is sampled by Gibbs sweeps: given
-the parent's predictive probabilities and the numbers of tables of the last sweep, all cells draw
-their numbers of tables anew, then the parent its own. Predictive probabilities are averaged over
-the sweeps after the first.
+occurrences; every table sends one customer to the parent. The first seating follows the process;
+then come Gibbs sweeps: given the parent's predictive probabilities and the tables per context of the
+last sweep, all cells draw their numbers of tables from the posterior, weights S_d(n, t) * pull ** t
+with generalised Stirling numbers, whatever n is; then the parent its own. All cells draw at once, so
+a cell sees the others as they were a sweep ago. Predictive probabilities are averaged over the sweeps
+after the first.
 
 How it runs: texts become blocks of about two million tokens, each with its distinct cells and, per
 token, the number of its cell. Only the cells are shuffled, packed, to buckets by word hash, so that
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +177,67 @@ def seat(n: np.ndarray, base: np.ndarray, weight: np.ndarray, discount: float, r
     return tables
 
 
+def stirling_sum(n: int, most: int, d: float) -> np.ndarray | None:
+    """log S_d(n, t) for t from 1 to ``most`` by the alternating sum; None where doubles cannot hold it."""
+    t, j = np.arange(1, most + 1), np.arange(1, min(most, 200) + 1)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(t))])
+    x = d * j
+    gammas = np.array([lgamma(n - v) - lgamma(n) + lgamma(1 + v) for v in x])
+    out = np.empty(most)
+    for a in range(0, most, 2000):
+        u = t[a:a + 2000]
+        rest = u[:, None] - j
+        size = log_factorial[u][:, None] - log_factorial[j] - log_factorial[np.maximum(rest, 0)] + gammas
+        size[rest < 0] = -np.inf
+        top = size.max(axis=1)
+        terms = np.exp(size - top[:, None]) * np.where(j % 2 == 1, 1.0, -1.0) * np.sin(np.pi * x) / np.pi
+        total = terms.sum(axis=1)
+        cut = (u > j[-1]) & (np.exp(size[:, -1] - top) > 1e-9 * np.abs(total))
+        if np.any(total < 1e-6) or np.any(cut):
+            return None
+        out[a:a + 2000] = top + np.log(total)
+    return out + lgamma(n) - t * np.log(d) - log_factorial[1:]
+
+
+def stirling_rows(sizes: np.ndarray, need: np.ndarray, d: float, direct: int = 1000) -> Iterator[np.ndarray]:
+    """log S_d(n, t) for t from 1 to need[k], for each n of the ascending ``sizes``: by
+    S(n + 1, t) = S(n, t - 1) + (n - d * t) * S(n, t), and from ``direct`` on by the sum where that is exact enough."""
+    later = np.maximum.accumulate(need[::-1])[::-1]
+    row, at = np.zeros(1), 1
+    for size, most, limit in zip(sizes.tolist(), need.tolist(), later.tolist(), strict=True):
+        found = stirling_sum(size, most, d) if size > direct else None
+        while found is None and at < size:
+            last = row[:limit]
+            row = np.append(last, -np.inf)[:limit]
+            row[:len(last)] += np.log(at - d * np.arange(1, len(last) + 1))
+            row[1:] = np.logaddexp(row[1:], last[:len(row) - 1])
+            at += 1
+        yield row[:most] if found is None else found
+
+
+def reseat(n: np.ndarray, pull: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Tables of n customers each given all else: t with weights S_d(n, t) * pull ** t.
+
+    More than one table are no more than a Poisson number of mean pull / d, so weights end ten deviations above.
+    """
+    tables = (n > 0).astype(np.int64)
+    at = np.flatnonzero(n > 1)
+    at = at[np.argsort(n[at], kind="stable")]
+    if not len(at):
+        return tables
+    sizes, first, count = np.unique(n[at], return_index=True, return_counts=True)
+    mean = pull[at] / discount
+    most = np.minimum(n[at], np.ceil(31 + mean + 10 * np.sqrt(mean)).astype(np.int64))
+    for row, a, m in zip(stirling_rows(sizes, np.maximum.reduceat(most, first), discount), first, count, strict=True):
+        step = max(1, 1_000_000 // len(row))
+        for i in range(a, a + m, step):
+            own = at[i:min(i + step, a + m)]
+            weight = row + np.log(pull[own])[:, None] * np.arange(1, len(row) + 1)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[own] = 1 + (weight < random.random(len(own))[:, None] * weight[:, -1:]).sum(axis=1)
+    return tables
+
+
 @dataclass
 class Model:
     """Sums over the corpus, and per sweep the tables per context and in the parent."""
@@ -198,10 +262,17 @@ class Model:
         opened, sat, parent_tables = self.customers ** self.discount, 0.0, self.types
         for s in range(len(self.sweeps) + 1):
             random = np.random.default_rng([self.seed, bucket, s])
-            tables = seat(n, parent[word], (self.strength + self.discount * opened)[context], self.discount, random)
+            weight = (self.strength + self.discount * opened)[context]
+            if s == 0:
+                tables = seat(n, parent[word], weight, self.discount, random)
+            else:
+                tables = reseat(n, weight * parent[word], self.discount, random)
             u = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
             weight = np.full(n_words, self.strength + self.parent_discount * parent_tables)
-            t = seat(u, np.full(n_words, base), weight, self.parent_discount, random)
+            if s == 0:
+                t = seat(u, np.full(n_words, base), weight, self.parent_discount, random)
+            else:
+                t = reseat(u, weight * base, self.parent_discount, random)
             yield tables, u, t
             if s < len(self.sweeps):
                 opened, parent_tables = self.sweeps[s]

@@ -461,6 +461,31 @@ def test_seating_matches_the_process():
     assert pitman_yor.seat(np.array([0, 1]), np.ones(2), np.ones(2), 0.5, random_).tolist() == [0, 1]
 
 
+@pytest.mark.parametrize(("n", "pull", "d"), [(20, 2.0, 0.5), (60, 2.0, 0.8), (7, 0.3, 0.1), (100, 8.0, 0.6)])
+def test_reseating_matches_a_gibbs_sampler(n, pull, d):
+    r, sizes, counts = random.Random(3), [n], []
+    for sweep in range(3000):
+        for _ in range(n):  # take one customer out, seat it again given all others
+            k = r.choices(range(len(sizes)), sizes)[0]
+            sizes[k] -= 1
+            sizes = [x for x in sizes if x]
+            k = r.choices(range(len(sizes) + 1), [*(x - d for x in sizes), pull])[0]
+            sizes = [*sizes, 1] if k == len(sizes) else [x + (i == k) for i, x in enumerate(sizes)]
+        counts += [len(sizes)] if sweep >= 200 else []
+    drawn = pitman_yor.reseat(np.full(20000, n), np.full(20000, pull), d, np.random.default_rng(2))
+    assert abs(drawn.mean() - np.mean(counts)) < 0.25 and abs(drawn.std() - np.std(counts)) < 0.25
+
+
+@pytest.mark.parametrize("d", [0.05, 0.3, 0.5, 0.9])
+def test_stirling_rows_by_sum_and_by_recurrence(d):
+    sizes, need = np.array([2, 3, 1500, 2500]), np.array([2, 3, 12, 20])
+    slow = list(pitman_yor.stirling_rows(sizes, need, d, direct=10**9))
+    fast = list(pitman_yor.stirling_rows(sizes, need, d))
+    assert np.allclose(np.exp(slow[1]), [(1 - d) * (2 - d), 3 * (1 - d), 1])
+    assert all(len(a) == k and np.allclose(a, b, atol=1e-6) for a, b, k in zip(slow, fast, need, strict=True))
+    assert d < 0.3 or pitman_yor.stirling_sum(2500, 20, d) is not None
+
+
 def test_predictive_sums_to_one():
     random_ = np.random.default_rng(1)
     word, context = np.divmod(np.arange(40), 4)
