@@ -1,8 +1,8 @@
 """License scan: ordered signature rules over whole texts.
 
-A rule is a regex over ASCII-lower-cased text with keywords that must all occur before it is tried,
-a label, a priority and a confidence. Rules are written out from a table of licenses and a table of
-phrasings. Overlapping detections are resolved in the order of priority, length and place: one that
+A rule is a regex over ASCII-lower-cased text, a label, a priority and a confidence. Before it is
+tried, words must occur that each of its matches has; those of a name are read off its regex. Rules are
+written out from a table of licenses and a table of phrasings, and from a table of license texts. Overlapping detections are resolved in the order of priority, length and place: one that
 lies within an accepted interval is suppressed. Four base phrases are matched as word sequences,
 whatever stands between the words, and are never suppressed.
 """
@@ -24,50 +24,49 @@ from lateralis.llm.wordhash import IS_WORD, LOWER, blocks, buffers, runs
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, how the license is named (regex), keywords of which all must occur.
+#: label, how the license is named (regex).
 LICENSES = [
-    ("gpl", r"(?:gnu )?general public licen[cs]e|gnu gpl|gpl", ("g", "p", "l")),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|lgpl", ("l", "g", "p")),
-    ("agpl", r"(?:gnu )?affero general public licen[cs]e|agpl", ("a", "g", "p")),
-    ("gfdl", r"(?:gnu )?free documentation licen[cs]e|gfdl", ("d", "f")),
-    ("apache", r"apache(?: software)? licen[cs]e|apache-2\.0", ("apache",)),
-    ("mit", r"mit(?:/x11)? licen[cs]e|expat licen[cs]e", ("licen",)),
-    ("x11", r"x11 licen[cs]e", ("x11",)),
-    ("isc", r"isc licen[cs]e", ("isc",)),
-    ("bsd-2-clause", r"(?:simplified|2-clause|two-clause|freebsd) bsd licen[cs]e|bsd-2-clause", ("bsd",)),
-    ("bsd-3-clause", r"(?:new|modified|revised|3-clause|three-clause) bsd licen[cs]e|bsd-3-clause", ("bsd",)),
-    ("bsd-4-clause", r"(?:original|4-clause|four-clause) bsd licen[cs]e|bsd-4-clause", ("bsd",)),
-    ("bsd", r"bsd(?:-style)? licen[cs]e", ("bsd",)),
-    ("mpl", r"mozilla public licen[cs]e|mpl", ("mpl",)),
-    ("mpl", r"mozilla public licen[cs]e", ("mozilla",)),
-    ("epl", r"eclipse public licen[cs]e", ("eclipse",)),
-    ("cddl", r"common development and distribution licen[cs]e|cddl", ("d",)),
-    ("cpl", r"common public licen[cs]e", ("common public",)),
-    ("eupl", r"european union public licen[cs]e|eupl", ("eu",)),
-    ("osl", r"open software licen[cs]e", ("open software",)),
-    ("afl", r"academic free licen[cs]e", ("academic",)),
-    ("artistic", r"artistic licen[cs]e", ("artistic",)),
-    ("zlib", r"zlib(?:/libpng)? licen[cs]e", ("zlib",)),
-    ("boost", r"boost software licen[cs]e", ("boost",)),
-    ("unlicense", r"the unlicense|unlicense\.org", ("unlicense",)),
-    ("wtfpl", r"wtfpl|do what the fuck you want to public licen[cs]e", ("w", "t", "f")),
-    ("cc0", r"cc0|creative commons zero", ("cc0",)),
-    ("cc-by-nc-nd", r"cc[ -]by[ -]nc[ -]nd|attribution[ -]noncommercial[ -]noderiv\w*", ("-n", "d")),
-    ("cc-by-nc-sa", r"cc[ -]by[ -]nc[ -]sa|attribution[ -]noncommercial[ -]sharealike", ("-sa",)),
-    ("cc-by-nc", r"cc[ -]by[ -]nc|attribution[ -]noncommercial", ("nc",)),
-    ("cc-by-nd", r"cc[ -]by[ -]nd|attribution[ -]noderiv\w*", ("nd", "by")),
-    ("cc-by-sa", r"cc[ -]by[ -]sa|attribution[ -]sharealike", ("sa",)),
-    ("cc-by", r"cc[ -]by|creative commons attribution", ("cc",)),
-    ("creative-commons", r"creative commons(?: licen[cs]e)?", ("creative commons",)),
-    ("ofl", r"(?:sil )?open font licen[cs]e", ("open font",)),
-    ("odbl", r"open database licen[cs]e|odbl", ("o", "d", "b")),
-    ("python", r"python software foundation licen[cs]e|psf licen[cs]e", ("licen", "p")),
-    ("php", r"php licen[cs]e", ("php",)),
-    ("ruby", r"ruby licen[cs]e", ("ruby",)),
-    ("openssl", r"openssl licen[cs]e", ("openssl",)),
-    ("postgresql", r"postgresql licen[cs]e", ("postgresql",)),
-    ("ms-pl", r"microsoft public licen[cs]e|ms-pl", ("ms",)),
-    ("rail", r"(?:open)?rail(?:-m)? licen[cs]e", ("rail",)),
+    ("gpl", r"(?:gnu )?general public licen[cs]e|gnu gpl|gpl"),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|lgpl"),
+    ("agpl", r"(?:gnu )?affero general public licen[cs]e|agpl"),
+    ("gfdl", r"(?:gnu )?free documentation licen[cs]e|gfdl"),
+    ("apache", r"apache(?: software)? licen[cs]e|apache-2\.0"),
+    ("mit", r"mit(?:/x11)? licen[cs]e|expat licen[cs]e"),
+    ("x11", r"x11 licen[cs]e"),
+    ("isc", r"isc licen[cs]e"),
+    ("bsd-2-clause", r"(?:simplified|2-clause|two-clause|freebsd) bsd licen[cs]e|bsd-2-clause"),
+    ("bsd-3-clause", r"(?:new|modified|revised|3-clause|three-clause) bsd licen[cs]e|bsd-3-clause"),
+    ("bsd-4-clause", r"(?:original|4-clause|four-clause) bsd licen[cs]e|bsd-4-clause"),
+    ("bsd", r"bsd(?:-style)? licen[cs]e"),
+    ("mpl", r"mozilla public licen[cs]e|mpl"),
+    ("epl", r"eclipse public licen[cs]e"),
+    ("cddl", r"common development and distribution licen[cs]e|cddl"),
+    ("cpl", r"common public licen[cs]e"),
+    ("eupl", r"european union public licen[cs]e|eupl"),
+    ("osl", r"open software licen[cs]e"),
+    ("afl", r"academic free licen[cs]e"),
+    ("artistic", r"artistic licen[cs]e"),
+    ("zlib", r"zlib(?:/libpng)? licen[cs]e"),
+    ("boost", r"boost software licen[cs]e"),
+    ("unlicense", r"the unlicense|unlicense\.org"),
+    ("wtfpl", r"wtfpl|do what the fuck you want to public licen[cs]e"),
+    ("cc0", r"cc0|creative commons zero"),
+    ("cc-by-nc-nd", r"cc[ -]by[ -]nc[ -]nd|attribution[ -]noncommercial[ -]noderiv\w*"),
+    ("cc-by-nc-sa", r"cc[ -]by[ -]nc[ -]sa|attribution[ -]noncommercial[ -]sharealike"),
+    ("cc-by-nc", r"cc[ -]by[ -]nc|attribution[ -]noncommercial"),
+    ("cc-by-nd", r"cc[ -]by[ -]nd|attribution[ -]noderiv\w*"),
+    ("cc-by-sa", r"cc[ -]by[ -]sa|attribution[ -]sharealike"),
+    ("cc-by", r"cc[ -]by|creative commons attribution"),
+    ("creative-commons", r"creative commons(?: licen[cs]e)?"),
+    ("ofl", r"(?:sil )?open font licen[cs]e"),
+    ("odbl", r"open database licen[cs]e|odbl"),
+    ("python", r"python software foundation licen[cs]e|psf licen[cs]e"),
+    ("php", r"php licen[cs]e"),
+    ("ruby", r"ruby licen[cs]e"),
+    ("openssl", r"openssl licen[cs]e"),
+    ("postgresql", r"postgresql licen[cs]e"),
+    ("ms-pl", r"microsoft public licen[cs]e|ms-pl"),
+    ("rail", r"(?:open)?rail(?:-m)? licen[cs]e"),
 ]
 #: name, regex around {name}, priority, confidence, a keyword besides the license's own.
 PHRASINGS = [
@@ -79,37 +78,81 @@ PHRASINGS = [
     ("published", r"(?:{name})\s+as\s+published\s+by", 82, 0.95, "published"),
     ("see", r"see\s+(?:the\s+)?(?:{name})", 70, 0.8, "see"),
     ("label", r"licen[cs]e\s*[:=]\s*[\"']?(?:the\s+)?(?:{name})", 80, 0.9, "licen"),
-    ("bare", r"(?:{name})", 40, 0.6, "licen"),
+    ("bare", r"(?:{name})", 40, 0.6, ""),
 ]
 VERSION = r"(?:\s*,?\s*\(?(?:version\s+|v\.?\s*)?(?P<version>[0-9](?:\.[0-9]+)*)\b)?"
 #: label, regex, keywords, priority, confidence: notices that name no license.
 NOTICES = [
     ("all-rights-reserved", r"all\s+rights\s+reserved", ("rights",), 60, 0.9),
     ("copyright-notice", r"copyright\s+(?:\(c\)|©|[0-9]{4})[^\n]{0,80}", ("copyright",), 30, 0.5),
-    ("public-domain", r"(?:in|into|to)\s+the\s+public\s+domain", ("public domain",), 60, 0.85),
+    ("public-domain", r"(?:in|into|to)\s+the\s+public\s+domain", ("public", "domain"), 60, 0.85),
     ("no-warranty", r"without\s+warranty\s+of\s+any\s+kind", ("warranty",), 20, 0.4),
     ("confidential", r"confidential\s+and\s+proprietary", ("proprietary",), 65, 0.9),
 ]
+#: label, how the text of the license (or its notice) runs; anything but letters and digits may stand between words.
+BODIES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify"),
+    ("lgpl", "this library is free software you can redistribute it and or modify"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("zlib", "altered source versions must be plainly marked as such"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+]
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``names``: sets of keywords; whatever ``pattern`` matches has all ``keywords`` and all of one set."""
+
     label: str
     pattern: re.Pattern
     keywords: tuple[bytes, ...]
+    names: tuple[tuple[bytes, ...], ...]
     priority: int
     confidence: float
 
 
+class Present(dict):
+    """Whether a keyword, or one of several sets of keywords, occurs in a text; found out once."""
+
+    def __init__(self, low: bytes):
+        self.low = low
+
+    def __missing__(self, key: bytes | tuple) -> bool:
+        self[key] = key in self.low if isinstance(key, bytes) else any(all(self[k] for k in each) for each in key)
+        return self[key]
+
+
+def words_in(name: str) -> tuple[tuple[bytes, ...], ...]:
+    """Of each alternative of a name the literals that no match is without: what stands in no group and no class."""
+    while (bare := re.sub(r"\(\?:[^()]*\)\??", " ", name)) != name:
+        name = bare
+    found = []
+    for alternative in name.split("|"):
+        literals = re.sub(r"\[[^]]*\]|\\w\*", " ", alternative).replace("\\.", ".").split()
+        found.append(tuple(k.encode() for k in sorted({x for x in literals if len(x) > 1}, key=lambda x: (-len(x), x))))
+    return tuple(found)
+
+
 def rules() -> list[Rule]:
     """All rules, highest priority first; of equal priority, in the order of the tables."""
     out = []
     for how, phrase, priority, confidence, keyword in PHRASINGS:
-        for label, name, keywords in LICENSES:
-            regex = r"(?<![a-z0-9])" + phrase.replace("{name}", name.replace(" ", r"\s+")) + r"(?![a-z0-9])" + VERSION
-            out.append(Rule(label, re.compile(regex.encode()), tuple(k.encode() for k in {keyword, *keywords}), priority, confidence))
+        for label, name in LICENSES:
+            spaced = name.replace("[ -]", r"(?:\s+|-)").replace(" ", r"\s+")
+            regex = r"(?<![a-z0-9])" + phrase.replace("{name}", spaced) + r"(?![a-z0-9])" + VERSION
+            keywords = (keyword.encode(),) if keyword else ()
+            out.append(Rule(label, re.compile(regex.encode()), keywords, words_in(name), priority, confidence))
     for label, regex, keywords, priority, confidence in NOTICES:
-        out.append(Rule(label, re.compile(regex.encode()), tuple(k.encode() for k in keywords), priority, confidence))
+        out.append(Rule(label, re.compile(regex.encode()), tuple(k.encode() for k in keywords), ((),), priority, confidence))
+    for label, body in BODIES:
+        words = sorted(set(body.split()), key=lambda x: (-len(x), x))
+        regex = r"(?<![a-z0-9])" + r"[^a-z0-9]+".join(body.split()) + r"(?![a-z0-9])"
+        out.append(Rule(label, re.compile(regex.encode()), tuple(k.encode() for k in words), ((),), 85, 0.95))
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -124,10 +167,10 @@ def base_patterns() -> list[tuple[str, tuple[bytes, ...], re.Pattern]]:
 
 def detections(low: bytes, ordered: list[Rule]) -> list[tuple[int, int, str, int, float]]:
     """(start, end, label, priority, confidence) in bytes, overlaps resolved."""
-    present: dict[bytes, bool] = {}
+    present = Present(low)
     found = []
     for rule in ordered:
-        if all(present.setdefault(k, k in low) for k in rule.keywords):
+        if present[rule.names] and all(present[k] for k in rule.keywords):
             for m in rule.pattern.finditer(low):
                 version = m.groupdict().get("version")
                 label = rule.label + (f"-{version.decode()}" if version else "")
@@ -156,9 +199,6 @@ RESULT = pa.schema([
         ("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int32())]))),
     ("score", pa.float64()),
 ])
-#: One of these occurs in any text that some rule or base phrase matches.
-GATE = tuple(k.encode() for k in (
-    "licen", "cc", "spdx", "rights", "copyright", "public domain", "warranty", "proprietary", "under", "terms", "published", "see"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,14 +219,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             rows = []
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 whole = low[offsets[i]:offsets[i + 1]].tobytes()
-                places, labels, kept = [], [], []
-                if any(k in whole for k in GATE):
-                    for label, keywords, pattern in base:
-                        if all(k in whole for k in keywords):
-                            at = [offsets[i] + m.start() for m in pattern.finditer(whole)]
-                            places += (np.searchsorted(starts, at) - ptr[i]).tolist()
-                            labels += [label] if at else []
-                    kept = detections(whole, ordered)
+                places, labels = [], []
+                for label, keywords, pattern in base:
+                    if all(k in whole for k in keywords):
+                        at = [offsets[i] + m.start() for m in pattern.finditer(whole)]
+                        places += (np.searchsorted(starts, at) - ptr[i]).tolist()
+                        labels += [label] if at else []
+                kept = detections(whole, ordered)
                 doubt = float(np.prod([0.1] * len(labels) + [1 - d[4] for d in kept]))
                 rows.append({
                     "doc_id": doc_id, "n_words": int(ptr[i + 1] - ptr[i]), "n_base": len(places),

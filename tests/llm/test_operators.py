@@ -167,6 +167,26 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_keywords_lose_no_match():
+    ordered = license_scan.rules()
+    free = [license_scan.Rule(r.label, r.pattern, (), ((),), r.priority, r.confidence) for r in ordered]
+    expected = {
+        "Licensed under CC BY NC SA 4.0": "cc-by-nc-sa-4.0", "Attribution-NonCommercial-ShareAlike": "cc-by-nc-sa", "CC BY NC ND": "cc-by-nc-nd",
+        "Attribution-NoDerivatives": "cc-by-nd", "Creative Commons Zero": "cc0", "Microsoft Public License": "ms-pl", "the open\nfont  license": "ofl",
+        "Open\nSoftware License": "osl", "common\npublic license": "cpl", "Creative\nCommons": "creative-commons", "into the public\ndomain": "public-domain",
+        "GNU GPL v3": "gpl-3", "MPL 2.0": "mpl-2.0", "CC0": "cc0", "Apache-2.0": "apache", "Common Development and Distribution Licence": "cddl",
+        "# Permission is hereby granted, free of charge, to\n# any person obtaining a copy": "mit", "nothing here": None,
+    }
+    names = [re.sub(r"\[cs\]", "s", x).replace("[ -]", " ").replace("\\w*", "s").replace("\\", "") for _, n in license_scan.LICENSES for x in re.sub(r"\(\?:[^()]*\)\??", "", n).split("|")]
+    assert len(names) > 50
+    for text in [*expected, *names, *(n.replace(" ", "\n") for n in names), *(f"see the {n} 2" for n in names), *(f"SPDX-License-Identifier: {n}".lower() for n in names)]:
+        low = text.lower().encode()
+        got = license_scan.detections(low, ordered)
+        assert got == license_scan.detections(low, free)
+        assert expected.get(text) in {None, *(d[2] for d in got)}
+        assert got or text not in expected or expected[text] is None
+
+
 # --- decontamination
 
 
