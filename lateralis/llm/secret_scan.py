@@ -10,6 +10,7 @@ Benjamini-Hochberg bound per length class then controls the false discoveries.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,13 @@ KINDS = ["assign", "access", "hex", "random"]
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 
 HEXITS, DIGITS = "0123456789abcdef", string.digits
-#: name, what it matches (tried in this order), alphabet, share of equal pairs in ordinary text of such characters.
+#: name, what it matches (tried in this order), alphabet, share of equal pairs in ordinary text of such characters;
+#: for decimal that of leading digits by Benford's law.
 ENCODINGS = [
-    ("decimal", r"^[0-9]+$", DIGITS, None),
+    ("decimal", r"^[0-9]+$", DIGITS, 0.165),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", HEXITS, 0.1),
+    ("lower", r"^[a-z]+$", string.ascii_lowercase, 0.065),
+    ("upper", r"^[A-Z]+$", string.ascii_lowercase, 0.065),
     ("base32", r"^[A-Z2-7]+$", (string.ascii_uppercase + "234567").lower(), 0.065),
     ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", DIGITS + string.ascii_lowercase, 0.065),
     ("base62", r"^[0-9A-Za-z]+$", DIGITS + string.ascii_letters, 0.065),
@@ -45,18 +49,13 @@ def matches(text: Column, pattern: str, gate: Column) -> Column:
     return F.when(gate, both)
 
 
-def looks_encoded(found: Column) -> Column:
-    """A digit, or a capital after a small letter: a plain word is no candidate."""
-    return found.rlike("[0-9]|[a-z][A-Z]")
-
-
 def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(rid, doc_id, assign, access, hex, random): null where a kind has no match."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), named(key).cast("long").alias("doc_id"),
         F.coalesce(named(text), F.lit("")).alias("text"))
     t = F.col("text")
-    candidates = matches(t, CANDIDATE, t.rlike("[0-9]|[a-z][A-Z]"))
+    candidates = matches(t, CANDIDATE, t.rlike(CANDIDATE))
     return rows.select(
         "rid", "doc_id",
         matches(t, ASSIGN, (t.contains("=") | t.contains(":")) & t.rlike(ASSIGN)).alias("assign"),
@@ -64,8 +63,7 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
         matches(t, HEX, t.rlike(HEX)).alias("hex"),
         candidates.alias("random"),
     ).select(
-        "rid", "doc_id", *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in ("assign", "access", "hex")],
-        F.when(F.exists("random", lambda x: looks_encoded(x["found"])), F.col("random")).alias("random"))
+        "rid", "doc_id", *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in KINDS])
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -80,7 +78,7 @@ def placed(rows: DataFrame) -> DataFrame:
     value = F.length(F.regexp_extract("found", ASSIGN, 1))
     good = (
         F.when(F.col("kind") == 0, value >= 12).when(F.col("kind") == 1, F.col("size") >= 18)
-        .when(F.col("kind") == 2, F.col("size") >= 16).otherwise(looks_encoded(F.col("found"))))
+        .when(F.col("kind") == 2, F.col("size") >= 16).otherwise(True))
     return out.filter(good).select("rid", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "found")
 
 
@@ -90,8 +88,18 @@ def tail(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * c + F.lit(0.070566) * c * c * c))
 
 
+def log_tail(z: Column) -> Column:
+    """log10 of the upper tail of the normal distribution: by ``tail``, from 3 on by its continued fraction."""
+    far = F.greatest(z, F.lit(3.0))
+    fraction = far
+    for k in range(12, 0, -1):
+        fraction = far + F.lit(float(k)) / (far if k == 12 else fraction)
+    log_far = -(far * far / 2 + F.lit(math.log(2 * math.pi) / 2) + F.log(fraction)) / F.lit(math.log(10))
+    return F.when(z < 3, F.log10(tail(z))).otherwise(log_far)
+
+
 def battery(candidates: DataFrame, level: float) -> DataFrame:
-    """Adds size, encoding and p: how likely ordinary text is to look so even; 1 if not random at ``level``."""
+    """Adds size, encoding and log_p: log10 of how likely ordinary text is to look so even; 0 if not random at ``level``."""
     name, alphabet, share = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
     for encoding, pattern, letters, equal in reversed(ENCODINGS):
         match = F.col("found").rlike(pattern) if pattern else F.lit(True)
@@ -99,7 +107,7 @@ def battery(candidates: DataFrame, level: float) -> DataFrame:
         alphabet = F.when(match, letters).otherwise(alphabet)
         share = F.when(match, F.lit(equal).cast("double")).otherwise(share)
     rows = candidates.withColumns({"encoding": name, "alphabet": alphabet, "share": share})
-    folded = F.when(F.col("encoding").isin("hex", "base32", "base36"), F.lower("found")).otherwise(F.col("found"))
+    folded = F.when(F.col("encoding").isin("hex", "upper", "base32", "base36"), F.lower("found")).otherwise(F.col("found"))
     rows = rows.withColumn("codes", F.split(folded, ""))
     rows = rows.withColumn("codes", F.expr("transform(codes, c -> locate(c, alphabet) - 1)"))
     rows = rows.withColumns({"size": F.length("found").cast("double"), "letters": F.length("alphabet").cast("double")})
@@ -123,19 +131,20 @@ def battery(candidates: DataFrame, level: float) -> DataFrame:
     z_serial = F.when(F.col("spread") > 0, (F.col("lagged") / F.col("spread") + 1 / F.col("size")) * F.sqrt("size")).otherwise(8.0)
     uneven = F.least(tail(z_chi), 2 * tail(F.abs(z_runs)), 2 * tail(F.abs(z_serial)))
     excess = (F.col("size") - 1) * (F.col("letters") * F.col("share") - 1)
-    as_text = 1 - tail((F.col("chi") - df - excess) / F.sqrt(2 * df + 4 * excess))
-    p = F.when(F.col("share").isNull() | (uneven < level), 1.0).otherwise(as_text)
-    return rows.select(*candidates.columns, "encoding", F.col("size").cast("int").alias("size"), p.alias("p"))
+    as_text = log_tail((df + excess - F.col("chi")) / F.sqrt(2 * df + 4 * excess))
+    log_p = F.when(uneven < level, 0.0).otherwise(as_text)
+    return rows.select(*candidates.columns, "encoding", F.col("size").cast("int").alias("size"), log_p.alias("log_p"))
 
 
 def discoveries(tested: DataFrame, rate: float) -> DataFrame:
     """The candidates that Benjamini-Hochberg accepts at ``rate`` within their length class (powers of two).
 
-    Ranks come from a histogram of -log10 p in steps of 0.02: at most some 400 bins for each of at most
+    Ranks come from a histogram of -log10 p in steps of 0.02: at most some 1,500 bins for each of at most
     31 classes, so the cumulative counts and the broadcast of one bound per class do not grow with the data.
+    The last bin has all below 1e-30, which is below the bound of the first rank for any number of rows.
     """
     binned = tested.withColumns({
-        "stratum": F.floor(F.log2("size")), "bin": F.floor(-F.log10(F.greatest("p", F.lit(1e-8))) / 0.02)})
+        "stratum": F.floor(F.log2("size")), "bin": F.floor(F.least(-F.col("log_p"), F.lit(30.0)) / 0.02)})
     bins = binned.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
     down = W.partitionBy("stratum").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = bins.withColumns({"rank": F.sum("n").over(down), "all": F.sum("n").over(W.partitionBy("stratum"))})
@@ -154,7 +163,8 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rate:
     rows = stage(scanned(docs, key, text), "secret-scan")
     none = F.coalesce("assign", "access", "hex", "random").isNull()
     spans = stage(placed(rows.filter(~none)), "secret-spans")
-    random = discoveries(battery(spans.filter("kind = 3"), level), rate)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but long work
+    random = discoveries(battery(spans.filter("kind = 3").repartition(tasks, "rid", "start"), level), rate)
     all_spans = spans.filter("kind < 3").select("rid", "kind", "start", "end").unionByName(
         random.select("rid", "kind", "start", "end"))
     listed = all_spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))

@@ -442,6 +442,27 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.secret_spans(docs).select(secret_scan.as_text(F.col("spans"))).distinct().count() == 1
 
 
+def test_secret_scan_of_letters_only_and_digits_only(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 60), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 60), ("0123456789", 120)) for _ in range(20)]
+    plain = "ofthepeopleandtheotherthingsthatweresaidtohimbeforehewenttothetown"
+    texts = [*keys, plain, plain.upper(), "1000000200000010000019990000200000010000001000020000100000", "-" * 40]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_random for r in secret_scan.secret_spans(df).collect()}
+    assert all(sum(got[i] for i in range(k, k + 20)) >= 15 for k in (0, 20, 40))
+    assert [got[i] for i in range(60, 64)] == [0] * 4
+
+
+def test_log_tail_has_no_floor(spark):
+    z = [-9.0, -3.0, 0.0, 1.0, 2.9, 3.0, 4.0, 8.0, 12.0, 30.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secret_scan.log_tail(F.col("z"))).collect()]
+    for x, y in zip(z, got, strict=True):
+        assert y == pytest.approx(math.log10(math.erfc(x / math.sqrt(2)) / 2), abs=0.05)
+    weak, strong = [(float(-0.3 * (i % 3)), 40, i) for i in range(300)], [(-9.5, 40, 300), (-12.0, 40, 301)]
+    huge = spark.createDataFrame(weak + strong, "log_p double, size int, i long")
+    assert {r.i for r in secret_scan.discoveries(huge, 1e-7).collect()} == {300, 301}  # 1e-8 is too weak for 2 of 302
+
+
 # --- language model
 
 
