@@ -165,19 +165,29 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable, for each node of ``links`` (a, b). Staged, in rounds of
-    taking the smallest label among neighbours and then one's label's label."""
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("comp")), "labels")
+    """(node, comp): the smallest node reachable, for each node of ``links`` (a, b). Staged.
+
+    In each round a node takes its smallest neighbour as its label and then that one's label; links
+    are carried over to labels, and those within one label vanish. So all rounds together hold little
+    more than the first.
+    """
+    edges, found = links.select("a", "b"), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        low = stage(labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")), "lower")
-        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = stage(low.join(jump, "comp").select("node", F.col("next").alias("comp"), "was"), "labels")
-        if new.filter("comp <> was").isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
+        low = stage(low, "lower")
+        labels = stage(low.join(low.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select(
+            "node", F.col("next").alias("comp")), "labels")
+        if found is None:
+            found = labels
+        else:
+            step = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+            found = stage(found.join(step, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "comps")
+        ends = edges.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(
+            labels.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b").filter("x <> y")
+        edges = stage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return found
 
 
 def candidate_pairs(buckets: DataFrame, small: int) -> DataFrame:
@@ -238,28 +248,35 @@ def able_members(held: DataFrame, sets: DataFrame, similarity: float, label: str
     """
     counted = stage(single_units(sets.join(held.select("node"), "node", "left_semi").select("node", "units")), f"lone-units-{label}")
     counted = counted.select("node", "size", (F.col("size") - F.col("lone")).alias("shared"))
-    sized = held.select("bucket", "node", "comp", "main").join(counted, "node")
+    sized = held.select("bucket", "node", "comp", "main", "central").join(counted, "node")
     least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
     able = sized.join(least, "bucket").filter(F.col("shared") * (1 + 1 / similarity) >= F.col("size") + F.col("least") - 1e-6)
     able = stage(able.drop("least"), f"able-{label}")
     return able.join(able.filter("comp <> main").select("bucket"), "bucket", "left_semi")
 
 
-def stray_pairs(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def stray_pairs(large: DataFrame, sets: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
     """(a, b): members outside their bucket's main component with those members of other components that
     the numbers of shared units of both allow (see ``able_members``), each pair in one of its buckets.
 
-    Units are counted twice, the second time among the members that the first left.
+    Units are counted twice, the second time among the members that the first left. All members of a
+    bucket have been measured against its most central one. One minus the similarity is a distance, so
+    by the triangle inequality two that differ by more than 1 - ``similarity`` there cannot be similar.
     """
-    large = stage(large, "main-buckets")
-    held = stage(large.join(large.filter("comp <> main").select("bucket"), "bucket", "left_semi"), "open-members")
+    best = F.max(F.struct("mass", (-F.col("node")).alias("x"))).alias("best")
+    pivots = large.groupBy("bucket").agg(best).select("bucket", (-F.col("best.x")).alias("pivot"))
+    held = large.join(large.filter("comp <> main").select("bucket").distinct(), "bucket", "left_semi")
+    held = held.join(pivots, "bucket").select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    held = held.join(measured, ["a", "b"], "left").withColumn("central", F.coalesce("similarity", F.lit(1.0)))
+    held = stage(held.select("bucket", "node", "comp", "main", "central"), "open-members")
     for label in ("first", "second"):
         held = able_members(held, sets, similarity, label)
     own = held.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # one of each band at most
     held = stage(held.join(own, "node"), "able-members")
-    stray = held.filter("comp <> main").select("bucket", *[F.col(c).alias(f"stray_{c}") for c in ("node", "comp", "size", "shared", "own")])
+    stray = held.filter("comp <> main").select("bucket", *[F.col(c).alias(f"stray_{c}") for c in ("node", "comp", "size", "shared", "central", "own")])
     met = held.join(stray, "bucket").filter(
         (F.col("comp") != F.col("stray_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("stray_node")))
+        & (F.abs(F.col("central") - F.col("stray_central")) <= 1 - similarity + 1e-9)
         & (F.least("shared", "stray_shared") * (1 + 1 / similarity) >= F.col("size") + F.col("stray_size") - 1e-6)
         & (F.array_min(F.array_intersect("own", "stray_own")) == F.col("bucket")))
     return met.select(F.least("node", "stray_node").alias("a"), F.greatest("node", "stray_node").alias("b"))
@@ -274,14 +291,13 @@ def near_classes(
     rows: int = 5,
     small: int = 8,
 ) -> DataFrame:
-    """(d, row, class_id, class_size, n_links, kept): one row per document, staged.
+    """(d, row, class_id, class_size, kept): one row per document, staged.
 
     The class of a text is its connected component under weighted Jaccard similarity of at least
     ``similarity`` of five-word runs; a text of fewer words is one run, a text without words (or null)
     is alone. ``class_id`` is the smallest key of the class, and exactly one row of the class is kept:
-    one with that key. Null keys come last (``d`` is then 2**63 - 1). ``n_links`` counts verified links
-    of the text's word sequence to other word sequences. A pair at similarity 0.8 is missed by all
-    bands with a probability of 0.00005.
+    one with that key. Null keys come last (``d`` is then 2**63 - 1). A pair at similarity 0.8 is missed
+    by all bands with a probability of 0.00005.
     """
     smaller_batches(docs.sparkSession, 250)
     texts = keyed_texts(docs, key, text)
@@ -307,34 +323,32 @@ def near_classes(
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("units").alias("units_a"))
         right = sets.select(F.col("node").alias("b"), F.col("units").alias("units_b"))
-        measured = pairs.join(left, "a").join(right, "b")
-        return stage(measured.filter(jaccard(F.col("units_a"), F.col("units_b")) >= similarity).select("a", "b"), "links")
+        both = pairs.join(left, "a").join(right, "b")
+        return stage(both.select("a", "b", jaccard(F.col("units_a"), F.col("units_b")).alias("similarity")), "measured")
 
-    tried = stage(candidate_pairs(members, small).distinct(), "pairs")
-    links = verified(tried)
+    enough = F.col("similarity") >= similarity
+    measured = verified(candidate_pairs(members, small).distinct())
+    links = measured.filter(enough)
     comps = components(links)
-    more = stage(later_pivots(large_buckets(members, comps, small)).join(tried, ["a", "b"], "left_anti"), "more-pairs")
-    late = verified(more)
-    if not late.isEmpty():
-        links = stage(links.unionByName(late), "all-links")
-        comps = components(links)
-    tried = tried.unionByName(more)
-    rest = stray_pairs(large_buckets(members, comps, small), sets, similarity).join(tried, ["a", "b"], "left_anti")
-    late = verified(stage(rest, "stray-pairs"))
-    if not late.isEmpty():
-        links = stage(links.unionByName(late), "all-links")
-        comps = components(links)
-
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    large = large_buckets(members, comps, small)
+    late = verified(later_pivots(large).join(measured, ["a", "b"], "left_anti"))
+    measured = measured.unionByName(late)
+    if not late.filter(enough).isEmpty():
+        comps = components(measured.filter(enough))
+        large = large_buckets(members, comps, small)
+    rest = stray_pairs(stage(large, "main-buckets"), sets, measured, similarity)
+    late = verified(rest.join(measured, ["a", "b"], "left_anti"))
+    if not late.filter(enough).isEmpty():
+        comps = components(measured.unionByName(late).filter(enough))
+
     counted = nodes.select("digest", "node", "rep", "copies").join(comps, "node", "left")
-    counted = counted.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "node", "left")
     counted = stage(counted.filter("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "node")), "node-classes")
     classes = stage(counted.groupBy("comp").agg(F.min(F.struct("rep.d", "rep.rid")).alias("best"), F.sum("copies").alias("class_size")), "classes")
-    by_digest = stage(counted.join(classes, "comp").select("digest", "best", "class_size", "n_links"), "digest-classes")
+    by_digest = stage(counted.join(classes, "comp").select("digest", "best", "class_size"), "digest-classes")
     out = found.select("d", "row", "rid", "digest").join(by_digest, "digest", "left")
     return stage(out.select(
         "d", "row", F.coalesce("best.d", "d").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"),
     ), "near-classes")
 
 

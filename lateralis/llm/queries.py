@@ -76,7 +76,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        F.col("d").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
+        F.col("d").alias("doc_id"), "class_id", "class_size", "kept")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

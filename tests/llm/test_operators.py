@@ -319,6 +319,52 @@ def test_near_dedup(spark, docs, empty, small):
     assert near_dedup.near_classes(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_of_a_large_group(spark):
+    """200 texts of one origin, most too far from the most central ones: links between any two of them count."""
+    rng, base = random.Random(11), prose(150, 52).split()
+
+    def edited(i):
+        w = list(base)
+        for k in range(rng.choice([1, 3, 4, 5, 6])):
+            w[rng.randrange(len(w))] = f"edit{i}x{k}"
+        return " ".join(w)
+
+    rows = [(i, edited(i)) for i in range(200)]
+    rows += [(200 + i, rows[7 * i][1] + " one more end") for i in range(20)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.d, r.class_id, r.class_size) for r in got) == near_reference(rows)
+    assert len({r.class_id for r in got}) > 5
+
+
+def test_bands_recall_pairs_of_the_least_similarity(spark):
+    """At least 0.99 of the pairs at 0.8 and a little more share a band."""
+    base = [prose(200, 300 + i).split() for i in range(60)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    rows += [(100 + i, " ".join([*b[:40], "x0", *b[41:80], "x1", *b[81:120], "x2", *b[121:160], "x3", *b[161:]])) for i, b in enumerate(base)]
+    texts = near_dedup.keyed_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    bands = {r.d: set(r.bands) for r in near_dedup.sketches(texts, 25, 5).collect()}
+    assert all(0.8 <= (lambda a, b: sum((a & b).values()) / sum((a | b).values()))(weighted_set(rows[i][1]), weighted_set(rows[60 + i][1])) < 0.83 for i in range(60))
+    assert sum(bool(bands[i] & bands[100 + i]) for i in range(60)) >= 0.99 * 60
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(45)] + [(200, 300)]
+    links = [(min(x), max(x)) for x in links if x[0] != x[1]]
+    head = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        head[max(a, b)] = min(a, b)
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.comp for r in got.collect()} == {x: find(x) for x in head}
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     texts = [prose(300, 60)]
     w = texts[0].split()
