@@ -2,27 +2,30 @@
 
 Lines are sequences of words. Two lines are the same when their words are, and near when few words
 inserted, deleted or replaced turn one into the other: one, and if asked one more for each
-``per_edit`` words of the shorter line. A line goes when an earlier line of the corpus is the same or near; the earliest
-stays.
-
-One edit: each distinct line would emit, as hashed keys, all its variants with at most one word deleted. Two
-lines are near just when one equals a variant of the other, or both lose the word at the same place
-and are then equal; so the earliest line per (variant, place) and the line that equals the variant
-are all that others must be joined with: two minima, no pairs. What they find is verified word by
-word. Only lines that share an unchanged half with another line can have such a partner; only those
-emit variants.
-
-More edits: of two lines within k edits at most 2k pairs of adjacent words of either are not in the
-other, so of each line's first 2k + 1 pairs, in one order for all lines, at least one is common. Pairs
-that are rare in the corpus come first. Lines are joined on these, first each with the earliest of its
-partners, then those that this does not settle with all others of about their length; every candidate
-is verified word by word.
+``per_edit`` words of the shorter line. A line goes when an earlier line of the corpus is the same or
+near; the earliest stays.
+
+One edit: each line emits, as hashed keys, itself and all its variants with one word deleted, with the
+place of that word. Two lines are within one edit just when one equals a variant of the other, or both
+lose the word at the same place and are then equal. So of equal keys the earliest line settles all
+others, and no pairs arise. Only lines that share an unchanged half with another line can have such a
+partner; only those emit variants. Keys of variants are 128 bits, so equal keys are equal variants and
+their places prove the edit distance.
+
+More edits: words fall by a hash into 2k + 1 classes. k edits touch at most 2k of them, so two lines
+within k edits have the same words in at least one class. Lines with a class in common, alike in length
+and in a bit map of their words (k edits change at most 2k bits), are verified word by word: first
+each with the earliest of its partners, then those that this does not settle with the others.
+
+How it runs: keys are combined in the task that makes them (per key and line only the earliest place
+goes on, and what it settles is settled), dealt by key, sorted, and read in batches with one row
+carried over, so a key that all documents share is a row per task and memory does not grow with it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +37,24 @@ from lateralis.llm import bloom
 from lateralis.llm.shared import named, smaller_batches, stage
 from lateralis.llm.wordhash import BASE, LOWER, blocks, buffers, mix, powers, runs, words_of
 
-LINE_TYPE = "d long, row long, line int, h1 long, h2 long, words int, halves array<long>, rare array<long>"
-VARIANT_TYPE = "d long, row long, line int, variant long, place int"
 SECOND = np.uint64(0x9E6C63D0876A9A47)
-
-
-SLOT_BITS, MOST_COMMON = 22, 1 << 17  # counters of word pairs in a task, and how many of them are told to all
+#: Rows of keys that a task combines at once.
+COMBINED_ROWS = 400_000
+KEY_TYPE = "key long, kind int, other long, d long, row long, line int"
+VARIANT_TYPE = "key long, other long, place int, d long, row long, line int"
+CLASS_TYPE = (
+    "d long, row long, line int, n int, words string, b0 long, b1 long, b2 long, b3 long, "
+    "keys array<struct<key:long,bound:int>>"
+)
+#: Kinds of keys: a whole line, a half of one, a class of one; from DONE on, results on their way.
+WHOLE, HALF, CLASS, DONE = 0, 1, 2, 16
+#: Places of variants: nothing lost, or a result on its way.
+NOTHING, SETTLED = -1, -2
+LAST = (1 << 63) - 1
 
 
 def document_key(key: Column, text: Column) -> Column:
-    """Rows with equal key and text are one document here and share its decisions."""
+    """Rows with equal key and text are one document here; ``line_dedup`` then keeps the lines of one of them."""
     return F.xxhash64(key, text)
 
 
@@ -86,127 +97,284 @@ def half_keys(sums: Sums, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.column_stack(out)
 
 
-def word_pairs(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the pairs of adjacent words of each line, and the line of each."""
-    n = np.maximum(last - first - 1, 0)
+def of_lines(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of the lines one after another, and the line of each."""
+    n = last - first
     line = np.repeat(np.arange(len(n)), n)
-    at = first[line] + np.arange(len(line)) - (np.cumsum(n) - n)[line]
-    return mix(h[at] + mix(h[at + 1] ^ SECOND)), line
+    return h[first[line] + np.arange(len(line)) - (np.cumsum(n) - n)[line]], line
+
 
+def contents(word: np.ndarray, line: np.ndarray, size: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the words in each of a line's ``size`` classes, and how many words these are; one class after another."""
+    start = np.cumsum(size) - size
+    spread = mix(word ^ salt)
+    place = start[line] + ((spread >> np.uint64(33)) % size[line].astype(np.uint64)).astype(np.int64)
+    at = np.argsort(place, kind="stable")
+    count = np.bincount(place, minlength=int(size.sum()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(spread[at] + SECOND), dtype=np.uint64)])
+    edge = np.concatenate([[0], np.cumsum(count)])
+    number = np.arange(len(count)) - np.repeat(start, size)
+    return mix(total[edge[1:]] - total[edge[:-1]] + mix(number.astype(np.uint64) ^ salt)), count
 
-def common_pairs(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the word pairs that are common in lines of ``least`` words, and the logarithm of their counts.
 
-    They only say which pairs are tried last; whatever they are, no near line is lost.
+def class_keys(h: np.ndarray, first: np.ndarray, last: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the line of each: for each of 2 * edits + 1 classes what words the line has in it.
+
+    A class of one word or none says little, so what stands in each class of a second division is added to it
+    in turn; of those, too, two lines within ``edits`` have one in common.
     """
+    word, line = of_lines(h, first, last)
+    size = 2 * edits + 1
+    key, count = contents(word, line, size, np.uint64(1))
+    more, _ = contents(word, line, size, np.uint64(2))
+    owner = np.repeat(np.arange(len(size)), size)
+    salt = mix(edits.astype(np.uint64) + SECOND)
+    weak = np.flatnonzero(count <= 1)
+    times = size[owner[weak]]
+    each = np.repeat(weak, times)
+    second = (np.cumsum(size) - size)[owner[each]] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    strong = np.flatnonzero(count > 1)
+    keys = np.concatenate([mix(key[strong] ^ salt[owner[strong]]), mix(key[each] ^ mix(more[second] + salt[owner[each]]))])
+    return keys, np.concatenate([owner[strong], owner[each]])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        for batch in blocks(batches):
-            h, _, _, first, last = lines_of(batch.column(0))
-            long = last - first >= least
-            slots = (word_pairs(h, first[long], last[long])[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            slot, n = np.unique(slots, return_counts=True)
-            total[slot] += n
-        often = np.flatnonzero(total >= 8 * max(1.0, total.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(total[often])], ["slot", "n"])
-
-    found = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "slot").limit(MOST_COMMON).collect()
-    return np.array([r.slot for r in rows], dtype=np.int64), np.array([r.n.bit_length() for r in rows], dtype=np.uint64)
-
-
-def rare_pairs(h: np.ndarray, first: np.ndarray, last: np.ndarray, edits: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each line its first 2 * edits + 1 word pairs in the order of rank and hash, without repeats; pairs per line."""
-    pairs, line = word_pairs(h, first, last)
-    key = (ranks[(pairs >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(56)) | (pairs & np.uint64((1 << 56) - 1))
-    order = np.lexsort((key, line))
-    key, line = key[order], line[order]
-    n = np.maximum(last - first - 1, 0)
-    place = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-    keep = place < 2 * edits[line] + 1
-    keep[1:] &= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    return key[keep], np.bincount(line[keep], minlength=len(n))
-
-
-def lines(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None) -> DataFrame:
-    """(d, row, line, h1, h2, words, halves, rare): every line of at least ``min_words`` words; 128 bits of hash.
-
-    ``halves`` is empty below ``near_words``, ``rare`` below ``per_edit`` or without it. ``docs`` has d, row, text.
+
+def bit_maps(word: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """256 bits per line, four columns: one bit for each distinct word."""
+    out = np.zeros((n, 256), dtype=np.uint8)
+    out[line, (mix(word) >> np.uint64(56)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def edit_bounds(n: np.ndarray, per_edit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, edits): for what bounds over one a line of n words can meet a partner, as the shorter and as the longer."""
+    own = 1 + n // per_edit
+    yield np.flatnonzero(own > 1), own[own > 1]
+    for less in range(1, int(own.max(initial=1))):  # down to the bound with the shortest possible partner
+        bound = own - less
+        other = np.flatnonzero((bound > 1) & (n - bound < per_edit * bound))
+        if not len(other):
+            break
+        yield other, bound[other]
+
+
+Rows = list[np.ndarray]  # the columns of a table
+
+
+def before(rows: Rows, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the line of row a comes before that of row b; the last three columns are d, row, line."""
+    d, r, k = (c for c in rows[-3:])
+    return (d[a] < d[b]) | ((d[a] == d[b]) & ((r[a] < r[b]) | ((r[a] == r[b]) & (k[a] < k[b]))))
+
+
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in some column."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def last_true(marks: np.ndarray) -> np.ndarray:
+    """For each row, the last marked one up to it; the first row counts as marked."""
+    at = np.where(marks, np.arange(len(marks)), 0)
+    return np.maximum.accumulate(at)
+
+
+def met_keys(rows: Rows, shared: bool = False) -> tuple[Rows, Rows, bool]:
+    """Of rows sorted by ``KEY_ORDER``: what can be said already, the earliest row per key and line, and whether
+    the last key has several lines. ``shared``: the first key had several lines before.
+
+    A whole line that is not the earliest is said to be DONE + WHOLE; the earliest place of each line that
+    has a half or class in common with another line DONE + HALF or DONE + CLASS.
     """
-    least = max(per_edit, near_words) if per_edit else 0
-    slots, counts = common_pairs(docs, least) if per_edit else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    key, kind, other = rows[:3]
+    group, line = starts_of(key, kind), starts_of(key, kind, other)
+    number = np.cumsum(group) - 1
+    several = np.bincount(number, weights=line) > 1
+    several[0] |= shared
+    repeat = (kind == WHOLE) & before(rows, last_true(line), np.arange(len(key)))
+    told = np.flatnonzero(repeat | ((kind != WHOLE) & line & several[number]))
+    said, kept = [c[told] for c in rows], np.flatnonzero(line)
+    said[1] = said[1] + DONE
+    return said, [c[kept] for c in rows], bool(several[-1])
+
+
+def met_variants(rows: Rows) -> tuple[Rows, Rows]:
+    """Of variants sorted by ``VARIANT_ORDER``: settled lines, and the earliest per variant and place. Settled is who
+    comes after a line that is the variant, or is it and comes after one that has it, or after one that lost that place."""
+    key, other, place = rows[:3]
+    same, every = starts_of(key, other, place), np.arange(len(key))
+    head = last_true(starts_of(key, other))
+    longer = (place[head] == NOTHING) & (place > NOTHING)
+    late = before(rows, last_true(same), every) | (longer & before(rows, head, every))
+    late[head[longer & before(rows, every, head)]] = True
+    said, kept = [c[late] for c in rows], np.flatnonzero(same)
+    said[2] = np.full(len(said[2]), SETTLED, dtype=np.int32)
+    return said, [c[kept] for c in rows]
+
+
+KEY_ORDER = ["key", "kind", "other", "d", "row", "line"]
+VARIANT_ORDER = ["key", "other", "place", "d", "row", "line"]
+
+
+def as_batch(rows: Rows, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
+
+
+def combined(parts: Iterator[Rows], meet: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What a task sends: per ``COMBINED_ROWS`` rows, what is settled there and the earliest of the rest."""
+    held, size = [], 0
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
-        ranks[slots] = counts
+    def send() -> Iterator[pa.RecordBatch]:
+        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+        at = np.lexsort(rows[::-1])
+        for out in meet([c[at] for c in rows])[:2]:
+            yield as_batch(out, names)
+
+    for rows in parts:
+        held.append(rows)
+        size += len(rows[0])
+        if size >= COMBINED_ROWS:
+            yield from send()
+            held, size = [], 0
+    if size:
+        yield from send()
+
+
+def columns_of(batch: pa.RecordBatch) -> Rows:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def keys(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None) -> DataFrame:
+    """``KEY_TYPE``: the keys of all lines. ``docs`` has d, row, text."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for batch in blocks(batches):
             h, text, number, first, last = lines_of(batch.column(2))
+            enough = last - first >= min_words
+            text, number, first, last = text[enough], number[enough], first[enough], last[enough]
+            d, row = batch.column(0).to_numpy()[text], batch.column(1).to_numpy()[text]
             n = last - first
-            enough = n >= min_words
-            text, number, first, last, n = text[enough], number[enough], first[enough], last[enough], n[enough]
             one, two = Sums(h), Sums(mix(h ^ SECOND))
-            near = n >= near_words
-            halves = half_keys(one, first[near], last[near]).view(np.int64)
-            at = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
-            long = (n >= least) & bool(per_edit)
-            rare, each = rare_pairs(h, first[long], last[long], 1 + n[long] // (per_edit or 1), ranks)
-            n_rare = np.zeros(len(n), dtype=np.int64)
-            n_rare[long] = each
-            rare_at = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)),
-                pa.array(number.astype(np.int32)),
-                pa.array(mix(one.run(first, last)).view(np.int64)), pa.array(mix(two.run(first, last)).view(np.int64)),
-                pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(halves.ravel())),
-                pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare.view(np.int64))),
-            ], ["d", "row", "line", "h1", "h2", "words", "halves", "rare"])
-
-    return docs.mapInArrow(split, LINE_TYPE)
+            h1, h2 = mix(one.run(first, last)), mix(two.run(first, last))
+            near = np.flatnonzero(n >= near_words)
+            found = [(h1, np.arange(len(n)), h2, WHOLE), (half_keys(one, first[near], last[near]).ravel(), np.repeat(near, 4), None, HALF)]
+            long = np.flatnonzero(n >= max(per_edit, near_words)) if per_edit else near[:0]
+            for at, edits in edit_bounds(n[long], per_edit or 1):
+                key, owner = class_keys(h, first[long[at]], last[long[at]], edits)
+                found.append((key, long[at][owner], None, CLASS))
+            for key, owner, other, kind in found:
+                yield [
+                    key.view(np.int64), np.full(len(key), kind, dtype=np.int32), (h1[owner] if other is None else other).view(np.int64),
+                    d[owner], row[owner], number[owner].astype(np.int32)]
+
+    return docs.mapInArrow(lambda batches: combined(emit(batches), met_keys, KEY_ORDER), KEY_TYPE)
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(kind, d, row, line): DONE + WHOLE for lines that repeat an earlier one, DONE + HALF or CLASS for lines that share one."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, several = None, False
+        for batch in batches:
+            rows = columns_of(batch)
+            done = rows[1] >= DONE
+            if done.any():
+                yield as_batch([c[done] for c in rows], KEY_ORDER).select(["kind", "d", "row", "line"])
+                rows = [c[~done] for c in rows]
+            if not len(rows[0]):
+                continue
+            if carry is not None:
+                several = several and carry[0][0] == rows[0][0] and carry[1][0] == rows[1][0]
+                rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
+            said, kept, several = met_keys(rows, several)
+            carry = [c[-1:] for c in kept]
+            yield as_batch(said, KEY_ORDER).select(["kind", "d", "row", "line"])
+
+    return rows.repartition("key").sortWithinPartitions(*KEY_ORDER).mapInArrow(read, "kind int, d long, row long, line int")
+
+
+def asked_lines(texts: pa.Array, asked: pa.Array):
+    """Like ``lines_of``, only the asked lines."""
+    h, text, number, first, last = lines_of(texts)
+    wanted = np.asarray(asked.flatten(), dtype=np.int64)
+    owner = np.repeat(np.arange(len(asked)), np.asarray(asked.value_lengths(), dtype=np.int64))
+    span = int(max(number.max(initial=0), wanted.max(initial=0))) + 1
+    keep = np.isin(text * span + number, owner * span + wanted)
+    return h, text[keep], number[keep], first[keep], last[keep]
 
 
 def variants(docs: DataFrame) -> DataFrame:
-    """(d, row, line, variant, place) of the asked lines: the line itself at place -1, then minus each word.
-
-    ``docs`` has d, row, text, asked (array of line numbers).
-    """
+    """``VARIANT_TYPE`` of each line asked for: itself with place NOTHING, then minus each word. ``docs`` has d, row, text, asked."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         step, back = np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64))
         for batch in blocks(batches):
-            h, text, number, first, last = lines_of(batch.column(2))
-            asked = batch.column(3).to_pylist()
+            h, text, number, first, last = asked_lines(batch.column(2), batch.column(3))
             d, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            up, _ = powers(len(h))
-            wanted = [set(x) for x in asked]
-            keep = np.array([int(k) in wanted[t] for t, k in zip(text, number, strict=True)], dtype=bool)
-            out = [[] for _ in range(5)]
-            for t, k, a, b in zip(text[keep], number[keep], first[keep], last[keep], strict=True):
-                part = h[a:b] * up[:b - a]
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
-                without = total[:-1] + (total[-1] - total[1:]) * back
-                both = mix(np.append(total[-1:], without) * step)
-                n = len(both)
-                for column, value in zip(out, (np.full(n, d[t]), np.full(n, row[t]), np.full(n, k), both, np.arange(-1, n - 1)), strict=True):
-                    column.append(value)
-            if out[0]:
-                d_, row_, line_, variant, place = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(d_), pa.array(row_), pa.array(line_.astype(np.int32)),
-                    pa.array(variant.view(np.int64)), pa.array(place.astype(np.int32)),
-                ], ["d", "row", "line", "variant", "place"])
-
-    return docs.mapInArrow(emit, VARIANT_TYPE)
+            each = last - first + 1
+            line = np.repeat(np.arange(len(each)), each)
+            place = np.arange(len(line)) - (np.cumsum(each) - each)[line] + NOTHING
+            a, b = first[line], last[line]
+            lost, rest = np.maximum(a + place, a), a + place + 1  # nothing is lost before ``a``
+            hashes = []
+            for sums in (Sums(h), Sums(mix(h ^ SECOND))):
+                left = (sums.total[lost] - sums.total[a]) * sums.down[a]
+                right = (sums.total[b] - sums.total[rest]) * sums.down[a]
+                hashes.append(mix((left + np.where(place == NOTHING, right, right * back)) * step))
+            yield [
+                hashes[0].view(np.int64), hashes[1].view(np.int64), place.astype(np.int32), d[text[line]],
+                row[text[line]], number[line].astype(np.int32)]
+
+    return docs.mapInArrow(lambda batches: combined(emit(batches), met_variants, VARIANT_ORDER), VARIANT_TYPE)
+
+
+def one_edit(rows: DataFrame) -> DataFrame:
+    """(d, row, line): the lines within one edit of an earlier one."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            rows = columns_of(batch)
+            done = rows[2] == SETTLED
+            if done.any():
+                yield as_batch([c[done] for c in rows], VARIANT_ORDER).select(["d", "row", "line"])
+                rows = [c[~done] for c in rows]
+            if not len(rows[0]):
+                continue
+            if carry is not None:
+                rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
+            said, kept = met_variants(rows)
+            head = last_true(starts_of(kept[0], kept[1]))[-1]
+            carry = [c[np.unique([head, len(kept[0]) - 1])] for c in kept]  # of the last variant its first place and its last
+            yield as_batch(said, VARIANT_ORDER).select(["d", "row", "line"])
+
+    return rows.repartition("key").sortWithinPartitions(*VARIANT_ORDER).mapInArrow(read, "d long, row long, line int")
+
+
+def class_lines(docs: DataFrame, per_edit: int) -> DataFrame:
+    """``CLASS_TYPE`` of each line asked for: its words, bit map and class keys, each with its bound."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            h, text, number, first, last = asked_lines(batch.column(2), batch.column(3))
+            parts = batch.column(2).to_pylist()
+            lines = [x.split("\n") for x in parts]
+            bits = bit_maps(*of_lines(h, first, last), len(first))
+            found = [(*class_keys(h, first[at], last[at], edits), at, edits) for at, edits in edit_bounds(last - first, per_edit)]
+            key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _, _, _ in found)])
+            owner = np.concatenate([np.zeros(0, np.int64), *(at[o] for _, o, at, _ in found)])
+            bound = np.concatenate([np.zeros(0, np.int64), *(edits[o] for _, o, _, edits in found)])
+            at = np.argsort(owner, kind="stable")
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))]).astype(np.int32))
+            pairs = pa.StructArray.from_arrays([pa.array(key[at].view(np.int64)), pa.array(bound[at].astype(np.int32))], ["key", "bound"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(number.astype(np.int32)),
+                pa.array((last - first).astype(np.int32)), pa.array([lines[t][k] for t, k in zip(text.tolist(), number.tolist(), strict=True)], pa.string()),
+                *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)], pa.ListArray.from_arrays(offsets, pairs),
+            ], ["d", "row", "line", "n", "words", "b0", "b1", "b2", "b3", "keys"])
 
-def within_one(a: list[bytes], b: list[bytes]) -> bool:
-    """Whether at most one word inserted, deleted or replaced turns a into b."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = next((i for i, x in enumerate(a) if x != b[i]), len(a))
-    return a[i + (len(a) == len(b)):] == b[i + 1:]
+    return docs.mapInArrow(emit, CLASS_TYPE)
 
 
 def within(a: list[bytes], b: list[bytes], edits: int) -> bool:
@@ -230,60 +398,64 @@ def within(a: list[bytes], b: list[bytes], edits: int) -> bool:
     return False
 
 
-def verified(line: Column, partner: Column, per_edit: int | None) -> Column:
+def within_one(a: list[bytes], b: list[bytes]) -> bool:
+    return within(a, b, 1)
+
+
+def verified(line: Column, partner: Column, bound: Column) -> Column:
     def split(texts: pa.Array) -> list[list[bytes]]:
         data, _ = buffers(texts)
         low, words = LOWER[data], words_of(texts)
         found = [low[s:e].tobytes() for s, e in zip(words.starts, words.ends, strict=True)]
         return [found[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
 
-    def near_pairs(line: pa.Array, partner: pa.Array) -> pa.Array:
-        both = zip(split(line), split(partner), strict=True)
-        return pa.array([within(a, b, 1 + (min(len(a), len(b)) // per_edit if per_edit else 0)) for a, b in both], pa.bool_())
+    def near_pairs(line: pa.Array, partner: pa.Array, bound: pa.Array) -> pa.Array:
+        both = zip(split(line), split(partner), bound.to_pylist(), strict=True)
+        return pa.array([within(a, b, k) for a, b, k in both], pa.bool_())
 
-    return arrow_udf(near_pairs, "boolean")(line, partner)
+    return arrow_udf(near_pairs, "boolean")(line, partner, bound)
 
 
 AT = ("d", "row", "line")
+BITS = ("b0", "b1", "b2", "b3")
 
 
-def documents_with(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(d, row, text, asked) of the documents that have one of ``lines`` (d, row, line), staged."""
-    asked = stage(lines.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("asked")), "asked-lines")
+def documents_with(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(d, row, text, asked) of the documents of ``asked`` (d, row, asked), staged. Only rows that a filter cannot clear are shuffled."""
     bits = bloom.bits_for(asked.count())
     rows = stage(bloom.build(asked, "row", bits), "document-filter")
     found = bloom.tested(texts, F.col("row"), rows, bits, "maybe").filter("maybe").drop("maybe")
-    return stage(found.dropDuplicates(["d", "row"]).join(asked, ["d", "row"]), "near-documents")
+    return stage(found.join(asked, ["d", "row"]).dropDuplicates(["d", "row"]), "near-documents")
 
 
-def near_lines(pairs: DataFrame, near_docs: DataFrame, per_edit: int | None) -> DataFrame:
-    """(first), staged: the lines of ``pairs`` (first, best) that are near their partner."""
-    split = near_docs.select("d", "row", F.explode("asked").alias("line"), F.split("text", "\n").alias("all"))
-    asked_text = stage(split.select(*AT, F.get("all", F.col("line")).alias("words")), "asked-text")
-    other = asked_text.select(*[F.col(c).alias(f"p_{c}") for c in AT], F.col("words").alias("p_words"))
-    pairs = pairs.select("first.*", *[F.col(f"best.{c}").alias(f"p_{c}") for c in AT])
-    near = pairs.join(asked_text, list(AT)).join(other, [f"p_{c}" for c in AT])
-    near = near.filter(verified(F.col("words"), F.col("p_words"), per_edit)).select(F.struct(*AT).alias("first"))
-    return stage(near.distinct(), "near-lines")
+def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame:
+    """(d, row, line), staged: ``near`` and the ``class_lines`` that are within their bound of an earlier one."""
+    place = F.struct(*AT)
+    each = lines.select(*AT, "n", *BITS, F.explode("keys").alias("k")).select(*AT, "n", *BITS, "k.key", "k.bound")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
+    each = stage(each.join(shared, "key"), "class-keys")
 
+    def partner(rows: DataFrame) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(f"p_{c}") for c in (*AT, "n", *BITS)])
 
-def near_by_rare_pairs(texts: DataFrame, distinct: DataFrame, near: DataFrame, per_edit: int) -> DataFrame:
-    """(first), staged: ``near`` and the lines that are near an earlier one by more than one edit."""
-    each = distinct.filter(F.size("rare") > 0).select("first", "words", F.explode("rare").alias("pair"))
-    shared = each.groupBy("pair").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    held = stage(each.join(stage(shared, "shared-pairs"), "pair"), "rare-pairs")
+    def alike(met: DataFrame) -> DataFrame:
+        """Pairs whose bit maps differ in no more than the bound of the shorter line allows, which is the key's."""
+        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in BITS), F.lit(0))
+        met = met.filter((F.struct(*[F.col(f"p_{c}") for c in AT]) < place) & (differ <= 2 * F.col("bound")))
+        met = met.filter((F.abs(F.col("n") - F.col("p_n")) <= F.col("bound")) & (F.col("bound") == 1 + F.floor(F.least("n", "p_n") / per_edit)))
+        return met.select(*AT, *[f"p_{c}" for c in AT], "bound").distinct()
 
-    def settled(candidates: DataFrame, near: DataFrame) -> DataFrame:
-        pairs = stage(candidates.select("first", "best").distinct(), "near-pairs")
-        both = pairs.select("first.*").unionByName(pairs.select("best.*"))
-        return stage(near.unionByName(near_lines(pairs, documents_with(texts, both), per_edit)), "near-so-far")
+    def settled(pairs: DataFrame, near: DataFrame) -> DataFrame:
+        own = lines.select(*AT, "words")
+        other = lines.select(*[F.col(c).alias(f"p_{c}") for c in AT], F.col("words").alias("p_words"))
+        met = pairs.join(own, list(AT)).join(other, [f"p_{c}" for c in AT])
+        found = met.filter(verified(F.col("words"), F.col("p_words"), F.col("bound"))).select(*AT)
+        return stage(near.unionByName(found).distinct(), "near-so-far")
 
-    near = settled(held.filter("best < first").join(near, "first", "left_anti"), near)
-    other = held.select("pair", F.col("first").alias("other"), F.col("words").alias("other_words"))
-    open_ = held.join(near, "first", "left_anti").filter("best < first").join(other, "pair")
-    alike = F.abs(F.col("words") - F.col("other_words")) <= 1 + F.floor(F.least("words", "other_words") / per_edit)
-    open_ = open_.filter((F.col("other") < F.col("first")) & (F.col("other") != F.col("best")) & alike)
-    return settled(open_.select("first", F.col("other").alias("best")), near)
+    first = each.groupBy("key").agg(F.min(F.struct(*AT, "n", *BITS)).alias("p")).select("key", "p.*")
+    near = settled(stage(alike(each.join(partner(first), "key")), "first-pairs"), near)
+    open_ = each.join(near, list(AT), "left_anti")
+    return settled(stage(alike(open_.join(partner(each), "key")), "other-pairs"), near)
 
 
 def line_drops(
@@ -293,63 +465,45 @@ def line_drops(
     smaller_batches(docs.sparkSession)
     whole = F.coalesce(named(text), F.lit(""))
     texts = docs.select(
-        F.coalesce(named(key).cast("long"), F.lit((1 << 63) - 1)).alias("d"),  # null keys come last
+        F.coalesce(named(key).cast("long"), F.lit(LAST)).alias("d"),  # null keys come last
         document_key(named(key), whole).alias("row"), whole.alias("text"))
-    found = stage(lines(texts, min_words, near_words, per_edit), "lines")
-    place = F.struct(*AT)
-    distinct = stage(
-        found.groupBy("h1", "h2").agg(
-            F.min(place).alias("first"), F.max(place).alias("last"), F.first("words").alias("words"),
-            F.first("halves").alias("halves"), F.first("rare").alias("rare")),
-        "distinct-lines")
-
-    # lines that share a half with another distinct line
-    shared = stage(
-        distinct.select(F.explode(F.array_distinct("halves")).alias("half")).groupBy("half")
-        .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"),
-        "shared-halves")
-    bits = bloom.bits_for(shared.count())
-    halves = stage(bloom.build(shared, "half", bits), "half-filter")
-    each = distinct.select("first", F.explode(F.array_distinct("halves")).alias("half"))
-    asked = bloom.tested(each, F.col("half"), halves, bits, "maybe").filter("maybe")
-    near_docs = documents_with(texts, asked.select("first.*"))
-
-    # the earliest line per (variant, place), and the line that is the variant
-    emitted = stage(variants(near_docs), "variants")
-    earliest = emitted.groupBy("variant", "place").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n"))
-    earliest = stage(earliest.withColumn("shared", F.lit(True)), "earliest")
-    same = emitted.join(earliest.filter("place >= 0 AND n > 1"), ["variant", "place"]).select(*AT, "best")
-    itself = earliest.filter("place < 0").select("variant", "best")
-    inserted = emitted.filter("place >= 0").join(itself, "variant").select(*AT, "best")
-    shorter = earliest.filter("place >= 0").groupBy("variant").agg(F.min("best").alias("best"))
-    deleted = emitted.filter("place < 0").join(stage(shorter, "longer-lines"), "variant").select(*AT, "best")
-    partner = same.unionByName(inserted).unionByName(deleted).filter(F.col("best") < place)
-    partner = partner.groupBy(*AT).agg(F.min("best").alias("best"))
-
-    pairs = stage(partner.select(place.alias("first"), "best"), "near-pairs")
-    near = near_lines(pairs, near_docs, per_edit)
-    if per_edit:
-        near = near_by_rare_pairs(texts, distinct, near, per_edit)
-    near = near.withColumn("near", F.lit(True))
+    found = stage(shared_keys(keys(texts, min_words, near_words, per_edit)), "line-keys")
 
-    repeated = distinct.join(near, "first", "left").filter("near OR first < last")
-    repeated = stage(repeated.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
-    gone = found.select(*AT, "h1", "h2").join(repeated, ["h1", "h2"]).filter(F.col("near") | (F.col("first") < place))
-    drops = gone.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("drop"))
-    return stage(drops, "line-drops")
+    def lines(kind: int) -> Column:
+        return F.collect_set(F.when(F.col("kind") == DONE + kind, F.col("line")))
 
-
-def cut_lines(text: pa.Array, drop: pa.Array) -> pa.Array:
+    told = stage(found.groupBy("d", "row").agg(
+        lines(WHOLE).alias("drop"), F.array_except(lines(HALF), lines(WHOLE)).alias("halves"),
+        F.array_except(lines(CLASS), lines(WHOLE)).alias("classes")), "told-lines")
+    asked = documents_with(texts, told.filter("size(halves) > 0 OR size(classes) > 0").select("d", "row", "halves", "classes"))
+    near = stage(one_edit(variants(asked.filter("size(halves) > 0").select("d", "row", "text", "halves"))).distinct(), "near-lines")
+    if per_edit:
+        long = class_lines(asked.filter("size(classes) > 0").select("d", "row", "text", "classes"), per_edit)
+        near = several_edits(stage(long, "class-lines"), near, per_edit)
+    drops = told.select("d", "row", F.explode("drop").alias("line")).unionByName(near)
+    return stage(drops.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
+
+
+def cut_lines(text: pa.Array, drop: pa.Array, again: pa.Array, min_words: int) -> pa.Array:
+    """The texts without the lines to drop; of a row that repeats another, without all lines that may go."""
+    h, owner, number, first, last = lines_of(text)
+    enough = last - first >= min_words
+    full: dict[int, list[int]] = {}
+    for t, k in zip(owner[enough].tolist(), number[enough].tolist(), strict=True):
+        full.setdefault(t, []).append(k)
     out = []
-    for t, gone in zip(text.to_pylist(), drop.to_pylist(), strict=True):
+    for i, (t, gone, repeated) in enumerate(zip(text.to_pylist(), drop.to_pylist(), again.to_pylist(), strict=True)):
         parts = t.split("\n")
-        gone = set(gone or [])
-        out.append({"text": "\n".join(x for i, x in enumerate(parts) if i not in gone), "n_lines": len(parts), "n_dropped": len(gone)})
+        gone = set(full.get(i, []) if repeated else gone or [])
+        out.append({"text": "\n".join(x for k, x in enumerate(parts) if k not in gone), "n_lines": len(parts), "n_dropped": len(gone)})
     return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
 
 
-def without(text: Column, drop: Column) -> Column:
-    return arrow_udf(cut_lines, "struct<text:string,n_lines:long,n_dropped:long>")(text, drop)
+def without(text: Column, drop: Column, again: Column, min_words: int) -> Column:
+    def cut(text: pa.Array, drop: pa.Array, again: pa.Array) -> pa.Array:
+        return cut_lines(text, drop, again, min_words)
+
+    return arrow_udf(cut, "struct<text:string,n_lines:long,n_dropped:long>")(text, drop, again)
 
 
 def line_dedup(
@@ -360,22 +514,31 @@ def line_dedup(
     The order of lines is (key, hash of the document, line number), null keys last. Of equal lines of
     at least ``min_words`` words all but the earliest go; a line of at least ``near_words`` words also
     goes, with its copies, when an earlier such line is near it: within one word, and one more for each
-    ``per_edit`` words of the shorter line (None: no more). Shorter lines, and lines without
-    words, always stay. Null texts are empty; rows with equal key and text share their decisions;
-    an empty table stays empty. Documents in which nothing changes are not shuffled.
+    ``per_edit`` words of the shorter line (None: no more). Shorter lines, and lines without words,
+    always stay. Of rows with equal key and text one is the earlier: it loses what any document loses,
+    the others all lines of ``min_words`` words. Null texts are empty; an empty table stays empty.
+    Documents in which nothing changes are not shuffled.
     """
     drops = line_drops(docs, key, text, min_words, near_words, per_edit)
-    bits = bloom.bits_for(drops.count())
-    words = stage(bloom.build(drops, "row", bits), "drop-filter")
     whole = F.coalesce(named(text), F.lit(""))
     keyed = docs.withColumns({
-        "__d__": F.coalesce(named(key).cast("long"), F.lit((1 << 63) - 1)), "__row__": document_key(named(key), whole)})
-    tested = bloom.tested(keyed, F.col("__row__"), words, bits, "__maybe__")
+        "__d__": F.coalesce(named(key).cast("long"), F.lit(LAST)), "__row__": document_key(named(key), whole)})
+    copies = keyed.groupBy("__d__", "__row__").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d__", "__row__")
+    copies = stage(copies.withColumn("__copies__", F.lit(True)), "repeated-rows")
     side = drops.select(F.col("d").alias("__d__"), F.col("row").alias("__row__"), F.col("drop").alias("__drop__"))
+    side = stage(side.join(copies, ["__d__", "__row__"], "full"), "changed-rows")
+    bits = bloom.bits_for(side.count())
+    words = stage(bloom.build(side, "__row__", bits), "drop-filter")
+    tested = bloom.tested(keyed, F.col("__row__"), words, bits, "__maybe__")
     left = tested.filter("NOT __maybe__").withColumn(
         "deduped", F.struct(whole.alias("text"), F.size(F.split(whole, "\n", -1)).cast("long").alias("n_lines"),
                             F.lit(0).cast("long").alias("n_dropped")))
-    cut = tested.filter("__maybe__").join(side, ["__d__", "__row__"], "left").withColumn(
-        "deduped", without(whole, F.col("__drop__")))
+    met = tested.filter("__maybe__").join(side, ["__d__", "__row__"], "left")
+    once = met.filter("__copies__ IS NULL").withColumn("__again__", F.lit(False))
+    many = stage(met.filter("__copies__").withColumn("__rid__", F.monotonically_increasing_id()), "copied-rows")
+    earliest = many.groupBy("__d__", "__row__").agg(F.min("__rid__").alias("__first__"))
+    many = many.join(earliest, ["__d__", "__row__"]).withColumn("__again__", F.col("__rid__") > F.col("__first__"))
+    cut = once.unionByName(many.select(*once.columns)).withColumn(
+        "deduped", without(whole, F.col("__drop__"), F.col("__again__"), min_words))
     kept = [*docs.columns, "deduped"]
     return left.select(*[named(c) for c in kept]).unionByName(cut.select(*[named(c) for c in kept]))
