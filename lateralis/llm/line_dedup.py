@@ -12,10 +12,11 @@ others, and no pairs arise. Only lines that share an unchanged half with another
 partner; only those emit variants. Keys of variants are 128 bits, so equal keys are equal variants and
 their places prove the edit distance.
 
-More edits: words fall by a hash into 2k + 1 classes. k edits touch at most 2k of them, so two lines
-within k edits have the same words in at least one class. Lines with a class in common, alike in length
-and in a bit map of their words (k edits change at most 2k bits), are verified word by word: first
-each with the earliest of its partners, then those that this does not settle with the others.
+More edits: of two lines of m words or more within k edits, (m - k) / (k + 1) words stand together
+unchanged in both. So of each window of that many words each line sends the key of one short run of
+words, the one with the least hash. Lines with such a key in common, alike in length and in a bit map
+of their words (k edits change at most 2k bits), are verified word by word: first each with the
+earliest of its partners, then those that this does not settle with the others.
 
 How it runs: keys are combined in the task that makes them (per key and line only the earliest place
 goes on, and what it settles is settled), dealt by key, sorted, and read in batches with one row
@@ -29,25 +30,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lateralis.llm import bloom
 from lateralis.llm.shared import named, smaller_batches, stage
-from lateralis.llm.wordhash import BASE, LOWER, blocks, buffers, mix, powers, runs, words_of
+from lateralis.llm.wordhash import BASE, LOWER, PLACE, blocks, buffers, mix, powers, runs, words_of
 
 SECOND = np.uint64(0x9E6C63D0876A9A47)
 #: Rows of keys that a task combines at once.
 COMBINED_ROWS = 400_000
 KEY_TYPE = "key long, kind int, other long, d long, row long, line int"
 VARIANT_TYPE = "key long, other long, place int, d long, row long, line int"
-CLASS_TYPE = (
+RUN_TYPE = (
     "d long, row long, line int, n int, words string, b0 long, b1 long, b2 long, b3 long, "
-    "keys array<struct<key:long,bound:int>>"
+    "keys array<long>"
 )
-#: Kinds of keys: a whole line, a half of one, a class of one; from DONE on, results on their way.
-WHOLE, HALF, CLASS, DONE = 0, 1, 2, 16
+#: Kinds of keys: a whole line, a half of one, a run of words; from DONE on, results on their way.
+WHOLE, HALF, RUN, DONE = 0, 1, 2, 16
 #: Places of variants: nothing lost, or a result on its way.
 NOTHING, SETTLED = -1, -2
 LAST = (1 << 63) - 1
@@ -104,38 +106,46 @@ def of_lines(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     return h[first[line] + np.arange(len(line)) - (np.cumsum(n) - n)[line]], line
 
 
-def contents(word: np.ndarray, line: np.ndarray, size: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the words in each of a line's ``size`` classes, and how many words these are; one class after another."""
-    start = np.cumsum(size) - size
-    spread = mix(word ^ salt)
-    place = start[line] + ((spread >> np.uint64(33)) % size[line].astype(np.uint64)).astype(np.int64)
-    at = np.argsort(place, kind="stable")
-    count = np.bincount(place, minlength=int(size.sum()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(spread[at] + SECOND), dtype=np.uint64)])
-    edge = np.concatenate([[0], np.cumsum(count)])
-    number = np.arange(len(count)) - np.repeat(start, size)
-    return mix(total[edge[1:]] - total[edge[:-1]] + mix(number.astype(np.uint64) ^ salt)), count
+#: Words that two lines have unchanged in one run at least, and of how many words the runs are that are hashed.
+RUNS = {1: 1, 2: 2, 3: 3, 5: 4, 8: 4, 12: 5}
 
 
-def class_keys(h: np.ndarray, first: np.ndarray, last: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and the line of each: for each of 2 * edits + 1 classes what words the line has in it.
+def run_lengths(most: int, per_edit: int) -> np.ndarray:
+    """By the length of the shorter line, the number of RUNS to go by: of m words and k edits (m - k) / (k + 1) stand
+    together, or more; never more than longer lines have."""
+    m = np.arange(most + 2 * per_edit + 2)
+    k = 1 + m // per_edit
+    together = np.minimum.accumulate((-(k - m) // (k + 1) + ((m - k) % (k + 1) > 0))[::-1])[::-1]
+    steps = np.array([0, *RUNS])
+    return steps[np.searchsorted(steps, together, side="right") - 1][:most + 1]
 
-    A class of one word or none says little, so what stands in each class of a second division is added to it
-    in turn; of those, too, two lines within ``edits`` have one in common.
-    """
-    word, line = of_lines(h, first, last)
-    size = 2 * edits + 1
-    key, count = contents(word, line, size, np.uint64(1))
-    more, _ = contents(word, line, size, np.uint64(2))
-    owner = np.repeat(np.arange(len(size)), size)
-    salt = mix(edits.astype(np.uint64) + SECOND)
-    weak = np.flatnonzero(count <= 1)
-    times = size[owner[weak]]
-    each = np.repeat(weak, times)
-    second = (np.cumsum(size) - size)[owner[each]] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-    strong = np.flatnonzero(count > 1)
-    keys = np.concatenate([mix(key[strong] ^ salt[owner[strong]]), mix(key[each] ^ mix(more[second] + salt[owner[each]]))])
-    return keys, np.concatenate([owner[strong], owner[each]])
+
+def run_keys(h: np.ndarray, first: np.ndarray, last: np.ndarray, per_edit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the line of each: of all runs of a few words that start in a window, the one of the least hash. Lines that
+    have a window's words in common have its key in common. A line goes by its own length and that of a shorter partner."""
+    n = last - first
+    table = run_lengths(int(n.max(initial=0)), per_edit)
+    own = table[n]
+    shortest = table[np.maximum((n - 2) * per_edit // (per_edit + 1) - 1, 0)]
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for length, size in RUNS.items():
+        at = np.flatnonzero((own == length) | ((shortest <= length) & (length < own)))
+        if not len(at):
+            continue
+        value = np.zeros(len(h) - size + 1, dtype=np.uint64)
+        for j in range(size):
+            value += h[j:len(value) + j] * PLACE[j]
+        value, wide = mix(value + np.uint64(length)), 1
+        while wide < length - size + 1:  # least of a window, from those of half its width
+            step = min(wide, length - size + 1 - wide)
+            value, wide = np.minimum(value[:-step], value[step:]), wide + step
+        each = n[at] - length + 1
+        line = np.repeat(np.arange(len(at)), each)
+        key = value[first[at][line] + np.arange(len(line)) - (np.cumsum(each) - each)[line]]
+        new = starts_of(key, line)
+        keys.append(key[new])
+        owners.append(at[line[new]])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def bit_maps(word: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
@@ -145,18 +155,6 @@ def bit_maps(word: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.int64)
 
 
-def edit_bounds(n: np.ndarray, per_edit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(lines, edits): for what bounds over one a line of n words can meet a partner, as the shorter and as the longer."""
-    own = 1 + n // per_edit
-    yield np.flatnonzero(own > 1), own[own > 1]
-    for less in range(1, int(own.max(initial=1))):  # down to the bound with the shortest possible partner
-        bound = own - less
-        other = np.flatnonzero((bound > 1) & (n - bound < per_edit * bound))
-        if not len(other):
-            break
-        yield other, bound[other]
-
-
 Rows = list[np.ndarray]  # the columns of a table
 
 
@@ -185,7 +183,7 @@ def met_keys(rows: Rows, shared: bool = False) -> tuple[Rows, Rows, bool]:
     the last key has several lines. ``shared``: the first key had several lines before.
 
     A whole line that is not the earliest is said to be DONE + WHOLE; the earliest place of each line that
-    has a half or class in common with another line DONE + HALF or DONE + CLASS.
+    has a half or run in common with another line DONE + HALF or DONE + RUN.
     """
     key, kind, other = rows[:3]
     group, line = starts_of(key, kind), starts_of(key, kind, other)
@@ -260,9 +258,9 @@ def keys(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None)
             near = np.flatnonzero(n >= near_words)
             found = [(h1, np.arange(len(n)), h2, WHOLE), (half_keys(one, first[near], last[near]).ravel(), np.repeat(near, 4), None, HALF)]
             long = np.flatnonzero(n >= max(per_edit, near_words)) if per_edit else near[:0]
-            for at, edits in edit_bounds(n[long], per_edit or 1):
-                key, owner = class_keys(h, first[long[at]], last[long[at]], edits)
-                found.append((key, long[at][owner], None, CLASS))
+            if len(long):
+                key, owner = run_keys(h, first[long], last[long], per_edit)
+                found.append((key, long[owner], None, RUN))
             for key, owner, other, kind in found:
                 yield [
                     key.view(np.int64), np.full(len(key), kind, dtype=np.int32), (h1[owner] if other is None else other).view(np.int64),
@@ -272,7 +270,7 @@ def keys(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None)
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(kind, d, row, line): DONE + WHOLE for lines that repeat an earlier one, DONE + HALF or CLASS for lines that share one."""
+    """(kind, d, row, line): DONE + WHOLE for lines that repeat an earlier one, DONE + HALF or RUN for lines that share one."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, several = None, False
@@ -352,8 +350,8 @@ def one_edit(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions(*VARIANT_ORDER).mapInArrow(read, "d long, row long, line int")
 
 
-def class_lines(docs: DataFrame, per_edit: int) -> DataFrame:
-    """``CLASS_TYPE`` of each line asked for: its words, bit map and class keys, each with its bound."""
+def run_lines(docs: DataFrame, per_edit: int) -> DataFrame:
+    """``RUN_TYPE`` of each line asked for: its words, bit map and run keys."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -361,20 +359,16 @@ def class_lines(docs: DataFrame, per_edit: int) -> DataFrame:
             parts = batch.column(2).to_pylist()
             lines = [x.split("\n") for x in parts]
             bits = bit_maps(*of_lines(h, first, last), len(first))
-            found = [(*class_keys(h, first[at], last[at], edits), at, edits) for at, edits in edit_bounds(last - first, per_edit)]
-            key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _, _, _ in found)])
-            owner = np.concatenate([np.zeros(0, np.int64), *(at[o] for _, o, at, _ in found)])
-            bound = np.concatenate([np.zeros(0, np.int64), *(edits[o] for _, o, _, edits in found)])
+            key, owner = run_keys(h, first, last, per_edit)
             at = np.argsort(owner, kind="stable")
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(first)))]).astype(np.int32))
-            pairs = pa.StructArray.from_arrays([pa.array(key[at].view(np.int64)), pa.array(bound[at].astype(np.int32))], ["key", "bound"])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(number.astype(np.int32)),
                 pa.array((last - first).astype(np.int32)), pa.array([lines[t][k] for t, k in zip(text.tolist(), number.tolist(), strict=True)], pa.string()),
-                *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)], pa.ListArray.from_arrays(offsets, pairs),
+                *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)], pa.ListArray.from_arrays(offsets, pa.array(key[at].view(np.int64))),
             ], ["d", "row", "line", "n", "words", "b0", "b1", "b2", "b3", "keys"])
 
-    return docs.mapInArrow(emit, CLASS_TYPE)
+    return docs.mapInArrow(emit, RUN_TYPE)
 
 
 def within(a: list[bytes], b: list[bytes], edits: int) -> bool:
@@ -429,21 +423,22 @@ def documents_with(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame:
-    """(d, row, line), staged: ``near`` and the ``class_lines`` that are within their bound of an earlier one."""
+    """(d, row, line), staged: ``near`` and the ``run_lines`` that are within their bound of an earlier one."""
     place = F.struct(*AT)
-    each = lines.select(*AT, "n", *BITS, F.explode("keys").alias("k")).select(*AT, "n", *BITS, "k.key", "k.bound")
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
-    each = stage(each.join(shared, "key"), "class-keys")
+    each = lines.select(*AT, "n", *BITS, F.explode(F.array_distinct("keys")).alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    each = stage(each.join(shared, "key"), "run-keys")
 
     def partner(rows: DataFrame) -> DataFrame:
         return rows.select("key", *[F.col(c).alias(f"p_{c}") for c in (*AT, "n", *BITS)])
 
     def alike(met: DataFrame) -> DataFrame:
-        """Pairs whose bit maps differ in no more than the bound of the shorter line allows, which is the key's."""
+        """Pairs whose lengths and bit maps differ by no more than the bound of the shorter line allows."""
+        bound = (1 + F.floor(F.least("n", "p_n") / per_edit)).cast("int")
         differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in BITS), F.lit(0))
-        met = met.filter((F.struct(*[F.col(f"p_{c}") for c in AT]) < place) & (differ <= 2 * F.col("bound")))
-        met = met.filter((F.abs(F.col("n") - F.col("p_n")) <= F.col("bound")) & (F.col("bound") == 1 + F.floor(F.least("n", "p_n") / per_edit)))
-        return met.select(*AT, *[f"p_{c}" for c in AT], "bound").distinct()
+        met = met.filter((F.struct(*[F.col(f"p_{c}") for c in AT]) < place) & (differ <= 2 * bound))
+        met = met.filter(F.abs(F.col("n") - F.col("p_n")) <= bound)
+        return met.select(*AT, *[f"p_{c}" for c in AT], bound.alias("bound")).distinct()
 
     def settled(pairs: DataFrame, near: DataFrame) -> DataFrame:
         own = lines.select(*AT, "words")
@@ -454,8 +449,9 @@ def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame
 
     first = each.groupBy("key").agg(F.min(F.struct(*AT, "n", *BITS)).alias("p")).select("key", "p.*")
     near = settled(stage(alike(each.join(partner(first), "key")), "first-pairs"), near)
-    open_ = each.join(near, list(AT), "left_anti")
-    return settled(stage(alike(open_.join(partner(each), "key")), "other-pairs"), near)
+    more = each.filter("many > 2")  # in other groups the first partner was the only one
+    open_ = more.join(near, list(AT), "left_anti")
+    return settled(stage(alike(open_.join(partner(more), "key")), "other-pairs"), near)
 
 
 def line_drops(
@@ -474,23 +470,24 @@ def line_drops(
 
     told = stage(found.groupBy("d", "row").agg(
         lines(WHOLE).alias("drop"), F.array_except(lines(HALF), lines(WHOLE)).alias("halves"),
-        F.array_except(lines(CLASS), lines(WHOLE)).alias("classes")), "told-lines")
-    asked = documents_with(texts, told.filter("size(halves) > 0 OR size(classes) > 0").select("d", "row", "halves", "classes"))
+        F.array_except(lines(RUN), lines(WHOLE)).alias("runs")), "told-lines")
+    asked = documents_with(texts, told.filter("size(halves) > 0 OR size(runs) > 0").select("d", "row", "halves", "runs"))
     near = stage(one_edit(variants(asked.filter("size(halves) > 0").select("d", "row", "text", "halves"))).distinct(), "near-lines")
     if per_edit:
-        long = class_lines(asked.filter("size(classes) > 0").select("d", "row", "text", "classes"), per_edit)
-        near = several_edits(stage(long, "class-lines"), near, per_edit)
+        long = run_lines(asked.filter("size(runs) > 0").select("d", "row", "text", "runs"), per_edit)
+        near = several_edits(stage(long, "run-lines"), near, per_edit)
     drops = told.select("d", "row", F.explode("drop").alias("line")).unionByName(near)
     return stage(drops.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
 
 
 def cut_lines(text: pa.Array, drop: pa.Array, again: pa.Array, min_words: int) -> pa.Array:
     """The texts without the lines to drop; of a row that repeats another, without all lines that may go."""
-    h, owner, number, first, last = lines_of(text)
-    enough = last - first >= min_words
     full: dict[int, list[int]] = {}
-    for t, k in zip(owner[enough].tolist(), number[enough].tolist(), strict=True):
-        full.setdefault(t, []).append(k)
+    if pc.any(again).as_py():
+        _, owner, number, first, last = lines_of(text)
+        enough = last - first >= min_words
+        for t, k in zip(owner[enough].tolist(), number[enough].tolist(), strict=True):
+            full.setdefault(t, []).append(k)
     out = []
     for i, (t, gone, repeated) in enumerate(zip(text.to_pylist(), drop.to_pylist(), again.to_pylist(), strict=True)):
         parts = t.split("\n")

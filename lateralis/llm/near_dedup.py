@@ -358,8 +358,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     Only documents that may have to go are shuffled.
     """
     rows = near_classes(docs, key, text, similarity).groupBy("d", "row").agg(
-        F.max("kept").alias("one"), F.count(F.lit(1)).alias("n"))
-    going = stage(rows.filter("NOT one OR n > 1").select(F.col("d").alias("__d__"), F.col("row").alias("__row__"), F.col("one").alias("__one__")), "going")
+        F.max("kept").alias("one"), F.min("kept").alias("each"))
+    going = stage(rows.filter("NOT each").select(F.col("d").alias("__d__"), F.col("row").alias("__row__"), F.col("one").alias("__one__")), "going")
     bits = bloom.bits_for(going.count())
     words = stage(bloom.build(going, "__row__", bits), "going-filter")
     whole = F.coalesce(named(text), F.lit(""))

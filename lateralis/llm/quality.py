@@ -157,18 +157,19 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, se
     return list(out)
 
 
-def lasso(z: np.ndarray, y: np.ndarray, penalty: float, w: np.ndarray, b: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """L1-penalised logistic regression by accelerated proximal gradients; the intercept is free."""
-    n = len(y)
-    rate = 4.0 / (np.mean(np.sum(z * z, axis=1)) + 1)
+def lasso(z: np.ndarray, y: np.ndarray, rows: np.ndarray, penalty: float, w: np.ndarray, b: float, steps: int = 150) -> tuple[np.ndarray, float]:
+    """L1-penalised logistic regression on the ``rows`` (0 or 1 each) of the 0/1 matrix ``z`` by accelerated proximal
+    gradients; the intercept is free. No copy of ``z`` is made."""
+    n = rows.sum()
+    rate = 4.0 / (float(rows @ z.sum(axis=1, dtype=np.float32)) / n + 1)  # a row's squares add up to its ones
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
-        wrong = 1 / (1 + np.exp(-(z @ v + c))) - y
-        new = v - rate * (z.T @ wrong) / n
+        wrong = (1 / (1 + np.exp(-(z @ v + c))) - y) * rows
+        new = v - rate * (wrong @ z) / n
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
-        new_b = c - rate * wrong.mean()
+        new_b = c - rate * wrong.sum() / n
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
+        v, c = (new + (t - 1) / t_new * (new - w)).astype(np.float32), new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new, new_b, t_new
     return w, b
 
@@ -178,24 +179,27 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 1) -> RuleModel:
 
     With labels of one class only, or none, the score is the smoothed share of label 1.
     """
-    y = y.astype(float)
+    y = y.astype(np.float32)
     rules = tree_rules(x, y, seed=seed) if len(y) and y.min() < y.max() else []
     if not rules:
-        share = (y.sum() + 1) / (len(y) + 2)
+        share = (float(y.sum()) + 1) / (len(y) + 2)
         return RuleModel([], [], float(np.log(share / (1 - share))))
-    z = np.column_stack([holds(x, r) for r in rules]).astype(float)
+    z = np.empty((len(y), len(rules)), dtype=np.float32)
+    for i, rule in enumerate(rules):
+        z[:, i] = holds(x, rule)
     aside = np.random.default_rng(seed).random(len(y)) < 0.2
-    share = np.clip(y.mean(), 0.01, 0.99)
-    w, b, best = np.zeros(z.shape[1]), float(np.log(share / (1 - share))), None
+    learned = (~aside).astype(np.float32)
+    share = np.clip(float(y.mean()), 0.01, 0.99)
+    w, b, best = np.zeros(z.shape[1], dtype=np.float32), float(np.log(share / (1 - share))), None
     for penalty in (0.03, 0.01, 0.003, 0.001, 0.0003):
-        w, b = lasso(z[~aside], y[~aside], penalty, w, b)
-        p = np.clip(1 / (1 + np.exp(-(z[aside] @ w + b))), 1e-6, 1 - 1e-6)
+        w, b = lasso(z, y, learned, penalty, w.astype(np.float32), b)
+        p = np.clip(1 / (1 + np.exp(-(z @ w.astype(np.float32) + b)))[aside], 1e-6, 1 - 1e-6)
         loss = -np.mean(y[aside] * np.log(p) + (1 - y[aside]) * np.log(1 - p)) if aside.any() else 0.0
         if best is None or loss < best[0] - 1e-4:
             best = (loss, penalty)
-    w, b = lasso(z, y, best[1], np.zeros(z.shape[1]), float(np.log(share / (1 - share))), 300)
+    w, b = lasso(z, y, np.ones(len(y), np.float32), best[1], np.zeros(z.shape[1], dtype=np.float32), float(np.log(share / (1 - share))), 300)
     kept = np.flatnonzero(w)
-    return RuleModel([rules[i] for i in kept], w[kept].tolist(), float(b))
+    return RuleModel([rules[i] for i in kept], [float(v) for v in w[kept]], float(b))
 
 
 def held_out(key: Column) -> Column:

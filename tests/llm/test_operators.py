@@ -145,6 +145,22 @@ def test_quality_learns_and_scores_all(spark, docs, empty):
 # --- license scan
 
 
+def test_compiled_rules_equal_numpy_and_hold_out(spark):
+    """The column expression against the rules one by one on whole tables, and its worth on labels never learned from."""
+    folder = "/root/testdata/sf0.01"
+    table, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(table, labels)
+    got = quality.classify(table, model).select("doc_id", "text", "score").collect()
+    x = quality.statistics_of(pa.array([r.text or "" for r in got]))
+    total = model.intercept + sum(w * quality.holds(x, r) for r, w in zip(model.rules, model.weights, strict=True))
+    assert len(model.rules) > 3 and np.allclose([r.score for r in got], 1 / (1 + np.exp(-total)), atol=1e-9)
+    score = {r.doc_id: r.score for r in got}
+    out = [(score[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in score and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    good, bad = [s for s, q in out if q == 1], [s for s, q in out if q == 0]
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.95, auc
+
+
 def test_license_scan(spark, empty):
     texts = [
         "This is under the GNU General\nPublic-License, version 3.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.",
