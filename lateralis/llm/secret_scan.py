@@ -2,7 +2,9 @@
 
 Long runs of encoding characters are candidates. For each, the encoding is inferred; over its
 alphabet three tests of randomness are made: chi-squared uniformity, runs about the middle, and
-serial correlation. A candidate that any test rejects as random is none. For the others the
+serial correlation. They are combined into one p by Simes' rule, which holds for independent tests
+and for ones that depend on each other positively, as here runs and serial correlation do (both fall
+when like follows like). A candidate that is not random by this p is none. For the others the
 chi-squared value is held against what ordinary text of the same length and alphabet would show:
 that probability falls with length, so a short string is weak evidence however even it looks. A
 Benjamini-Hochberg bound per length class then controls the false discoveries.
@@ -37,8 +39,9 @@ ENCODINGS = [
     ("base32", r"^[A-Z2-7]+$", (string.ascii_uppercase + "234567").lower(), 0.065),
     ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", DIGITS + string.ascii_lowercase, 0.065),
     ("base62", r"^[0-9A-Za-z]+$", DIGITS + string.ascii_letters, 0.065),
-    ("base64", r"", DIGITS + string.ascii_letters + "+/-_", 0.065),
-]
+    ("base64", r"^[0-9A-Za-z+/]+$", DIGITS + string.ascii_letters + "+/", 0.065),
+    ("base64url", r"^[0-9A-Za-z_-]+$", DIGITS + string.ascii_letters + "-_", 0.065),
+]  # with characters of both kinds of base64 it is in no encoding, and never random
 
 
 def matches(text: Column, pattern: str, gate: Column) -> Column:
@@ -98,42 +101,63 @@ def log_tail(z: Column) -> Column:
     return F.when(z < 3, F.log10(tail(z))).otherwise(log_far)
 
 
+def occurrences(text: Column, part: Column | str) -> Column:
+    """How often ``part``, which cannot overlap itself, stands in ``text``."""
+    part = F.lit(part) if isinstance(part, str) else part
+    return ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("double")
+
+
+def simes(ascending: Column, n: int) -> Column:
+    """One p of ``n`` ascending ones: the least of n * p(i) / i."""
+    return F.least(*[F.get(ascending, F.lit(i)) * (n / (i + 1)) for i in range(n)])
+
+
 def battery(candidates: DataFrame, level: float) -> DataFrame:
-    """Adds size, encoding and log_p: log10 of how likely ordinary text is to look so even; 0 if not random at ``level``."""
+    """Adds size, encoding, p_random (of the three tests) and log_p: log10 of how likely ordinary text is to look so
+    even; 0 if ``p_random`` is below ``level``, or without encoding.
+
+    Counts come from string functions, a character of the alphabet at a time, so the work is in proportion to length.
+    """
     name, alphabet, share = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
     for encoding, pattern, letters, equal in reversed(ENCODINGS):
-        match = F.col("found").rlike(pattern) if pattern else F.lit(True)
+        match = F.col("found").rlike(pattern)
         name = F.when(match, encoding).otherwise(name)
         alphabet = F.when(match, letters).otherwise(alphabet)
         share = F.when(match, F.lit(equal).cast("double")).otherwise(share)
     rows = candidates.withColumns({"encoding": name, "alphabet": alphabet, "share": share})
     folded = F.when(F.col("encoding").isin("hex", "upper", "base32", "base36"), F.lower("found")).otherwise(F.col("found"))
-    rows = rows.withColumn("codes", F.split(folded, ""))
-    rows = rows.withColumn("codes", F.expr("transform(codes, c -> locate(c, alphabet) - 1)"))
-    rows = rows.withColumns({"size": F.length("found").cast("double"), "letters": F.length("alphabet").cast("double")})
+    rows = rows.withColumns({"folded": folded, "size": F.length("found").cast("double"), "letters": F.length("alphabet").cast("double")})
     rows = rows.withColumns({
-        "squares": F.expr("aggregate(array_distinct(codes), 0D, (s, d) -> s + pow(size(filter(codes, x -> x = d)), 2))"),
-        "high": F.expr("cast(size(filter(codes, x -> x >= letters / 2)) as double)"),
-        "mean": F.expr("aggregate(codes, 0D, (s, x) -> s + x) / size"),
-        "steps": F.expr("zip_with(slice(codes, 1, size(codes) - 1), slice(codes, 2, size(codes)), (a, b) -> named_struct('a', a, 'b', b))"),
+        "codes": F.expr("transform(split(folded, ''), c -> cast(locate(c, alphabet) - 1 as double))"),
+        "halves": F.expr("translate(folded, alphabet, repeat('0', int(letters / 2)) || repeat('1', int(letters - letters / 2)))"),
+        "squares": F.expr("aggregate(split(alphabet, ''), 0D, (s, c) -> s + pow(length(folded) - length(replace(folded, c, '')), 2))"),
     })
     rows = rows.withColumns({
-        "chi": F.expr("letters / size * squares - size"),
-        "turns": F.expr("1D + size(filter(steps, s -> (s.a >= letters / 2) <> (s.b >= letters / 2)))"),
-        "spread": F.expr("aggregate(codes, 0D, (s, x) -> s + pow(x - mean, 2))"),
-        "lagged": F.expr("aggregate(steps, 0D, (s, x) -> s + (x.a - mean) * (x.b - mean))"),
-        "expected": F.expr("1D + 2 * high * (size - high) / size"),
+        "high": occurrences(F.col("halves"), "1"),
+        "turns": 1 + occurrences(F.col("halves"), "01") + occurrences(F.col("halves"), "10"),
+        "sum": F.expr("aggregate(codes, 0D, (s, x) -> s + x)"),
+        "sum2": F.expr("aggregate(codes, 0D, (s, x) -> s + x * x)"),
+        "next": F.expr("aggregate(zip_with(codes, slice(codes, 2, size(codes)), (a, b) -> a * b), 0D, (s, x) -> s + coalesce(x, 0D))"),
+        "ends": F.expr("codes[0] + codes[size(codes) - 1]"),
     })
-    df = F.col("letters") - 1
-    z_chi = (F.pow(F.col("chi") / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    variance = (F.col("expected") - 1) * (F.col("expected") - 2) / (F.col("size") - 1)
-    z_runs = F.when(variance > 0, (F.col("turns") - F.col("expected")) / F.sqrt(variance)).otherwise(8.0)
-    z_serial = F.when(F.col("spread") > 0, (F.col("lagged") / F.col("spread") + 1 / F.col("size")) * F.sqrt("size")).otherwise(8.0)
-    uneven = F.least(tail(z_chi), 2 * tail(F.abs(z_runs)), 2 * tail(F.abs(z_serial)))
-    excess = (F.col("size") - 1) * (F.col("letters") * F.col("share") - 1)
-    as_text = log_tail((df + excess - F.col("chi")) / F.sqrt(2 * df + 4 * excess))
-    log_p = F.when(uneven < level, 0.0).otherwise(as_text)
-    return rows.select(*candidates.columns, "encoding", F.col("size").cast("int").alias("size"), log_p.alias("log_p"))
+    # column by column, so that no formula holds another one many times over
+    size, mean, df, chi, expected, excess = (F.col(c) for c in ("size", "mean", "df", "chi", "expected", "excess"))
+    for made in (
+        {"mean": F.col("sum") / size, "df": F.col("letters") - 1, "chi": F.col("letters") / size * F.col("squares") - size,
+         "expected": 1 + 2 * F.col("high") * (size - F.col("high")) / size, "excess": (size - 1) * (F.col("letters") * F.col("share") - 1)},
+        {"spread": F.col("sum2") - size * mean * mean, "variance": (expected - 1) * (expected - 2) / (size - 1),
+         "lagged": F.col("next") - mean * (2 * F.col("sum") - F.col("ends")) + (size - 1) * mean * mean,
+         "z_chi": (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)),
+         "z_text": (df + excess - chi) / F.sqrt(2 * df + 4 * excess)},
+        {"z_runs": F.abs(F.when(F.col("variance") > 0, (F.col("turns") - expected) / F.sqrt("variance")).otherwise(8.0)),
+         "z_serial": F.abs(F.when(F.col("spread") > 1e-9, (F.col("lagged") / F.col("spread") + 1 / size) * F.sqrt(size)).otherwise(8.0))},
+        {"ascending": F.array_sort(F.array(tail(F.col("z_chi")), 2 * tail(F.col("z_runs")), 2 * tail(F.col("z_serial")))),
+         "as_text": log_tail(F.col("z_text"))},
+        {"p_random": F.when(F.col("encoding").isNotNull(), simes(F.col("ascending"), 3))},
+    ):
+        rows = rows.withColumns(made)
+    log_p = F.when(F.col("p_random") >= level, F.col("as_text")).otherwise(0.0)
+    return rows.select(*candidates.columns, "encoding", size.cast("int").alias("size"), "p_random", log_p.alias("log_p"))
 
 
 def discoveries(tested: DataFrame, rate: float) -> DataFrame:
@@ -164,7 +188,8 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rate:
     none = F.coalesce("assign", "access", "hex", "random").isNull()
     spans = stage(placed(rows.filter(~none)), "secret-spans")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but long work
-    random = discoveries(battery(spans.filter("kind = 3").repartition(tasks, "rid", "start"), level), rate)
+    tested = stage(battery(spans.filter("kind = 3").repartition(tasks, "rid", "start"), level), "secret-tests")
+    random = discoveries(tested, rate)
     all_spans = spans.filter("kind < 3").select("rid", "kind", "start", "end").unionByName(
         random.select("rid", "kind", "start", "end"))
     listed = all_spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))

@@ -527,6 +527,64 @@ def test_secret_scan_of_letters_only_and_digits_only(spark):
     assert [got[i] for i in range(60, 64)] == [0] * 4
 
 
+def battery_reference(t):
+    """(p_random, log_p), with exact normal tails, in plain Python."""
+    kinds = [("0123456789", 0.165, False), ("0123456789abcdef", 0.1, True), ("abcdefghijklmnopqrstuvwxyz", 0.065, False), ("abcdefghijklmnopqrstuvwxyz", 0.065, "upper"),
+             ("abcdefghijklmnopqrstuvwxyz234567", 0.065, "upper"), ("0123456789abcdefghijklmnopqrstuvwxyz", 0.065, True)]
+    full = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds += [(full, 0.065, False), (full + "+/", 0.065, False), (full + "-_", 0.065, False)]
+    for alphabet, share, fold in kinds:
+        one_case = t in (t.lower(), t.upper()) if fold is True else t == t.upper()
+        use = t.lower() if fold and one_case else t
+        if set(use) <= set(alphabet) and (one_case or not fold):
+            break
+    else:
+        return None, 0.0
+    n, k, x = len(use), len(alphabet), np.array([alphabet.index(c) for c in use], dtype=float)
+    chi = k / n * sum(v * v for v in collections.Counter(use).values()) - n
+    upper = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    high = x >= k / 2
+    expected = 1 + 2 * high.sum() * (n - high.sum()) / n
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    m = x - x.mean()
+    z = [((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1))),
+         (1 + (high[1:] != high[:-1]).sum() - expected) / math.sqrt(variance) if variance > 0 else 8.0,
+         ((m[1:] * m[:-1]).sum() / (m * m).sum() + 1 / n) * math.sqrt(n) if (m * m).sum() > 1e-9 else 8.0]
+    p = sorted([upper(z[0]), 2 * upper(abs(z[1])), 2 * upper(abs(z[2]))])
+    excess = (n - 1) * (k * share - 1)
+    over = (k - 1 + excess - chi) / math.sqrt(2 * (k - 1) + 4 * excess)
+    return min(3 * p[0], 1.5 * p[1], p[2]), math.log10(max(upper(over), 1e-300))
+
+
+def test_secret_battery_and_discoveries_equal_plain_python(spark):
+    rng = random.Random(21)
+    full = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in (full[:16], full[:36], full, full + "+/", full + "-_", full[:10], full[36:]) for n in (16, 33, 64, 400, 3200)]
+    texts += ["a" * 20, "ab" * 40, "abcdefghijklmnopqrstuvwxyz", "thequickbrownfoxjumpsoverthelazydog", "some-file_name/with+all", "0" * 16, prose(40, 3).replace(" ", "").replace("é", "e")]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.i: r for r in secret_scan.battery(spark.createDataFrame(rows, "i long, found string"), 0.001).collect()}
+    for i, t in rows:
+        p, log_p = battery_reference(t)
+        assert (p is None) == (got[i].p_random is None)
+        if p is not None:
+            assert got[i].p_random == pytest.approx(p, abs=0.002)
+        if p is None or abs(p - 0.001) > 0.001:
+            assert max(got[i].log_p, -290) == pytest.approx(max(log_p, -290) if p is not None and p >= 0.001 else 0.0, abs=0.05)
+    assert sum(got[i].log_p < -20 for i, t in rows if len(t) == 3200 and "+" in t or "_" in t and len(t) == 3200) == 2
+    tested = [(-rng.random() * 9 if k % 3 == 0 else -rng.random(), 2 ** rng.randrange(4, 7), k) for k in range(900)]
+    accepted = set()
+    for stratum in (4, 5, 6):
+        own = sorted((-(int(min(-p, 30.0) / 0.02)), k) for p, s, k in tested if s == 2**stratum)
+        ranks = collections.Counter(b for b, _ in own)
+        best, below = None, 0
+        for b in sorted(ranks):
+            below += ranks[b]
+            if 10 ** (0.02 * b) <= 0.1 * below / len(own):
+                best = b
+        accepted |= {k for b, k in own if best is not None and b <= best}
+    assert {r.k for r in secret_scan.discoveries(spark.createDataFrame(tested, "log_p double, size int, k long"), 0.1).collect()} == accepted and 50 < len(accepted) < 850
+
+
 def test_log_tail_has_no_floor(spark):
     z = [-9.0, -3.0, 0.0, 1.0, 2.9, 3.0, 4.0, 8.0, 12.0, 30.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secret_scan.log_tail(F.col("z"))).collect()]
