@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lateralis.llm import bloom
-from lateralis.llm.shared import named, smaller_batches, stage
+from lateralis.llm.shared import named, scratch, smaller_batches, stage
 from lateralis.llm.wordhash import BASE, LOWER, PLACE, blocks, buffers, mix, powers, runs, words_of
 
 SECOND = np.uint64(0x9E6C63D0876A9A47)
@@ -463,21 +463,22 @@ def line_drops(
     texts = docs.select(
         F.coalesce(named(key).cast("long"), F.lit(LAST)).alias("d"),  # null keys come last
         document_key(named(key), whole).alias("row"), whole.alias("text"))
-    found = stage(shared_keys(keys(texts, min_words, near_words, per_edit)), "line-keys")
-
-    def lines(kind: int) -> Column:
-        return F.collect_set(F.when(F.col("kind") == DONE + kind, F.col("line")))
-
-    told = stage(found.groupBy("d", "row").agg(
-        lines(WHOLE).alias("drop"), F.array_except(lines(HALF), lines(WHOLE)).alias("halves"),
-        F.array_except(lines(RUN), lines(WHOLE)).alias("runs")), "told-lines")
-    asked = documents_with(texts, told.filter("size(halves) > 0 OR size(runs) > 0").select("d", "row", "halves", "runs"))
-    near = stage(one_edit(variants(asked.filter("size(halves) > 0").select("d", "row", "text", "halves"))).distinct(), "near-lines")
-    if per_edit:
-        long = run_lines(asked.filter("size(runs) > 0").select("d", "row", "text", "runs"), per_edit)
-        near = several_edits(stage(long, "run-lines"), near, per_edit)
-    drops = told.select("d", "row", F.explode("drop").alias("line")).unionByName(near)
-    return stage(drops.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
+    with scratch(docs.sparkSession):
+        found = stage(shared_keys(keys(texts, min_words, near_words, per_edit)), "line-keys")
+
+        def lines(kind: int) -> Column:
+            return F.collect_set(F.when(F.col("kind") == DONE + kind, F.col("line")))
+
+        told = stage(found.groupBy("d", "row").agg(
+            lines(WHOLE).alias("drop"), F.array_except(lines(HALF), lines(WHOLE)).alias("halves"),
+            F.array_except(lines(RUN), lines(WHOLE)).alias("runs")), "told-lines")
+        asked = documents_with(texts, told.filter("size(halves) > 0 OR size(runs) > 0").select("d", "row", "halves", "runs"))
+        near = stage(one_edit(variants(asked.filter("size(halves) > 0").select("d", "row", "text", "halves"))).distinct(), "near-lines")
+        if per_edit:
+            long = run_lines(asked.filter("size(runs) > 0").select("d", "row", "text", "runs"), per_edit)
+            near = several_edits(stage(long, "run-lines"), near, per_edit)
+        drops = told.select("d", "row", F.explode("drop").alias("line")).unionByName(near)
+        return stage(drops.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops", keep=True)
 
 
 def cut_lines(text: pa.Array, drop: pa.Array, again: pa.Array, min_words: int) -> pa.Array:

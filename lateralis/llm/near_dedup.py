@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lateralis.llm import bloom
-from lateralis.llm.shared import named, smaller_batches, stage
+from lateralis.llm.shared import named, scratch, smaller_batches, stage
 from lateralis.llm.wordhash import LOWER, PLACE, blocks, buffers, mix, shingles, words_of
 
 SKETCH_TYPE = "d long, row long, digest binary, bands array<long>"
@@ -300,7 +300,12 @@ def near_classes(
     by all bands with a probability of 0.00005.
     """
     smaller_batches(docs.sparkSession, 250)
-    texts = keyed_texts(docs, key, text)
+    with scratch(docs.sparkSession):
+        return classes_of(keyed_texts(docs, key, text), similarity, bands, rows, small)
+
+
+def classes_of(texts: DataFrame, similarity: float, bands: int, rows: int, small: int) -> DataFrame:
+    """``near_classes`` of (d, row, text)."""
     found = stage(sketches(texts, bands, rows).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     worded = found.filter("digest IS NOT NULL")
     nodes = worded.groupBy("digest").agg(
@@ -349,7 +354,7 @@ def near_classes(
     return stage(out.select(
         "d", "row", F.coalesce("best.d", "d").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"),
-    ), "near-classes")
+    ), "near-classes", keep=True)
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -357,9 +362,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
 
     Only documents that may have to go are shuffled.
     """
-    rows = near_classes(docs, key, text, similarity).groupBy("d", "row").agg(
-        F.max("kept").alias("one"), F.min("kept").alias("each"))
-    going = stage(rows.filter("NOT each").select(F.col("d").alias("__d__"), F.col("row").alias("__row__"), F.col("one").alias("__one__")), "going")
+    with scratch(docs.sparkSession):
+        rows = near_classes(docs, key, text, similarity).groupBy("d", "row").agg(
+            F.max("kept").alias("one"), F.min("kept").alias("each"))
+        rows = rows.filter("NOT each").select(F.col("d").alias("__d__"), F.col("row").alias("__row__"), F.col("one").alias("__one__"))
+        going = stage(rows, "going", keep=True)
     bits = bloom.bits_for(going.count())
     words = stage(bloom.build(going, "__row__", bits), "going-filter")
     whole = F.coalesce(named(text), F.lit(""))

@@ -7,6 +7,8 @@ column expression over the statistics.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,7 +140,7 @@ def grow(x, y, weight, cuts, binned, rows, depth, features, path, out) -> None:
     for over in (False, True):
         below = rows[(binned[rows, j] > k) == over]
         if len(below) >= 5:
-            step = (*path, (j, over, float(cuts[j][k])))
+            step = (*path, (int(j), over, float(cuts[j][k])))
             out.setdefault(tuple(sorted(set(step))), None)
             grow(x, y, weight, cuts, binned, below, depth - 1, features, step, out)
 
@@ -209,7 +211,7 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           max_labelled: int = MAX_LABELLED) -> RuleModel:
-    """Fits on at most ``max_labelled`` labelled rows, taken by a hash of their keys; null labels are left out.
+    """Fits, in one task, on at most ``max_labelled`` labelled rows, taken by a hash of their keys; null labels are left out.
 
     A key with several labels is learned with each of them.
     """
@@ -218,8 +220,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = rows.orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled)  # so its broadcast has a bound
     texts = docs.select(named(key).cast("long").alias("k"), named(text).alias("t"))
     found = texts.join(F.broadcast(sample), "k").select("y", statistics(F.col("t")).alias("s")).limit(max_labelled)
-    table = found.select("y", "s.*").toPandas().sort_values(["y", *STATISTICS]).to_numpy(dtype=float)
-    return fit(table[:, 1:], table[:, 0])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) for b in batches]
+        table = np.concatenate([np.zeros((0, 1 + len(STATISTICS))), *rows])
+        table = table[np.lexsort(table.T[::-1])]
+        model = fit(table[:, 1:], table[:, 0])
+        yield pa.RecordBatch.from_pydict({"model": [json.dumps([model.rules, model.weights, model.intercept])]})
+
+    made = found.select(F.col("y").cast("double"), "s.*").repartition(1).mapInArrow(learn, "model string").first()
+    if made is None:  # nothing is labelled, and no task ran
+        return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
+    rules, weights, intercept = json.loads(made.model)
+    return RuleModel([tuple((int(j), bool(over), float(at)) for j, over, at in rule) for rule in rules], weights, intercept)
 
 
 def classify(docs: DataFrame, model: RuleModel, text: str = "text", threshold: float = 0.3,

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set (one machine, tests)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lateralis-shared-")
@@ -18,14 +20,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+#: Paths staged by each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what is staged inside, but for tables staged with ``keep``; those belong to the one outside."""
+    own: list[str] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The copy cuts the lineage, is computed once however often it is read, keeps column
-    pruning, and outlives any executor. The folder's owner removes it, as with checkpoints.
+    pruning, and outlives any executor. An open ``scratch`` removes it; else the folder's owner, as with checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lateralis-{label}-{uuid.uuid4().hex}"
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
