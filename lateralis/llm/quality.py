@@ -97,14 +97,21 @@ class RuleModel:
     intercept: float
 
     def score(self, stats: Column) -> Column:
-        """The ensemble as one column: the probability of label 1."""
-        total = F.lit(float(self.intercept))
+        """The ensemble as one column: the probability of label 1.
+
+        The rules are an array whose values are added up. A sum of hundreds of terms would make one generated
+        method beyond Java's limit of 64 KB, and the compiler that finds that out hundreds of MB of the driver.
+        """
+        parts = []
         for rule, weight in zip(self.rules, self.weights, strict=True):
             holds = F.lit(True)
             for j, over, threshold in rule:
                 value = stats[STATISTICS[j]]
                 holds = holds & ((value > threshold) if over else (value <= threshold))
-            total = total + F.when(holds, float(weight)).otherwise(0.0)
+            parts.append(F.when(holds, float(weight)).otherwise(0.0))
+        total = F.lit(float(self.intercept))
+        if parts:
+            total = F.aggregate(F.array(*parts), total, lambda so_far, part: so_far + part)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
