@@ -1,10 +1,11 @@
-"""Sequential clustering, one group (alignment, correlation block) per task."""
+"""Clusterings that go through their rows in order: one group (alignment, correlation block) per task, leader scans of pairs in rounds."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def leaders(vectors: np.ndarray, close: float) -> list[int]:
@@ -65,7 +66,7 @@ def average_linkage(points: np.ndarray) -> list[tuple[int, int, float]]:
     Cluster n + i is made by merge i; ties go to the first pair.
     """
     n = len(points)
-    d = np.sqrt(np.maximum(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2), 0))
+    d = np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in points])  # a row at a time: n x n in memory, not n x n x n
     np.fill_diagonal(d, np.inf)
     name, size, live, out = list(range(n)), np.ones(n), np.ones(n, dtype=bool), []
     for step in range(n - 1):
@@ -136,19 +137,26 @@ def fuzzy_clusters(rows: DataFrame, group: str, key: str, vector: str, k: int, p
     return rows.select(group, key, vector).groupBy(group).applyInPandas(one, f"{group} {types[group]}, {key} {types[key]}, cluster int, membership double")
 
 
-def duplicate_clusters(pairs: DataFrame, ids: DataFrame, group: str, least: float = 0.9) -> DataFrame:
-    """(group, id, leader): leader scan in the order of ids over pairs (a, b, score, agrees): an id joins the
-    first leader with a score of at least ``least`` that agrees with it."""
+def duplicate_clusters(pairs: DataFrame, ids: DataFrame, cut, least: float = 0.9) -> DataFrame:
+    """(id, leader): a leader scan in the order of ids over pairs (a, b, score, agrees): an id joins the first leader
+    with a score of at least ``least`` that agrees with it, else it leads itself.
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        good = right[(right["score"] >= least) & right["agrees"]]
-        linked = set(zip(good["a"], good["b"], strict=True)) | set(zip(good["b"], good["a"], strict=True))
-        heads, out = [], []
-        for i in sorted(left["id"]):
-            h = next((h for h in heads if (h, i) in linked), i)
-            heads += [i] if h == i else []
-            out.append((key[0], i, h))
-        return pd.DataFrame(out, columns=[group, "id", "leader"])
-
-    types = dict(ids.dtypes)
-    return ids.groupBy(group).cogroup(pairs.groupBy(group)).applyInPandas(one, f"{group} {types[group]}, id {types['id']}, leader {types['id']}")
+    In rounds: who has no undecided smaller neighbour leads, and a leader's larger neighbours follow. A round decides
+    whatever does not wait for another, so scans take few rounds unless the ids form a long chain.
+    """
+    near = pairs.filter((F.col("score") >= least) & F.col("agrees") & (F.col("a") != F.col("b")))
+    near = cut(near.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
+    state = cut(ids.select("id").distinct().withColumn("leads", F.lit(None).cast("boolean")))
+    waiting = near
+    while not waiting.isEmpty():
+        blocked = waiting.select(F.col("high").alias("id"))
+        first = state.filter("leads IS NULL").join(blocked, "id", "left_anti").select("id")
+        followers = waiting.join(first.withColumnRenamed("id", "low"), "low", "left_semi").select(F.col("high").alias("id")).distinct()
+        decided = cut(first.withColumn("now", F.lit(True)).unionByName(followers.withColumn("now", F.lit(False))))
+        state = cut(state.join(decided, "id", "left").select("id", F.coalesce("leads", "now").alias("leads")))
+        done = decided.select("id")
+        waiting = cut(waiting.join(done.withColumnRenamed("id", "low"), "low", "left_anti").join(done.withColumnRenamed("id", "high"), "high", "left_anti"))
+    leaders = state.filter("coalesce(leads, true)").select("id")
+    first = near.join(leaders.withColumnRenamed("id", "low"), "low", "left_semi").groupBy(F.col("high").alias("id")).agg(F.min("low").alias("first"))
+    follows = state.filter("NOT leads").join(first, "id").select("id", F.col("first").alias("leader"))
+    return leaders.withColumn("leader", F.col("id")).unionByName(follows)

@@ -70,6 +70,43 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
 
 
+def permutation_draws(clusters: DataFrame, permutations: int, seed: int = 144) -> DataFrame:
+    """(cluster, observed, perm, event, u, dir): for each event a number in [0, 1) and a direction by the share of gains."""
+    draws = clusters.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("event", F.explode(F.expr("sequence(1, n_events)")))
+    c, m, e = F.col("cluster"), F.col("perm"), F.col("event")
+    gain = uniform(F.lit(seed), c, m, e, F.lit("dir")) < F.col("gain_share")
+    return draws.select("cluster", "observed", "perm", "event", uniform(F.lit(seed), c, m, e, F.lit("edge")).alias("u"), F.when(gain, 1).otherwise(2).alias("dir"))
+
+
+def length_ranges(edges: DataFrame, parts: int = 256) -> DataFrame:
+    """(edge, low, high): the share of the total length up to each edge, in the order of numeric edges.
+
+    Sums run within ``parts`` ranges of edges, and over the sums of those.
+    """
+    first, last, total = edges.agg(F.min("edge"), F.max("edge"), F.sum("length")).first()
+    width = max(1, ((last or 0) - (first or 0)) // parts + 1)
+    rows = edges.select("edge", "length", F.floor((F.col("edge") - (first or 0)) / width).alias("part"))
+    sums = rows.groupBy("part").agg(F.sum("length").alias("sum"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("base"))  # one row per part
+    upto = W.partitionBy("part").orderBy("edge").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("upto", F.sum("length").over(upto)).join(sums, "part")
+    high = F.try_divide(F.col("base") + F.col("upto"), F.lit(total))
+    return rows.select("edge", (high - F.try_divide("length", F.lit(total))).alias("low"), high.alias("high"))
+
+
+def permutation_hits(clusters: DataFrame, edges: DataFrame, marker: DataFrame, permutations: int, seed: int = 144, cells: int = 1024) -> DataFrame:
+    """(cluster, observed, perm, n): how many drawn events fall on an edge where the marker changes the same way.
+
+    A draw meets only the ranges of its own of ``cells`` equal parts of [0, 1); a range lies in every part that it touches.
+    """
+    cell = F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells)))
+    ranges = length_ranges(edges).join(marker, "edge").select("dir", "low", "high", cell.alias("cell"))
+    draws = permutation_draws(clusters, permutations, seed).withColumn("cell", F.floor(F.col("u") * cells))
+    inside = (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))
+    return draws.join(ranges, ["dir", "cell"], "left").groupBy("cluster", "observed", "perm").agg(F.count_if(inside).alias("n"))
+
+
 def weighted_permutations(clusters: DataFrame, edges: DataFrame, marker: DataFrame, permutations: int, seed: int = 144) -> DataFrame:
     """(cluster, observed, n_over, p): weighted permutation test of co-acquisition with a marker.
 
@@ -78,34 +115,42 @@ def weighted_permutations(clusters: DataFrame, edges: DataFrame, marker: DataFra
     the cluster's share of gains; it counts when the marker changes the same way there. p is the
     share of permutations whose count is strictly over the observed one, so it can be 0.
     """
-    total = edges.agg(F.sum("length")).first()[0] or 0.0
-    upto = W.orderBy("edge").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # the marker's edges as ranges of cumulative length: one tree, and few of its edges
-    ranges = edges.withColumn("high", F.sum("length").over(upto) / total).withColumn("low", F.col("high") - F.col("length") / total)
-    ranges = F.broadcast(ranges.join(marker, "edge").select("dir", "low", "high"))
-    draws = clusters.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("event", F.explode(F.expr("sequence(1, n_events)")))
-    c, m, e = F.col("cluster"), F.col("perm"), F.col("event")
-    draws = draws.withColumns({
-        "u": uniform(F.lit(seed), c, m, e, F.lit("edge")),
-        "dir": F.when(uniform(F.lit(seed), c, m, e, F.lit("dir")) < F.col("gain_share"), 1).otherwise(2)})
-    hit = draws.join(ranges, ["dir"], "left").groupBy("cluster", "observed", "perm").agg(
-        F.count_if((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).alias("n"))
+    hit = permutation_hits(clusters, edges, marker, permutations, seed)
     over = hit.groupBy("cluster", "observed").agg(F.count_if(F.col("n") > F.col("observed")).alias("n_over"))
     return over.withColumn("p", F.col("n_over") / permutations)
 
 
+def permutation_totals(hits: DataFrame) -> DataFrame:
+    """(perm, n): the hits of all clusters in each permutation."""
+    return hits.groupBy("perm").agg(F.sum("n").alias("n"))
+
+
 def bonferroni(tests: DataFrame, level: float = 0.05) -> DataFrame:
     """Adds ``significant``: p at most level / number of tests."""
     n = tests.agg(F.count(F.lit(1)).alias("__n__"))
     return tests.crossJoin(F.broadcast(n)).withColumn("significant", F.col("p") <= level / F.col("__n__")).drop("__n__")
 
 
-def label_permutations(items: DataFrame, permutations: int, seed: int = 144) -> DataFrame:
-    """(perm, id, label): the labels of (id, label) dealt anew to the ids, once per permutation."""
-    rows = items.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    w = W.partitionBy("perm")
-    dealt = rows.withColumns({
-        "place": F.row_number().over(w.orderBy("id")),
-        "drawn": F.row_number().over(w.orderBy(uniform(F.lit(seed), F.col("perm"), F.col("id")), "id"))})
-    return dealt.select("perm", "id", F.col("place").alias("k")).join(
-        dealt.select("perm", F.col("drawn").alias("k"), "label"), ["perm", "k"]).drop("k")
+def numbered(rows: DataFrame, keys: list[str], part: Column, order: list, name: str) -> DataFrame:
+    """Adds ``name``: the place, from 1, of each row within ``keys``; ``part`` never falls along ``order``.
+
+    Rows are numbered within parts, and the parts by the counts before them, so no task sorts a whole group.
+    """
+    rows = rows.withColumn("__part__", part)
+    n = rows.groupBy(*keys, "__part__").agg(F.count(F.lit(1)).alias("__n__"))
+    before = W.partitionBy(*keys).orderBy("__part__").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select(*keys, "__part__", F.coalesce(F.sum("__n__").over(before), F.lit(0)).alias("__base__"))
+    inside = F.row_number().over(W.partitionBy(*keys, "__part__").orderBy(*order))
+    out = rows.withColumn("__in__", inside).join(n, [*keys, "__part__"])
+    return out.withColumn(name, F.col("__base__") + F.col("__in__")).drop("__part__", "__in__", "__base__")
+
+
+def label_permutations(items: DataFrame, permutations: int, seed: int = 144, per_part: int = 100_000) -> DataFrame:
+    """(perm, id, label): the labels of (id, label) dealt anew to the numeric ids, once per permutation."""
+    parts = items.count() // per_part + 1
+    bounds = items.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    place = numbered(items.select("id"), [], at, ["id"], "k").select("id", "k")
+    perms = items.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("u", uniform(F.lit(seed), F.col("perm"), F.col("id")))
+    drawn = numbered(perms, ["perm"], F.floor(F.col("u") * parts), ["u", "id"], "k").select("perm", "k", "label")
+    return drawn.join(place, "k").select("perm", "id", "label")

@@ -517,9 +517,8 @@ def fuzzy_cut(t):
 @query()
 def dedup_clusters(t):
     scored = pairs(t, ordered=True).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(similarity.containment()).alias("score"))
-    rows = scored.select(F.lit(1).alias("block"), "a", "b", "score", F.lit(True).alias("agrees"))
-    ids = members(t).select(F.lit(1).alias("block"), F.col("l_suppkey").alias("id")).distinct()
-    return clustering.duplicate_clusters(rows, ids, "block", 0.2).select("id", "leader")
+    rows = scored.select("a", "b", "score", F.lit(True).alias("agrees"))
+    return clustering.duplicate_clusters(rows, members(t).select(F.col("l_suppkey").alias("id")), cut, 0.2)
 
 
 @query("""WITH p AS (SELECT l_suppkey s, count(*) n, count(DISTINCT l_partkey) k FROM lineitem WHERE l_quantity >= 45 GROUP BY 1)
