@@ -1,6 +1,6 @@
 """Sets, counts, distances, statistics, sequences and dates on stand-in tables.
 
-Sets: suppliers and the parts they ship in quantity; distances: embedding vectors; places: nations.
+Sets: suppliers and the parts they ship; distances: embedding vectors; places: nations.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def six(c: Column) -> Column:
 
 
 def members(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_quantity >= 45").select("l_suppkey", "l_partkey").distinct()
+    return t.lineitem.select("l_suppkey", "l_partkey").distinct()
 
 
 def pairs(t: Tables, ordered: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def pairs(t: Tables, ordered: bool = False) -> DataFrame:
 
 
 PAIRS_SQL = """
-WITH m AS (SELECT DISTINCT l_suppkey s, l_partkey i FROM lineitem WHERE l_quantity >= 45),
+WITH m AS (SELECT DISTINCT l_suppkey s, l_partkey i FROM lineitem),
 n AS (SELECT s, count(*) n FROM m GROUP BY s),
 p AS (SELECT x.s a, y.s b, count(*) n_ab FROM m x JOIN m y ON x.i = y.i AND x.s {op} y.s GROUP BY 1, 2),
 q AS (SELECT p.*, u.n n_a, v.n n_b FROM p JOIN n u ON u.s = a JOIN n v ON v.s = b)
@@ -252,11 +252,11 @@ def crosstab(t):
     return places(t).groupBy("c_nationkey").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0)
 
 
-@query("""WITH e AS (SELECT c_nationkey g, strftime(o_orderdate, '%Y-%m') c FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 480000),
+@query("""WITH e AS (SELECT c_nationkey g, strftime(o_orderdate, '%Y-%m') c FROM orders JOIN customer ON c_custkey = o_custkey),
 n AS (SELECT g, c, count(*) n FROM e GROUP BY 1, 2), t AS (SELECT g, sum(n) t FROM n GROUP BY 1)
 SELECT x.g AS a, y.g AS b, round(sum(x.n) / any_value(t), 6) AS share FROM n x JOIN n y ON x.c = y.c AND x.g <> y.g JOIN t ON t.g = x.g GROUP BY 1, 2""")
 def group_share(t):
-    s = similarity.group_share(places(t).filter("o_totalprice > 480000"), "c_nationkey", "month")
+    s = similarity.group_share(places(t), "c_nationkey", "month")
     return s.select("a", "b", six(F.col("share")).alias("share"))
 
 
@@ -479,13 +479,13 @@ def count_size_points(t):
     return p.select("x", "y", "n", six(F.col("size")).alias("size"))
 
 
-@query("""WITH i AS (SELECT o_custkey p, o_orderstatus s, CASE o_orderpriority WHEN '1-URGENT' THEN 'HGT' WHEN '2-HIGH' THEN 'Importation' ELSE 'Unknown' END st FROM orders WHERE o_totalprice > 300000),
+@query("""WITH i AS (SELECT o_custkey p, o_orderstatus s, CASE o_orderpriority WHEN '1-URGENT' THEN 'HGT' WHEN '2-HIGH' THEN 'Importation' ELSE 'Unknown' END st FROM orders),
 g AS (SELECT p, s, count(*) n, count(*) FILTER (st = 'HGT') h, count(*) FILTER (st = 'Importation') im FROM i GROUP BY 1, 2)
 SELECT p AS o_custkey, CASE WHEN max(h) > 1 THEN 'Multiple HGT' WHEN max(h) = 1 THEN 'Multiple isolates' WHEN sum(im) > 0 THEN 'Importation' ELSE 'Undetermined' END AS result
 FROM g GROUP BY p HAVING sum(n) > 1""")
 def entity_rollup(t):
     status = F.when(F.col("o_orderpriority") == "1-URGENT", "HGT").when(F.col("o_orderpriority") == "2-HIGH", "Importation").otherwise("Unknown")
-    return counts.patient_status(t.orders.filter("o_totalprice > 300000").withColumn("status", status), "o_custkey", "o_orderstatus", "status")
+    return counts.patient_status(t.orders.withColumn("status", status), "o_custkey", "o_orderstatus", "status")
 
 
 @query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey s, l_partkey i FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09),
@@ -521,10 +521,10 @@ def dedup_clusters(t):
     return clustering.duplicate_clusters(rows, members(t).select(F.col("l_suppkey").alias("id")), cut, 0.2)
 
 
-@query("""WITH p AS (SELECT l_suppkey s, count(*) n, count(DISTINCT l_partkey) k FROM lineitem WHERE l_quantity >= 45 GROUP BY 1)
+@query("""WITH p AS (SELECT l_suppkey s, count(*) n, count(DISTINCT l_partkey) k FROM lineitem GROUP BY 1)
 SELECT s % 10 AS merged, max(n) AS most, count(DISTINCT k) AS kinds FROM p GROUP BY 1""")
 def merge_clusters(t):
-    p = t.lineitem.filter("l_quantity >= 45").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("k"))
+    p = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("k"))
     return p.groupBy((F.col("l_suppkey") % 10).alias("merged")).agg(F.max("n").alias("most"), F.countDistinct("k").alias("kinds"))
 
 
