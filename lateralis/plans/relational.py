@@ -337,9 +337,15 @@ def rank_sum(t):
     return s.select("o_orderpriority", "n1", "n2", "w")
 
 
-@query()
+@query(RANK_SQL + """, g AS (SELECT k, x, count(*) t FROM v GROUP BY 1, 2), y AS (SELECT k, CAST(sum(t * t * t - t) AS double) ties FROM g GROUP BY 1),
+s AS (SELECT k, CAST(count(*) FILTER (f) AS double) n1, CAST(count(*) FILTER (NOT f) AS double) n2, sum(r) FILTER (f) total FROM r GROUP BY 1),
+q AS (SELECT s.k, n1, n2, total - n1 * (n1 + 1) / 2 w, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) sd FROM s JOIN y ON y.k = s.k),
+z AS (SELECT *, greatest(abs(w - n1 * n2 / 2) - 0.5, 0) / nullif(sd, 0) z FROM q), e AS (SELECT *, 1 / (1 + 0.3275911 * z / sqrt(2)) t FROM z)
+SELECT k AS o_orderpriority, n1::bigint AS n1, n2::bigint AS n2, w, round(z, 6) AS z,
+ round(least(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2), 1), 6) AS p FROM e""")
 def rank_sum_p(t):
-    return statistics.rank_sum(two_samples(t), ["o_orderpriority"], "o_totalprice", F.col("o_orderstatus") == "F")
+    s = statistics.rank_sum(two_samples(t), ["o_orderpriority"], "o_totalprice", F.col("o_orderstatus") == "F")
+    return s.select("o_orderpriority", "n1", "n2", "w", six(F.col("z")).alias("z"), six(F.col("p")).alias("p"))
 
 
 @query(RANK_SQL + """, c AS (SELECT k, x, sum(count(*) FILTER (f)) OVER w a, sum(count(*) FILTER (NOT f)) OVER w b FROM r GROUP BY k, x
