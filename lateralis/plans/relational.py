@@ -101,7 +101,7 @@ def presence_pivot(t):
     return m.groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1)).cast("int")).fillna(0)
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 45)
+@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
 SELECT * FROM m WHERE l_partkey IN (SELECT l_partkey FROM m GROUP BY 1 HAVING count(*) > 3)""")
 def feature_filter(t):
     return counts.frequent_features(members(t), "l_partkey", 3)
