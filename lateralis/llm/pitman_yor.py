@@ -1,7 +1,7 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of words.
 
-Two levels of restaurants: one per context (the last byte of the word before, so 257 at most) and,
-as their common parent, the restaurant of words without context, over a uniform base of all training
+Two levels of restaurants: one per context (the word before, by 16 bits of its hash: frequent words
+hardly share one, rare ones do) and, as their common parent, the restaurant of words without context, over a uniform base of all training
 words and one unknown word. In a context's restaurant each (context, word) cell seats its training
 occurrences; every table sends one customer to the parent. The first seating follows the process;
 then come Gibbs sweeps: given the parent's predictive probabilities and the tables per context of the
@@ -13,7 +13,7 @@ after the first.
 How it runs: texts become blocks of about two million tokens, each with its distinct cells and, per
 token, the number of its cell. Only the cells are shuffled, packed, to buckets by word hash, so that
 all of a word's contexts meet. A sweep is a map over buckets; what buckets share are the numbers of
-customers and tables per context, some 260 sums. At the end each block gets one probability per
+customers and tables per context, at most 65,536 sums of each whatever the corpus. At the end each block gets one probability per
 distinct cell back and adds up its texts.
 """
 
@@ -25,14 +25,15 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lateralis.llm.shared import documents_of, smaller_batches, stage
-from lateralis.llm.wordhash import IS_SPACE, LOWER, blocks, buffers, words_of
+from lateralis.llm.wordhash import IS_SPACE, blocks, words_of
 
-BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, CONTEXTS = 2_000_000, 250_000, 64, 256
+BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, CONTEXTS = 2_000_000, 250_000, 64, 1 << 16
 #: The token after a text's last word.
 END = np.uint64(0x0123456789ABCDEF)
 EXACT = 64  # customers seated one by one before larger steps
@@ -67,10 +68,9 @@ def unsqueeze(packed: bytes, n: int) -> np.ndarray:
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes with the end after each text, the context of each, tokens per text."""
     words = words_of(texts, ~IS_SPACE)
-    data, _ = buffers(texts)
-    last = np.insert(LOWER[data][words.ends - 1], words.ptr[1:], 0)
-    context = np.concatenate([np.zeros(1, np.uint8), last])[:len(last)]
-    return np.insert(words.hashes, words.ptr[1:], END), context, np.diff(words.ptr) + 1
+    tokens = np.insert(words.hashes, words.ptr[1:], END)
+    context = np.append(END, tokens)[:len(tokens)] % np.uint64(CONTEXTS)
+    return tokens, context.astype(np.uint16), np.diff(words.ptr) + 1
 
 
 def corpus_blocks(docs: DataFrame, at_once: int = BLOCK_TOKENS) -> DataFrame:
@@ -89,8 +89,8 @@ def corpus_blocks(docs: DataFrame, at_once: int = BLOCK_TOKENS) -> DataFrame:
             pa.array([out.to_pylist()], pa.list_(pa.bool_())),
             pa.array([np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes()]),
             pa.array([squeeze(token)], pa.binary()), pa.array([words.tobytes()]),
-            pa.array([np.bincount(cells // CONTEXTS, minlength=len(words)).astype(np.uint16).tobytes()]),
-            pa.array([(cells % CONTEXTS).astype(np.uint8).tobytes()]), pa.array([n.tobytes()]),
+            pa.array([np.bincount(cells // CONTEXTS, minlength=len(words)).astype(np.uint32).tobytes()]),
+            pa.array([(cells % CONTEXTS).astype(np.uint16).tobytes()]), pa.array([n.tobytes()]),
             pa.array([len(cells)], pa.int64()),
         ], ["block", "doc_ids", "held", "ptr", "tokens", "words", "per_word", "context", "n", "n_cells"])
 
@@ -115,8 +115,8 @@ def to_buckets(rows: DataFrame, bits: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words, per = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["per_word"], np.uint16)
-                context, n = np.frombuffer(r["context"], np.uint8), np.frombuffer(r["n"], np.uint32)
+                words, per = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["per_word"], np.uint32)
+                context, n = np.frombuffer(r["context"], np.uint16), np.frombuffer(r["n"], np.uint32)
                 first = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
                 bucket = (words >> np.uint64(64 - bits)).astype(np.int64)
                 edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(words))
@@ -137,18 +137,18 @@ def gathered(slices: DataFrame) -> DataFrame:
     def gather(group: pa.Table) -> pa.Table:
         rows = group.sort_by("block").to_pydict()
         words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-        per = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["per_word"]])
-        context = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["context"]])
+        per = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["per_word"]])
+        context = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["context"]])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["n"]])
         distinct, word_of = np.unique(np.concatenate(words), return_inverse=True)
         cells, cell_of = np.unique(np.repeat(word_of, per) * CONTEXTS + context, return_inverse=True)
         total = np.bincount(cell_of, weights=n, minlength=len(cells)).astype(np.int64)
         return pa.Table.from_pydict({
             "bucket": [rows["bucket"][0]],
-            "per_word": [np.bincount(cells // CONTEXTS, minlength=len(distinct)).astype(np.uint16).tobytes()],
-            "context": [(cells % CONTEXTS).astype(np.uint8).tobytes()], "n": [total.tobytes()],
-            "blocks": [rows["block"]], "n_words": [[len(x) for x in words]], "n_cells": [[len(x) for x in rows["context"]]],
-            "word_of": [word_of.astype(np.int32).tobytes()], "cell_of": [cell_of.astype(np.int32).tobytes()],
+            "per_word": [np.bincount(cells // CONTEXTS, minlength=len(distinct)).astype(np.uint32).tobytes()],
+            "context": [(cells % CONTEXTS).astype(np.uint16).tobytes()], "n": [total.tobytes()],
+            "blocks": [rows["block"]], "n_words": [[len(x) for x in words]], "n_cells": [[len(x) // 2 for x in rows["context"]]],
+            "word_of": [squeeze(np.diff(word_of, prepend=0))], "cell_of": [squeeze(np.diff(cell_of, prepend=0))],
         }, pa.schema([
             ("bucket", pa.int64()), ("per_word", pa.binary()), ("context", pa.binary()), ("n", pa.binary()),
             ("blocks", pa.list_(pa.string())), ("n_words", pa.list_(pa.int32())), ("n_cells", pa.list_(pa.int32())),
@@ -292,12 +292,12 @@ class Model:
 
 
 def cells_of(r: dict) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    per = np.frombuffer(r["per_word"], np.uint16)
-    return np.repeat(np.arange(len(per)), per), len(per), np.frombuffer(r["context"], np.uint8), np.frombuffer(r["n"], np.int64)
+    per = np.frombuffer(r["per_word"], np.uint32)
+    return np.repeat(np.arange(len(per)), per), len(per), np.frombuffer(r["context"], np.uint16), np.frombuffer(r["n"], np.int64)
 
 
 def summed(buckets: DataFrame, measure) -> dict[str, np.ndarray]:
-    """Adds up what ``measure`` gives per bucket: by name, up to 256 numbers. At most some 1,300 rows come back."""
+    """Adds up what ``measure`` gives per bucket: by name, up to CONTEXTS numbers. At most CONTEXTS + 5 rows come back."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -305,15 +305,18 @@ def summed(buckets: DataFrame, measure) -> dict[str, np.ndarray]:
             for r in batch.to_pylist():
                 for name, values in measure(r).items():
                     total[name] = total.get(name, 0) + np.asarray(values, dtype=float)
-        rows = [(name, k, float(v)) for name, values in total.items() for k, v in enumerate(values)]
-        yield pa.RecordBatch.from_pylist(
-            [{"name": a, "k": b, "value": c} for a, b, c in rows],
-            pa.schema([("name", pa.string()), ("k", pa.int32()), ("value", pa.float64())]))
+        for name, values in total.items():
+            k = np.flatnonzero(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(values[k])], ["name", "k", "value"])
 
     found: dict[str, np.ndarray] = {}
     own = buckets.select("bucket", "per_word", "context", "n").mapInArrow(each, SUM_TYPE)
-    for name, k, value in own.groupBy("name", "k").agg(F.sum("value")).collect():
-        found.setdefault(name, np.zeros(CONTEXTS))[k] = value
+    sums = own.groupBy("name", "k").agg(F.sum("value").alias("value")).toArrow()
+    for name in sums["name"].unique().to_pylist():
+        one = sums.filter(pc.equal(sums["name"], name))
+        found[name] = np.zeros(CONTEXTS)
+        found[name][one["k"].to_numpy()] = one["value"].to_numpy()
     return found
 
 
@@ -360,7 +363,8 @@ def scored_cells(buckets: DataFrame, model: Model, burn: int) -> DataFrame:
                     if s >= burn:
                         total += model.predictive(s, word, context, n, tables, u, t)
                 value = np.log10(total / (len(model.sweeps) - burn)).astype(np.float32)
-                word_of, cell_of = np.frombuffer(r["word_of"], np.int32), np.frombuffer(r["cell_of"], np.int32)
+                word_of = np.cumsum(unsqueeze(r["word_of"], sum(r["n_words"])), dtype=np.int64)
+                cell_of = np.cumsum(unsqueeze(r["cell_of"], sum(r["n_cells"])), dtype=np.int64)
                 a = b = 0
                 out = []
                 for block, x, y in zip(r["blocks"], r["n_words"], r["n_cells"], strict=True):
@@ -384,7 +388,7 @@ def scored_texts(rows: DataFrame, back: DataFrame, model: Model) -> DataFrame:
         score = np.concatenate([np.frombuffer(x, np.float32) for x in cells["score"]]).astype(float)
         ptr = np.frombuffer(r["ptr"], np.int64)
         token = unsqueeze(r["tokens"], int(ptr[-1]))
-        word = np.repeat(np.arange(len(seen)), np.frombuffer(r["per_word"], np.uint16))[token]
+        word = np.repeat(np.arange(len(seen)), np.frombuffer(r["per_word"], np.uint32))[token]
         base = np.log10((seen + 0.5) / (tokens + 0.5 * (types + 1)))
         n = np.diff(ptr)
         return pa.Table.from_pydict({
