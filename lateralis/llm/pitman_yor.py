@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lateralis.llm.shared import documents_of, smaller_batches, stage
 from lateralis.llm.wordhash import IS_SPACE, blocks, words_of
 
-BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, CONTEXTS = 2_000_000, 250_000, 64, 1 << 16
+BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, CONTEXTS = 2_000_000, 1_000_000, 64, 1 << 16
 #: The token after a text's last word.
 END = np.uint64(0x0123456789ABCDEF)
 EXACT = 64  # customers seated one by one before larger steps
