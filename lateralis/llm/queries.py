@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from lateralis.llm.bpe import encode_decode
 from lateralis.llm.chat_format import format_conversations, read_back
+from lateralis.llm.conversation_repair import damaged, repaired_summary
 from lateralis.llm.decontaminate import decontaminate
 from lateralis.llm.exact_dedup import exact_dedup
+from lateralis.llm.fill_in_middle import round_trips
 from lateralis.llm.license_scan import scan
 from lateralis.llm.line_dedup import line_dedup
 from lateralis.llm.near_dedup import near_classes
 from lateralis.llm.pitman_yor import score
 from lateralis.llm.quality import classify, held_out, train
 from lateralis.llm.secret_scan import as_text, secret_spans
+from lateralis.llm.simhash import simhash_classes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +89,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("deduped.text").cast("long").alias("kept_chars"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repaired_summary(damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -97,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash": op11_simhash,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 OP1_SQL = r"""
@@ -149,4 +169,19 @@ r AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+OP12_SQL = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::varchar, '')) AS s FROM documents),
+c AS (
+  SELECT doc_id, t, n, ('0x' || s[1:8])::bigint % (n + 1) AS x, ('0x' || s[9:16])::bigint % (n + 1) AS y,
+         CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR ('0x' || s[17:24])::bigint % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || s[25:32])::bigint % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, substr(t, 1, least(x, y)) AS a, substr(t, least(x, y) + 1, abs(x - y)) AS m, substr(t, greatest(x, y) + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(x - y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op12_fill_in_middle": OP12_SQL}
