@@ -1,4 +1,4 @@
-"""Clusterings that go through their rows in order: one group (alignment, correlation block) per task, leader scans of pairs in rounds."""
+"""Clusterings that go through their rows in order: one group of vectors or one alignment per task, leader scans of pairs in rounds."""
 
 from __future__ import annotations
 
@@ -98,24 +98,6 @@ def cut_tree(n: int, merges: list[tuple[int, int, float]], height: float) -> lis
     return [seen.setdefault(find(i), len(seen)) for i in range(n)]
 
 
-def linkage_clusters(dist: DataFrame, group: str, heights: list[float]) -> DataFrame:
-    """(group, id, height, cluster): per group, rows of its distance matrix (a, b, dist) as points, average
-    linkage, cut at each height. A missing cell is 0."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="a", columns="b", values="dist", fill_value=0.0)
-        ids = sorted(set(m.index) | set(m.columns))
-        m = m.reindex(index=ids, columns=ids, fill_value=0.0).to_numpy()
-        merges = average_linkage(m)
-        out = [(i, h, c) for h in heights for i, c in zip(ids, cut_tree(len(ids), merges, h), strict=True)]
-        frame = pd.DataFrame(out, columns=["id", "height", "cluster"])
-        frame.insert(0, group, pdf[group].iloc[0])
-        return frame
-
-    types = dict(dist.dtypes)
-    return dist.select(group, "a", "b", "dist").groupBy(group).applyInPandas(one, f"{group} {types[group]}, id {types['a']}, height double, cluster int")
-
-
 def fuzzy_clusters(rows: DataFrame, group: str, key: str, vector: str, k: int, power: float = 2.0, rounds: int = 300) -> DataFrame:
     """(group, key, cluster, membership): fuzzy c-means per group, hard label and its membership."""
 

@@ -2,23 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def locus_genes(loci: DataFrame, partitions: DataFrame, overlap: bool = False, width: int = 1000) -> DataFrame:
-    """(locus, gene): the genes of each range (locus, start, end), over partitions (gene, start, end).
+    """(locus, gene): the genes of each range (locus, start, end), over the partitions (gene, start, end) of one alignment.
 
-    By default the first gene is the first that *starts* at or after the range's start, and the last the first
-    that ends at or after its end; with ``overlap``, all genes that share a position. Both sides are cut into
-    bins of ``width`` positions, so the join is an equi-join on bins and no table is broadcast.
+    By default from the first gene that *starts* at or after the range's start to the first from there on that ends at
+    or after the range's end, the last gene if none does: a range that ends in a gap takes the gene behind it, and one inside a gene
+    the next gene. With ``overlap``, all genes that share a position. Partitions do not overlap. Both sides
+    are cut into bins of ``width`` positions, so the join is an equi-join on bins and no table is broadcast.
     """
-    def bins(df: DataFrame) -> DataFrame:
-        return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-
-    p = bins(partitions.select("gene", F.col("start").alias("start"), F.col("end").alias("end")))
-    p = p.select("gene", "bin", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    rows = bins(loci.select("locus", "start", "end")).join(p, "bin").filter("p_start <= end AND p_end >= start")
-    if not overlap:
-        rows = rows.filter("p_start >= start")
-    return rows.select("locus", "gene").distinct()
+    def bins(df: DataFrame, low, high) -> DataFrame:
+        return df.withColumn("bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+
+    ranges = loci.select("locus", "start", "end").filter("start <= end")
+    p = partitions.select("gene", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    if overlap:
+        p = bins(p, F.col("p_start"), F.col("p_end"))
+        rows = bins(ranges, F.col("start"), F.col("end")).join(p, "bin").filter("p_start <= end AND p_end >= start")
+        return rows.select("locus", "gene").distinct()
+    order = W.orderBy("p_start")  # a row per gene of one alignment
+    p = p.withColumns({"b_start": F.coalesce(F.lag("p_start").over(order), F.lit(-1)), "b_end": F.coalesce(F.lag("p_end").over(order), F.lit(-1))})
+    # a gene is taken where the range starts by its start, and the gene before is neither the last one nor in front of the first
+    p = bins(p, F.col("b_start") + 1, F.col("p_start"))
+    rows = bins(ranges, F.col("start"), F.col("end")).join(p, "bin")
+    return rows.filter("p_start >= start AND (b_end < end OR b_start < start)").select("locus", "gene").distinct()
+
+
+def recombination_counts(ranges: DataFrame, partitions: DataFrame, width: int = 1000) -> DataFrame:
+    """(taxon, gene, n): in how many recombinant ranges (locus, start, end, taxa) each gene of each taxon lies; see ``locus_genes``."""
+    genes = locus_genes(ranges, partitions, width=width)
+    taxa = ranges.select("locus", F.explode(F.array_distinct("taxa")).alias("taxon"))
+    return genes.join(taxa, "locus").groupBy("taxon", "gene").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mask_spans(seq: Column, spans: Column) -> Column:
+    """``seq`` with gaps at all (start, end) of ``spans``, counted from 1, each last position left as it is, put together in one fold.
+
+    Spans are sorted and may overlap; what lies beyond the sequence is ignored.
+    """
+    n = F.length(seq)
+    start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
+
+    def add(made, s):
+        low = F.greatest(F.least(s["start"], n + 1), made["next"])
+        high = F.greatest(F.least(s["end"], n + 1), low)  # the first position after the gaps
+        text = F.concat(made["text"], F.substring(seq, made["next"], low - made["next"]), F.repeat(F.lit("-"), high - low))
+        return F.struct(text.alias("text"), high.cast("int").alias("next"))
+
+    done = F.aggregate(spans, start, add)
+    return F.concat(done["text"], F.substring(seq, done["next"], n))
+
+
+def mask_recombinant(alignment: DataFrame, partitions: DataFrame, counts: DataFrame) -> DataFrame:
+    """(seq_id, seq): the alignment (seq_id, seq) with the genes that ``counts`` (taxon, gene, n > 0) has for a sequence made gaps.
+
+    As with ``sequences.mask`` the last position of each gene stays; each sequence is gone through once. Sequences
+    without a recombinant gene stay as they are, taxa without a sequence are ignored.
+    """
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    spans = counts.filter("n > 0").join(partitions.select("gene", "start", "end"), "gene").groupBy(F.col("taxon").alias("seq_id")).agg(F.array_sort(F.collect_set(span)).alias("spans"))  # at most one per gene
+    rows = alignment.join(spans, "seq_id", "left")
+    return rows.select("seq_id", F.when(F.col("spans").isNull(), F.col("seq")).otherwise(mask_spans(F.col("seq"), F.col("spans"))).alias("seq"))

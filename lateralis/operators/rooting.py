@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lateralis.operators.statistics import sums_before
+
 COLUMNS = ["edge", "parent_edge", "is_tip", "length"]
 
 
@@ -42,11 +44,18 @@ def drop_tips(edges: DataFrame, closure: DataFrame, tips: DataFrame) -> DataFram
     return keep_tips(edges, closure, edges.filter("is_tip").join(tips, "edge", "left_anti"))
 
 
-def tip_order(edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """(edge, position): tips as displayed, from 1: children in the order of their edges. One tree is numbered by one task."""
-    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "anc"))), lambda x: x["anc"])
-    paths = closure.join(edges.filter("is_tip").select("edge"), "edge", "left_semi").groupBy("edge").agg(path.alias("path"))
-    return paths.select("edge", F.row_number().over(W.orderBy("path")).alias("position"))
+def tip_order(edges: DataFrame, closure: DataFrame, width: int = 4096) -> DataFrame:
+    """(edge, position): tips as displayed, from 1: children in the order of their (integer) edges.
+
+    Before a tip come the tips below the smaller siblings of the tip and of every edge above it, so its place is a sum over its
+    way to the root; siblings are added up in ranges of ``width`` edges.
+    """
+    tips = edges.filter("is_tip").select("edge")
+    ways = closure.join(tips, "edge", "left_semi").select("edge", "anc")
+    below = ways.groupBy(F.col("anc").alias("edge")).agg(F.count(F.lit(1)).alias("tips"))
+    ranked = sums_before(edges.select("edge", "parent_edge").join(below, "edge"), ["parent_edge"], "edge", "tips", "earlier", width)
+    rows = ways.join(ranked.select(F.col("edge").alias("anc"), "earlier"), "anc")
+    return rows.groupBy("edge").agg((F.sum("earlier") + 1).alias("position"))
 
 
 def distances_from(lengths: DataFrame, edge: int) -> DataFrame:

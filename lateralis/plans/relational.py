@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lateralis.functions import dates, sequences
-from lateralis.operators import clustering, counts, distances, intervals, similarity, statistics
+from lateralis.operators import clustering, counts, distances, intervals, linkage, similarity, statistics
 from lateralis.plans.registry import Tables, query
 from lateralis.session import cut
 from lateralis.streaming.carriage import carriage
@@ -402,18 +402,19 @@ def substr_gene(t):
     return bases(t).select("doc_id", sequences.gene(F.col("seq"), F.lit(10), F.lit(39), strand).alias("gene"))
 
 
-INTERVAL_SQL = """WITH p AS (SELECT doc_id gene, doc_id * 400 + 1 s, doc_id * 400 + n_chars e FROM documents),
+INTERVAL_SQL = """WITH p AS (SELECT doc_id gene, doc_id * 400 + 1 s, doc_id * 400 + 1 + n_chars % 399 e FROM documents),
 l AS (SELECT c_custkey locus, c_custkey * 300 + 1 s, c_custkey * 300 + 5000 e FROM customer)
 """
 
 
 def ranges(t: Tables) -> tuple[DataFrame, DataFrame]:
     k, start = F.col("c_custkey"), F.col("doc_id") * 400
-    genes = t.documents.select(F.col("doc_id").alias("gene"), (start + 1).alias("start"), (start + F.col("n_chars")).alias("end"))
+    genes = t.documents.select(F.col("doc_id").alias("gene"), (start + 1).alias("start"), (start + 1 + F.col("n_chars") % 399).alias("end"))
     return t.customer.select(k.alias("locus"), (k * 300 + 1).alias("start"), (k * 300 + 5000).alias("end")), genes
 
 
-@query(INTERVAL_SQL + "SELECT locus, gene FROM l JOIN p ON p.s >= l.s AND p.s <= l.e")
+@query(INTERVAL_SQL + """, b AS (SELECT locus, coalesce(min(p.s) FILTER (p.e >= l.e), 1e18) last FROM l JOIN p ON p.s >= l.s GROUP BY 1)
+SELECT locus, gene FROM l JOIN b USING (locus) JOIN p ON p.s >= l.s AND p.s <= last""")
 def interval_genes(t):
     return intervals.locus_genes(*ranges(t))
 
@@ -508,11 +509,43 @@ def leader_clusters(t):
     return clustering.leader_clusters(vectors(t), "label", "vec_id", "embedding", 0.9)
 
 
-@query()
+LINKAGE_SQL = PHI_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, ds AS (SELECT a, b, sqrt(greatest(2 - 2 * r, 0)) dist FROM r),
+cell AS (SELECT a, b, dist FROM ds UNION ALL SELECT b, a, dist FROM ds),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) k FROM (SELECT DISTINCT a id FROM cell)),
+grid AS (SELECT x.k i, y.k j, coalesce(dist, 0) d FROM ids x CROSS JOIN ids y LEFT JOIN cell ON a = x.id AND b = y.id),
+e AS MATERIALIZED (SELECT x.i, y.i j, sqrt(sum((x.d - y.d) ** 2)) dist FROM grid x JOIN grid y ON x.j = y.j AND x.i < y.i GROUP BY 1, 2),
+lk(step, own, height) AS (SELECT 0, (SELECT list(k ORDER BY k) FROM ids), 0.0::double UNION ALL
+ SELECT step + 1, list_transform(own, lambda z: CASE WHEN z = b THEN a ELSE z END), h FROM (
+  SELECT step, own, first(h ORDER BY h, a, b) h, first(a ORDER BY h, a, b) a, first(b ORDER BY h, a, b) b FROM (
+   SELECT step, own, least(own[i], own[j]) a, greatest(own[i], own[j]) b, round(avg(dist), 10) h FROM lk, e WHERE own[i] <> own[j] GROUP BY 1, 2, 3, 4) GROUP BY 1, 2)),
+hs AS (SELECT unnest([0.01, 0.1, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0]) height),
+upto AS (SELECT hs.height, max(step) step FROM hs JOIN lk ON lk.height <= hs.height GROUP BY 1)
+"""
+
+
+def brand_distances(t: Tables) -> DataFrame:
+    return brand_phi(t).select("a", "b", similarity.correlation_distance(F.col("r")).alias("dist"))
+
+
+@query(LINKAGE_SQL + "SELECT x.id, upto.height, y.id AS cluster FROM upto JOIN lk USING (step) CROSS JOIN ids x JOIN ids y ON y.k = own[x.k]")
 def linkage_cut(t):
-    rows = brand_phi(t).select(F.lit(1).alias("block"), "a", "b", similarity.correlation_distance(F.col("r")).alias("dist"))
-    both = rows.unionByName(rows.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    return clustering.linkage_clusters(both, "block", [0.01, 0.1, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0])
+    d = cut(brand_distances(t))
+    merges = linkage.average_merges(linkage.row_distances(d, cut), cut)
+    ids = d.select(F.col("a").alias("id")).union(d.select("b"))
+    return linkage.cut_merges(ids, merges, [0.01, 0.1, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0], cut)
+
+
+@query(LINKAGE_SQL + """, gone AS (SELECT l.step, l.height, list_filter(list_distinct(b.own), lambda z: NOT list_contains(l.own, z))[1] gone, l.own FROM lk l JOIN lk b ON b.step = l.step - 1)
+SELECT y.id AS a, x.id AS b, round(m.height, 6) AS height FROM gone JOIN ids x ON x.k = gone.gone JOIN ids y ON y.k = own[gone.gone]""")
+def linkage_merges(t):
+    merges = linkage.average_merges(linkage.row_distances(cut(brand_distances(t)), cut), cut)
+    return merges.select("a", "b", six(F.col("height")).alias("height"))
+
+
+@query()
+def fuzzy_dissimilarities(t):
+    out = linkage.fuzzy_memberships(brand_distances(t), 4, cut)
+    return out.select("id", "cluster", six(F.col("membership")).alias("membership"), "rounds", six(F.col("objective")).alias("objective"), "converged")
 
 
 @query()

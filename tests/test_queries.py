@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same
 
-from lateralis.plans import events, phylogeny, relational  # noqa: F401
+from lateralis.plans import events, inference, phylogeny, relational  # noqa: F401
 from lateralis.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
