@@ -2,8 +2,9 @@
 
 A rule is a regex over ASCII-lower-cased text, a label, a priority and a confidence. Before it is
 tried, words must occur that each of its matches has; those of a name are read off its regex. Rules are
-written out from a table of licenses and a table of phrasings, and from a table of license texts. Overlapping detections are resolved in the order of priority, length and place: one that
-lies within an accepted interval is suppressed. Four base phrases are matched as word sequences,
+written out from a table of licenses and a table of phrasings, from their short identifiers and the phrasings in which
+those name a license, and from a table of license texts. Overlapping detections are resolved in the order of priority,
+length, place and rule: one that lies within an accepted interval is suppressed. Four base phrases are matched as word sequences,
 whatever stands between the words, and are never suppressed.
 """
 
@@ -30,7 +31,7 @@ LICENSES = [
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|lgpl"),
     ("agpl", r"(?:gnu )?affero general public licen[cs]e|agpl"),
     ("gfdl", r"(?:gnu )?free documentation licen[cs]e|gfdl"),
-    ("apache", r"apache(?: software)? licen[cs]e|apache-2\.0"),
+    ("apache", r"apache(?: software)? licen[cs]e"),
     ("mit", r"mit(?:/x11)? licen[cs]e|expat licen[cs]e"),
     ("x11", r"x11 licen[cs]e"),
     ("isc", r"isc licen[cs]e"),
@@ -80,7 +81,25 @@ PHRASINGS = [
     ("label", r"licen[cs]e\s*[:=]\s*[\"']?(?:the\s+)?(?:{name})", 80, 0.9, "licen"),
     ("bare", r"(?:{name})", 40, 0.6, ""),
 ]
-VERSION = r"(?:\s*,?\s*\(?(?:version\s+|v\.?\s*)?(?P<version>[0-9](?:\.[0-9]+)*)\b)?"
+#: label, its short identifiers (regex); they name a license only in the phrasings below, as many are words of their own.
+IDENTIFIERS = [
+    ("gpl", r"gpl"), ("lgpl", r"lgpl"), ("agpl", r"agpl"), ("gfdl", r"gfdl"), ("apache", r"apache"), ("mit", r"mit"), ("x11", r"x11"), ("isc", r"isc"),
+    ("bsd-2-clause", r"bsd-2-clause"), ("bsd-3-clause", r"bsd-3-clause"), ("bsd-4-clause", r"bsd-4-clause"), ("bsd", r"bsd|0bsd"), ("mpl", r"mpl"),
+    ("epl", r"epl"), ("cddl", r"cddl"), ("cpl", r"cpl"), ("eupl", r"eupl"), ("osl", r"osl"), ("afl", r"afl"), ("artistic", r"artistic"), ("zlib", r"zlib"),
+    ("boost", r"bsl"), ("unlicense", r"unlicense"), ("wtfpl", r"wtfpl"), ("cc0", r"cc0"), ("cc-by-nc-nd", r"cc-by-nc-nd"), ("cc-by-nc-sa", r"cc-by-nc-sa"),
+    ("cc-by-nc", r"cc-by-nc"), ("cc-by-nd", r"cc-by-nd"), ("cc-by-sa", r"cc-by-sa"), ("cc-by", r"cc-by"), ("ofl", r"ofl"), ("odbl", r"odbl"),
+    ("python", r"psf"), ("openssl", r"openssl"), ("postgresql", r"postgresql"), ("ms-pl", r"ms-pl"),
+]
+#: As ``PHRASINGS``, around an identifier.
+IDENTIFIED = [
+    ("spdx", r"spdx-license-identifier\s*:\s*\(?(?:{name})", 100, 0.99, "spdx"),
+    ("label", r"licen[cs]e\s*[:=]\s*[\"']?(?:the\s+)?(?:{name})", 79, 0.85, "licen"),
+    ("licensed", r"licen[cs]ed\s+(?:under|as)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:{name})", 78, 0.85, "licen"),
+    ("released", r"(?:released|distributed|available)\s+under\s+(?:the\s+)?(?:{name})", 77, 0.8, "under"),
+    ("adjective", r"(?:{name})[\s-]+licen[cs]ed", 76, 0.8, "licen"),
+    ("versioned", r"(?:{name})(?=-v?[0-9]\.[0-9])", 60, 0.8, "-"),
+]
+VERSION = r"(?:(?:\s*,?\s*\(?(?:version\s+|v\.?\s*)?|-v?)(?P<version>[0-9](?:\.[0-9]+)*)\b)?"
 #: label, regex, keywords, priority, confidence: notices that name no license.
 NOTICES = [
     ("all-rights-reserved", r"all\s+rights\s+reserved", ("rights",), 60, 0.9),
@@ -141,12 +160,12 @@ def words_in(name: str) -> tuple[tuple[bytes, ...], ...]:
 def rules() -> list[Rule]:
     """All rules, highest priority first; of equal priority, in the order of the tables."""
     out = []
-    for how, phrase, priority, confidence, keyword in PHRASINGS:
-        for label, name in LICENSES:
-            spaced = name.replace("[ -]", r"(?:\s+|-)").replace(" ", r"\s+")
-            regex = r"(?<![a-z0-9])" + phrase.replace("{name}", spaced) + r"(?![a-z0-9])" + VERSION
-            keywords = (keyword.encode(),) if keyword else ()
-            out.append(Rule(label, re.compile(regex.encode()), keywords, words_in(name), priority, confidence))
+    named = [(how, who) for hows, names in ((PHRASINGS, LICENSES), (IDENTIFIED, IDENTIFIERS)) for how in hows for who in names]
+    for (_, phrase, priority, confidence, keyword), (label, name) in named:
+        spaced = name.replace("[ -]", r"(?:\s+|-)").replace(" ", r"\s+")
+        regex = r"(?<![a-z0-9])" + phrase.replace("{name}", spaced) + r"(?![a-z0-9])" + VERSION
+        keywords = (keyword.encode(),) if keyword else ()
+        out.append(Rule(label, re.compile(regex.encode()), keywords, words_in(name), priority, confidence))
     for label, regex, keywords, priority, confidence in NOTICES:
         out.append(Rule(label, re.compile(regex.encode()), tuple(k.encode() for k in keywords), ((),), priority, confidence))
     for label, body in BODIES:
