@@ -26,7 +26,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the runs of [0-9a-f]+ that have 16 characters or more
 KINDS = ["assign", "access", "hex", "random"]
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+#: Runs of one of the two base64 alphabets: a whole run of the standard one, of the url-safe one, or the standard part of a mixed one
+#: (so a url-safe key right behind a slash or plus is cut at its own - and _).
+CANDIDATE = r"[A-Za-z0-9+/]{16,}+(?![_-])|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+(?![+/])|[A-Za-z0-9+/]{16,}"
 
 HEXITS, DIGITS = "0123456789abcdef", string.digits
 #: name, what it matches (tried in this order), alphabet, share of equal pairs in ordinary text of such characters;
@@ -41,7 +43,7 @@ ENCODINGS = [
     ("base62", r"^[0-9A-Za-z]+$", DIGITS + string.ascii_letters, 0.065),
     ("base64", r"^[0-9A-Za-z+/]+$", DIGITS + string.ascii_letters + "+/", 0.065),
     ("base64url", r"^[0-9A-Za-z_-]+$", DIGITS + string.ascii_letters + "-_", 0.065),
-]  # with characters of both kinds of base64 it is in no encoding, and never random
+]
 
 
 def matches(text: Column, pattern: str, gate: Column) -> Column:

@@ -190,7 +190,7 @@ def test_license_keywords_lose_no_match():
         "Licensed under CC BY NC SA 4.0": "cc-by-nc-sa-4.0", "Attribution-NonCommercial-ShareAlike": "cc-by-nc-sa", "CC BY NC ND": "cc-by-nc-nd",
         "Attribution-NoDerivatives": "cc-by-nd", "Creative Commons Zero": "cc0", "Microsoft Public License": "ms-pl", "the open\nfont  license": "ofl",
         "Open\nSoftware License": "osl", "common\npublic license": "cpl", "Creative\nCommons": "creative-commons", "into the public\ndomain": "public-domain",
-        "GNU GPL v3": "gpl-3", "MPL 2.0": "mpl-2.0", "CC0": "cc0", "Apache-2.0": "apache", "Common Development and Distribution Licence": "cddl",
+        "GNU GPL v3": "gpl-3", "MPL 2.0": "mpl-2.0", "CC0": "cc0", "Apache-2.0": "apache-2.0", "Common Development and Distribution Licence": "cddl",
         "# Permission is hereby granted, free of charge, to\n# any person obtaining a copy": "mit", "nothing here": None,
     }
     names = [re.sub(r"\[cs\]", "s", x).replace("[ -]", " ").replace("\\w*", "s").replace("\\", "") for _, n in license_scan.LICENSES for x in re.sub(r"\(\?:[^()]*\)\??", "", n).split("|")]
@@ -203,6 +203,53 @@ def test_license_keywords_lose_no_match():
         assert got or text not in expected or expected[text] is None
 
 
+def test_license_identifiers():
+    ordered = license_scan.rules()
+    free = [license_scan.Rule(r.label, r.pattern, (), ((),), r.priority, r.confidence) for r in ordered]
+    expected = {
+        "SPDX-License-Identifier: MIT": {"mit"}, "SPDX-License-Identifier: ISC": {"isc"}, "spdx-license-identifier: (zlib)": {"zlib"},
+        "SPDX-License-Identifier: EPL-2.0": {"epl-2.0"}, "SPDX-License-Identifier: GPL-2.0-or-later": {"gpl-2.0"}, "License: MIT": {"mit"},
+        'license = "Apache 2"': {"apache-2"}, "license: lgpl-2.1-only": {"lgpl-2.1"}, "MIT licensed": {"mit"}, "artistic-2.0": {"artistic-2.0"}, "released under BSD": {"bsd"},
+        "gpl-2.0-or-later": {"gpl-2.0"}, "Apache License, version 2.0": {"apache-2.0"}, "licensed under the MPL 2.0": {"mpl-2.0"}, "SPDX-License-Identifier: BSD-3-Clause": {"bsd-3-clause"},
+        "the ISC conference; an artistic mit; zlib 1.2": set(), "submit-2.0 emit licenses": set(), "cc-by-sa-4.0": {"cc-by-sa-4.0"},
+    }
+    for text, labels in expected.items():
+        got = license_scan.detections(text.lower().encode(), ordered)
+        assert {d[2] for d in got} == labels, text
+        assert got == license_scan.detections(text.lower().encode(), free)
+
+
+def plain_detections(low, ordered):
+    """Every match of every rule, and of these one after the other whatever lies in no interval accepted before."""
+    found = []
+    for place, rule in enumerate(ordered):
+        for m in rule.pattern.finditer(low):
+            version = m.groupdict().get("version")
+            label = rule.label if version is None else f"{rule.label}-{version.decode()}"
+            found.append((-rule.priority, m.start() - m.end(), m.start(), place, m.end(), label, rule.confidence))
+    kept = []
+    for prio, _, a, _, b, label, confidence in sorted(found):
+        if not any(x <= a and b <= y for x, y, *_ in kept):
+            kept.append((a, b, label, -prio, confidence))
+    return sorted(kept)
+
+
+def test_license_suppression_and_score(spark):
+    r = random.Random(3)
+    said = ["MIT License", "licensed under the", "Apache License, Version 2.0", "GNU General Public License v3", "SPDX-License-Identifier: MIT", "license:", "bsd-3-clause",
+            "the terms of the", "as published by", "CC BY-SA 4.0", "see the", "All rights reserved.", "in the public domain", "released under", "MPL", "zlib/libpng license", "x"]
+    texts = ["\n".join(" ".join(r.choice(said) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 4))) for _ in range(150)]
+    texts += ["MIT License MIT License", "gpl gpl gpl", "license: the mit license"]  # equal priority and length
+    ordered = license_scan.rules()
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        kept = plain_detections(text.lower().encode(), ordered)
+        assert [(d.start, d.end, d.label, d.priority) for d in got[i].detections] == [d[:4] for d in kept], text
+        doubt = math.prod([0.1] * len(got[i].base_labels) + [1 - d[4] for d in kept])
+        assert got[i].score == pytest.approx(1 - doubt, abs=1e-12)
+        assert got[i].labels == sorted({*got[i].base_labels, *(d[2] for d in kept)})
+
+
 # --- decontamination
 
 
@@ -516,6 +563,34 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.secret_spans(docs).select(secret_scan.as_text(F.col("spans"))).distinct().count() == 1
 
 
+def test_secret_behind_a_name(spark):
+    """Standard base64 that touches a character of the url-safe alphabet is found like the same key alone."""
+    r = random.Random(11)
+    plain = [chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)]]
+    keys = [("".join(r.choice([*plain, *extra]) for _ in range(30)) + extra[0] + "".join(r.choice([*plain, *extra]) for _ in range(33)) + "a") for extra in ("+/", "-_") for _ in range(20)]
+    forms = [lambda k: k, lambda k: f"id-{k} end", lambda k: f"see name_{k}_x", lambda k: f"https://x/{k}"]
+    rows = [(100 * f + i, form(k)) for f, form in enumerate(forms) for i, k in enumerate(keys)]
+    got = {x.doc_id: x.spans for x in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def whole(f, i):
+        text = dict(rows)[100 * f + i]
+        at = text.index(keys[i])
+        return any(s["kind"] == 3 and s["start"] <= at + 4 and s["end"] >= at + len(keys[i]) - 4 for s in got[100 * f + i])
+
+    counts = [[sum(whole(f, i) for i in half) for half in (range(20), range(20, 40))] for f in range(4)]
+    assert counts[0] == [20, 20] and counts[1][0] >= 19 and counts[2][0] >= 19, counts
+    assert counts[1][1] >= 19 and counts[3][0] >= 19, counts  # behind a slash a url-safe key is cut at its own - and _
+
+
+def test_long_candidates_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    rows = [(1, "ab-cd_" * 50_000 + "+"), (2, "aB3" * 100_000 + "-"), (3, "a+b-" * 60_000), (4, "x/y_" * 60_000)]
+    assert secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+    assert time.time() - began < 60
+
+
 def test_secret_scan_of_letters_only_and_digits_only(spark):
     rng = random.Random(8)
     keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 60), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 60), ("0123456789", 120)) for _ in range(20)]
