@@ -536,7 +536,7 @@ def linkage_cut(t):
 
 
 @query(LINKAGE_SQL + """, gone AS (SELECT l.step, l.height, list_filter(list_distinct(b.own), lambda z: NOT list_contains(l.own, z))[1] gone, l.own FROM lk l JOIN lk b ON b.step = l.step - 1)
-SELECT y.id AS a, x.id AS b, round(m.height, 6) AS height FROM gone JOIN ids x ON x.k = gone.gone JOIN ids y ON y.k = own[gone.gone]""")
+SELECT y.id AS a, x.id AS b, round(gone.height, 6) AS height FROM gone JOIN ids x ON x.k = gone.gone JOIN ids y ON y.k = own[gone.gone]""")
 def linkage_merges(t):
     merges = linkage.average_merges(linkage.row_distances(cut(brand_distances(t)), cut), cut)
     return merges.select("a", "b", six(F.col("height")).alias("height"))
