@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lateralis.operators.statistics import label_permutations
+
 
 def acquired(calls: DataFrame) -> DataFrame:
     return calls.filter(F.coalesce("edge", F.lit(0)) != 0)
@@ -91,6 +93,47 @@ def linked_places(calls: DataFrame, place: str) -> DataFrame:
     return out.withColumn("linked", F.col("n_linked") > 1)
 
 
+def linked_shares(calls: DataFrame, place: str, permutations: int, seed: int = 144) -> DataFrame:
+    """(perm, n_single, n_linked, share): of single transfers, those whose place holds more than one isolate of the cluster's
+    events, once per permutation of the places among the genomes.
+
+    Transfers keep their place; the isolates have the place that was dealt to their (numeric) genome. All events of
+    a cluster count here, expanded or not, so shares lie above that of ``linked_places``, which asks for expanded ones. Genomes
+    without a place take no part in the dealing; ``share`` is null without single transfers.
+    """
+    rows = acquired(calls).join(event_sizes(calls), ["cluster", "edge"])
+    single = rows.filter(f"size = 1 AND status = 1 AND {place} IS NOT NULL").groupBy("cluster", F.col(place).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    items = calls.filter(F.col(place).isNotNull()).groupBy(F.col("genome").alias("id")).agg(F.min(place).alias("label"))
+    dealt = label_permutations(items, permutations, seed)
+    held = rows.select("cluster", F.col("genome").alias("id")).join(dealt, "id").groupBy("perm", "cluster", "label").agg(F.count(F.lit(1)).alias("held"))
+    linked = held.filter("held > 1").join(single, ["cluster", "label"]).groupBy("perm").agg(F.sum("n").alias("n_linked"))
+    every = calls.sparkSession.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm"))
+    total = single.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_single"))
+    out = every.join(linked, "perm", "left").fillna(0, ["n_linked"]).crossJoin(F.broadcast(total))  # one number
+    return out.select("perm", "n_single", "n_linked", F.try_divide("n_linked", "n_single").alias("share"))
+
+
+def presence_classes(events: DataFrame) -> DataFrame:
+    """(class, n): clusters none, some or all of whose events have a status other than 1; see ``tree.edge_status``. Events without one do not count."""
+    on = F.col("status") != 1
+    per = events.filter("status IS NOT NULL").groupBy("cluster").agg(F.count_if(on).alias("on"), F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("on") == 0, "never").when(F.col("on") == F.col("n"), "always").otherwise("sometimes")
+    return per.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def member_shares(counts: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, edge, share): of the members (cluster, feature) of each cluster, those present on an edge (cluster, edge, n)."""
+    size = members.groupBy("cluster").agg(F.countDistinct("feature").alias("size"))
+    return counts.join(size, "cluster").select("cluster", "edge", (F.col("n") / F.col("size")).alias("share"))
+
+
+def genome_places(genomes: DataFrame, places: DataFrame, source: str, place: str, outside: str = "Other") -> DataFrame:
+    """``genomes`` (genome, source) with the place of their first row in ``places`` (genome, order, place); null where the source is ``outside``."""
+    first = places.groupBy("genome").agg(F.min_by(place, "order").alias("__place__"))
+    rows = genomes.join(first, "genome", "left")
+    return rows.withColumn(place, F.when(~F.col(source).eqNullSafe(outside), F.col("__place__"))).drop("__place__")
+
+
 def place_overlap(calls: DataFrame, place: str) -> DataFrame:
     """(cluster, n_hgt, n_shared, share): transfers, and those whose place also holds an importation of the cluster."""
     rows = acquired(calls).filter("status IS NOT NULL")

@@ -238,6 +238,11 @@ def exact_permutations(chances: DataFrame) -> DataFrame:
     return chances.select("cluster", "class", "observed", F.least(tail, F.lit(1.0)).alias("p"))
 
 
+def strength(p: Column, permutations: int) -> Column:
+    """-log10 of p and one permutation more, so that p = 0 has a value."""
+    return -F.log10(p + 1.0 / permutations)
+
+
 def sampled_permutations(chances: DataFrame, permutations: int, seed: int = 144) -> DataFrame:
     """(cluster, class, observed, n_over, p): as ``weighted_permutations``, with one draw per permutation, the number of its hits."""
     upto = F.aggregate(binomial_steps(F.col("n_events"), F.col("chance")), F.array().cast("array<double>"), lambda made, x: F.array_append(made, x + F.coalesce(F.get(made, F.size(made) - 1), F.lit(0.0))))

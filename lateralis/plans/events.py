@@ -88,6 +88,42 @@ def linked_places(t):
     return events.linked_places(calls(t), "facility").select("cluster", "edge", "facility", "n_linked", "linked")
 
 
+@query(CALLS_SQL + """, x AS (SELECT a.*, size FROM a JOIN z USING (cluster, edge)), g AS (SELECT genome, facility FROM e),
+r AS (SELECT perm, genome, facility, row_number() OVER (PARTITION BY perm ORDER BY genome) k,
+ row_number() OVER (PARTITION BY perm ORDER BY ('0x' || substr(md5('144:' || perm || ':' || genome), 1, 12))::bigint, genome) d FROM g, (SELECT unnest(range(1, 11)) perm)),
+dl AS (SELECT l.perm, l.genome, o.facility FROM r l JOIN r o ON l.perm = o.perm AND l.k = o.d),
+h AS (SELECT perm, cluster, dl.facility, count(*) n FROM a JOIN dl USING (genome) GROUP BY 1, 2, 3 HAVING count(*) > 1),
+s AS (SELECT cluster, facility FROM x WHERE size = 1 AND status = 1),
+l AS (SELECT perm, count(*) n FROM s JOIN h ON h.cluster = s.cluster AND h.facility = s.facility GROUP BY 1)
+SELECT p.perm, (SELECT count(*) FROM s) AS n_single, coalesce(n, 0) AS n_linked, round(coalesce(n, 0) / (SELECT count(*) FROM s), 6) AS share
+FROM (SELECT unnest(range(1, 11)) perm) p LEFT JOIN l ON l.perm = p.perm""")
+def linked_shares(t):
+    return events.linked_shares(calls(t), "facility", 10).withColumn("share", F.round("share", 6))
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) n, count(*) FILTER (o_orderstatus <> 'F') k FROM orders GROUP BY 1)
+SELECT CASE WHEN k = 0 THEN 'never' WHEN k = n THEN 'always' ELSE 'sometimes' END AS class, count(*) AS n FROM c GROUP BY 1""")
+def presence_classes(t):
+    status = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    return events.presence_classes(t.orders.select(F.col("o_custkey").alias("cluster"), status.alias("status")))
+
+
+@query(phylogeny.CARRIED_SQL + """, n AS (SELECT feature % 2 AS cluster, edge, count(*) AS n FROM fe GROUP BY 1, 2), k AS (SELECT feature % 2 AS cluster, count(*) k FROM f GROUP BY 1)
+SELECT cluster, edge, round(n / k, 6) AS share FROM n JOIN k USING (cluster)""")
+def member_shares(t):
+    counts = phylogeny.member_counts(phylogeny.carried(t, phylogeny.closure(t)))
+    members = t.spark.range(5).select((F.col("id") % 2).alias("cluster"), F.col("id").alias("feature"))
+    return events.member_shares(counts, members).withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT c_custkey AS genome, c_mktsegment AS source, CASE WHEN c_mktsegment <> 'BUILDING' THEN f END AS facility
+FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) f FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def genome_places(t):
+    genomes = t.customer.select(F.col("c_custkey").alias("genome"), F.col("c_mktsegment").alias("source"))
+    places = t.orders.select(F.col("o_custkey").alias("genome"), F.col("o_orderkey").alias("order"), F.col("o_orderpriority").alias("facility"))
+    return events.genome_places(genomes, places, "source", "facility", "BUILDING")
+
+
 @query(CALLS_SQL + """, i AS (SELECT DISTINCT cluster, facility, 1 AS i FROM a WHERE status = 2)
 SELECT a.cluster, count(*) AS n_hgt, count(i) AS n_shared, round(count(i) / count(*), 6) AS share FROM a LEFT JOIN i ON i.cluster = a.cluster AND i.facility = a.facility WHERE status = 1 GROUP BY 1""")
 def place_overlap(t):

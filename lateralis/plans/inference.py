@@ -62,11 +62,13 @@ def chances(t: Tables) -> DataFrame:
     return statistics.class_chances(clusters, edges, edges.select((1 + F.col("edge") % 2).alias("dir"), kind.alias("class"), "edge"))
 
 
-@query(CHANCES_SQL + """, k AS (SELECT cluster, class, obs, n, p, unnest(range(obs + 1, n + 1)) k FROM ch)
-SELECT ch.cluster, ch.class, ch.obs AS observed, round(coalesce(sum(exp(lgamma(k.n + 1) - lgamma(k.k + 1) - lgamma(k.n - k.k + 1) + k.k * ln(k.p) + (k.n - k.k) * ln(1 - k.p))), 0), 6) AS p
-FROM ch LEFT JOIN k ON k.cluster = ch.cluster AND k.class = ch.class GROUP BY 1, 2, 3""")
+@query(CHANCES_SQL + """, k AS (SELECT cluster, class, obs, n, p, unnest(range(obs + 1, n + 1)) k FROM ch),
+tl AS (SELECT ch.cluster, ch.class, ch.obs, coalesce(sum(exp(lgamma(k.n + 1) - lgamma(k.k + 1) - lgamma(k.n - k.k + 1) + k.k * ln(k.p) + (k.n - k.k) * ln(1 - k.p))), 0) tail
+ FROM ch LEFT JOIN k ON k.cluster = ch.cluster AND k.class = ch.class GROUP BY 1, 2, 3)
+SELECT cluster, class, obs AS observed, round(tail, 6) AS p, round(-log10(tail + 0.001), 5) AS strength FROM tl""")
 def permutation_tail(t):
-    return statistics.exact_permutations(chances(t)).select("cluster", "class", "observed", F.round("p", 6).alias("p"))
+    tails = statistics.exact_permutations(chances(t))
+    return tails.select("cluster", "class", "observed", F.round("p", 6).alias("p"), F.round(statistics.strength(F.col("p"), 1000), 5).alias("strength"))
 
 
 @query(CHANCES_SQL + "SELECT class, round(sum(n * p) * 1000, 3) AS expected FROM ch GROUP BY 1")

@@ -207,12 +207,36 @@ def tip_states(t: Tables) -> DataFrame:
     return rows.join(urgent.withColumn("state", F.lit(1)), ["feature", "edge"], "left").fillna(0, ["state"])
 
 
-@query()
+def parsimony_sql(levels: int = 18) -> str:
+    """Costs up and down the stand-in tree, a level (the binary digits of an edge, less one) at a time."""
+    up0, up1 = "least(c0, c1 + 1)", "least(c1, c0 + 1)"
+    sql = TREE_SQL.rstrip() + """, f AS (SELECT unnest(range(1, 13)) feature),
+ug AS (SELECT DISTINCT month(o_orderdate) feature, o_custkey edge, 1 s FROM orders WHERE o_orderpriority = '1-URGENT'),
+ts AS (SELECT f.feature, t.edge, length(bin(t.edge)) - 1 l, coalesce(s, 0) s FROM t CROSS JOIN f LEFT JOIN ug ON ug.feature = f.feature AND ug.edge = t.edge WHERE is_tip)"""
+    for level in range(levels, 0, -1):
+        sql += f""",
+u{level} AS MATERIALIZED (SELECT feature, edge, CASE s WHEN 0 THEN 0 ELSE 1 << 30 END::bigint c0, CASE s WHEN 1 THEN 0 ELSE 1 << 30 END::bigint c1 FROM ts WHERE l = {level}"""
+        sql += f" UNION ALL SELECT feature, edge // 2, sum({up0})::bigint, sum({up1})::bigint FROM u{level + 1} GROUP BY 1, 2)" if level < levels else ")"
+    sql += f""",
+w0 AS (SELECT feature, 1 AS edge, sum({up0}) t0, sum({up1}) t1 FROM u1 GROUP BY 1)"""
+    for level in range(1, levels + 1):
+        sql += f""",
+w{level} AS MATERIALIZED (SELECT u.feature, u.edge, c0 + least(t0 - {up0}, t1 - {up1} + 1) t0, c1 + least(t1 - {up1}, t0 - {up0} + 1) t1
+ FROM u{level} u JOIN w{level - 1} w ON w.feature = u.feature AND w.edge = u.edge // 2)"""
+    rows = " UNION ALL ".join(f"SELECT feature, edge, (t1 < t0)::int state FROM w{level}" for level in range(levels + 1))
+    return sql + f", st AS ({rows})\n"
+
+
+PARSIMONY_SQL = parsimony_sql()
+
+
+@query(PARSIMONY_SQL + "SELECT feature, edge, state FROM st WHERE edge > 1")
 def parsimony_states(t):
     return tree.parsimony_costs(edges(t), tip_states(t), closure(t), cut)
 
 
-@query()
+@query(PARSIMONY_SQL + """SELECT b.feature, b.edge, CASE WHEN b.state > a.state THEN 1 ELSE 2 END AS dir FROM st b JOIN st a ON a.feature = b.feature AND a.edge = b.edge // 2
+WHERE b.edge > 1 AND a.state <> b.state""")
 def transitions(t):
     return tree.state_changes(edges(t), tip_states(t), closure(t), cut)
 
