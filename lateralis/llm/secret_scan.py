@@ -60,7 +60,7 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.monotonically_increasing_id().alias("rid"), named(key).cast("long").alias("doc_id"),
         F.coalesce(named(text), F.lit("")).alias("text"))
     t = F.col("text")
-    candidates = matches(t, CANDIDATE, t.rlike(CANDIDATE))
+    candidates = matches(t, CANDIDATE, t.rlike(r"[A-Za-z0-9+/_-]{16}"))  # each candidate lies in such a run
     return rows.select(
         "rid", "doc_id",
         matches(t, ASSIGN, (t.contains("=") | t.contains(":")) & t.rlike(ASSIGN)).alias("assign"),
