@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lateralis.operators import alignments, intervals, likelihood, rooting, statistics, transitions, tree
 from lateralis.plans import phylogeny, relational
 from lateralis.plans.registry import Tables, query
-from lateralis.session import cut
+from lateralis.session import written as cut
 
 SAMPLES_SQL = """
 WITH s AS (SELECT s_nationkey k, s_acctbal v, s_suppkey % 2 = 0 f FROM supplier),

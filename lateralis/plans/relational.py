@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lateralis.functions import dates, sequences
 from lateralis.operators import clustering, counts, distances, intervals, linkage, similarity, statistics
 from lateralis.plans.registry import Tables, query
-from lateralis.session import cut
+from lateralis.session import cut, written
 from lateralis.streaming.carriage import carriage
 
 
@@ -529,22 +529,22 @@ def brand_distances(t: Tables) -> DataFrame:
 
 @query(LINKAGE_SQL + "SELECT x.id, upto.height, y.id AS cluster FROM upto JOIN lk USING (step) CROSS JOIN ids x JOIN ids y ON y.k = own[x.k]")
 def linkage_cut(t):
-    d = cut(brand_distances(t))
-    merges = linkage.average_merges(linkage.row_distances(d, cut), cut)
+    d = written(brand_distances(t))
+    merges = linkage.average_merges(linkage.row_distances(d, written), written)
     ids = d.select(F.col("a").alias("id")).union(d.select("b"))
-    return linkage.cut_merges(ids, merges, [0.01, 0.1, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0], cut)
+    return linkage.cut_merges(ids, merges, [0.01, 0.1, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0], written)
 
 
 @query(LINKAGE_SQL + """, gone AS (SELECT l.step, l.height, list_filter(list_distinct(b.own), lambda z: NOT list_contains(l.own, z))[1] gone, l.own FROM lk l JOIN lk b ON b.step = l.step - 1)
 SELECT y.id AS a, x.id AS b, round(gone.height, 6) AS height FROM gone JOIN ids x ON x.k = gone.gone JOIN ids y ON y.k = own[gone.gone]""")
 def linkage_merges(t):
-    merges = linkage.average_merges(linkage.row_distances(cut(brand_distances(t)), cut), cut)
+    merges = linkage.average_merges(linkage.row_distances(written(brand_distances(t)), written), written)
     return merges.select("a", "b", six(F.col("height")).alias("height"))
 
 
 @query()
 def fuzzy_dissimilarities(t):
-    out = linkage.fuzzy_memberships(brand_distances(t), 4, cut)
+    out = linkage.fuzzy_memberships(brand_distances(t), 4, written)
     return out.select("id", "cluster", six(F.col("membership")).alias("membership"), "rounds", six(F.col("objective")).alias("objective"), "converged")
 
 

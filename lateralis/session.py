@@ -5,22 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder_of(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where it is empty (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="lateralis-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and its lineage cut, by a reliable checkpoint in ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder_of(spark))
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
     """``df`` computed once and its lineage cut, as a Parquet table in ``spark.checkpoint.dir`` that is read back.
 
-    The plan of the copy is a scan: what rounds of joins and relabellings have made known about their columns
-    does not pile up in it, as it does behind a checkpoint, and its size is known to the joins that
-    follow. Tables stay until the folder's owner clears it, as checkpoints do. Where the setting is empty (tests), a
-    temporary folder of our own takes its place.
+    For many rounds of joins and relabellings: what they make known about their columns does not pile up in the plan, as it does
+    behind a checkpoint. Tables stay until the folder's owner clears it, as checkpoints do.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lateralis-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/lateralis-cut-{uuid.uuid4().hex}"
+    path = f"{folder_of(spark)}/lateralis-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lateralis.operators import alignments, clustering, genes, linkage
-from lateralis.session import cut
+from lateralis.session import written as cut
 
 
 def pairs_of(spark, d):

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from lateralis.operators import likelihood, rooting, transitions, tree
-from lateralis.session import cut
+from lateralis.session import written as cut
 from lateralis.sources import formats
 
 EDGES = "edge long, parent_edge long, is_tip boolean, length double"
