@@ -12,16 +12,19 @@ after the first.
 
 How it runs: texts become blocks of about two million tokens, each with its distinct cells and, per
 token, the number of its cell. Only the cells are shuffled, packed, to buckets by word hash, so that
-all of a word's contexts meet. A sweep is a map over buckets; what buckets share are the numbers of
-customers and tables per context, at most 65,536 sums of each whatever the corpus. At the end each block gets one probability per
-distinct cell back and adds up its texts.
+all of a word's contexts meet. They are added up as a tree: at most some FAN blocks meet in one group,
+their sums meet in the next level. A word has at most CONTEXTS distinct cells, so however frequent it is
+a group takes FAN times that of it. A sweep is a map over the buckets of the last level and writes
+them again with the tables drawn; a later sweep starts from these. What buckets share are the numbers of
+customers and tables per context, at most 65,536 sums of each whatever the corpus. At the end the
+levels are gone down again: each block gets one probability per distinct cell back and adds up its texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import lgamma
+from math import ceil, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +33,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateralis.llm.shared import documents_of, smaller_batches, stage
+from lateralis.llm.shared import discard, documents_of, scratch, smaller_batches, stage
 from lateralis.llm.wordhash import IS_SPACE, blocks, words_of
 
-BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, CONTEXTS = 2_000_000, 1_000_000, 64, 1 << 16
+BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, FAN, CONTEXTS = 2_000_000, 1_000_000, 64, 64, 1 << 16
 #: The token after a text's last word.
 END = np.uint64(0x0123456789ABCDEF)
 EXACT = 64  # customers seated one by one before larger steps
 
+TEXT_COLUMNS = ["block", "doc_ids", "held", "ptr", "tokens", "words_of_cells", "n_cells"]
 BLOCK_TYPE = (
-    "block string, doc_ids array<long>, held array<boolean>, ptr binary, tokens binary, words binary, "
-    "per_word binary, context binary, n binary, n_cells long"
+    "block string, doc_ids array<long>, held array<boolean>, ptr binary, tokens binary, words_of_cells binary, "
+    "words binary, cells binary, n binary, n_words long, n_cells long"
 )
-SLICE_TYPE = "bucket long, block string, words binary, per_word binary, context binary, n binary"
-BUCKET_TYPE = (
-    "bucket long, per_word binary, context binary, n binary, blocks array<string>, n_words array<int>, "
-    "n_cells array<int>, word_of binary, cell_of binary"
+SLICE_TYPE = "bucket long, node string, words binary, cells binary, n binary, n_words long, n_cells long"
+MERGED_TYPE = SLICE_TYPE + ", from_node array<string>, from_words array<long>, from_cells array<long>, word_of binary, cell_of binary"
+SWEPT = ["bucket", "node", "cells", "n", "n_words", "n_cells", "from_node", "from_words", "from_cells", "word_of", "cell_of"]
+SWEPT_TYPE = (
+    "bucket long, node string, cells binary, n binary, n_words long, n_cells long, from_node array<string>, from_words array<long>, "
+    "from_cells array<long>, word_of binary, cell_of binary, tables array<binary>, above array<binary>"
 )
 SUM_TYPE = "name string, k int, value double"
-BACK_TYPE = "block string, bucket long, seen binary, score binary"
+BACK_TYPE = "node string, bucket long, n_words long, seen binary, score binary"
 RESULT_TYPE = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """int32 values, by byte planes and compressed."""
-    planes = values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def squeeze(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Integers, by byte planes and compressed."""
+    values = np.asarray(values).astype(kind)
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
     return pa.Codec("zstd").compress(planes, asbytes=True) if planes else b""
 
 
-def unsqueeze(packed: bytes, n: int) -> np.ndarray:
-    planes = pa.Codec("zstd").decompress(packed, 4 * n, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).reshape(-1).view("<i4")
+def unsqueeze(packed: bytes, n: int, kind: str = "<i4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(packed, width * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def packed_cells(words: np.ndarray, cells: np.ndarray, n: np.ndarray) -> tuple:
+    """words, cells, n, n_words, n_cells of a row: ``words`` ascend, ``cells`` are word number * CONTEXTS + context and ascend."""
+    return (
+        squeeze(np.diff(words, prepend=np.uint64(0)), "<u8"), squeeze(np.diff(cells, prepend=0)), squeeze(n, "<i8"), len(words), len(cells))
+
+
+def words_in(r: dict) -> np.ndarray:
+    return np.cumsum(unsqueeze(r["words"], r["n_words"], "<u8"), dtype=np.uint64)
+
+
+def codes_in(r: dict) -> np.ndarray:
+    return np.cumsum(unsqueeze(r["cells"], r["n_cells"]), dtype=np.int64)
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the place of each value in them; hashed, so only distinct ones are sorted."""
+    found = pa.array(values).dictionary_encode()
+    distinct = found.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[found.indices.to_numpy()]
+
+
+def table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+
+SLICE_NAMES = ["bucket", "node", "words", "cells", "n", "n_words", "n_cells"]
+SLICE_ARROW = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+FROM_NAMES = ["from_node", "from_words", "from_cells", "word_of", "cell_of"]
+FROM_ARROW = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+BACK_NAMES, BACK_ARROW = ["node", "bucket", "n_words", "seen", "score"], [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,19 +124,15 @@ def corpus_blocks(docs: DataFrame, at_once: int = BLOCK_TOKENS) -> DataFrame:
         ids, out, hashes, context, sizes = zip(*held, strict=True)
         ids, out = pa.concat_arrays(ids), pa.concat_arrays(out)
         hashes, context, sizes = np.concatenate(hashes), np.concatenate(context), np.concatenate(sizes)
-        words, word = np.unique(hashes, return_inverse=True)
-        cells, token = np.unique(word * CONTEXTS + context, return_inverse=True)
+        words, word = ranked(hashes)
+        cells, token = ranked(word * CONTEXTS + context)
         train = np.repeat(~np.asarray(out.to_numpy(zero_copy_only=False), dtype=bool), sizes)
-        n = np.bincount(token, weights=train, minlength=len(cells)).astype(np.uint32)
-        return pa.RecordBatch.from_arrays([
-            pa.array([block]), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-            pa.array([out.to_pylist()], pa.list_(pa.bool_())),
-            pa.array([np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes()]),
-            pa.array([squeeze(token)], pa.binary()), pa.array([words.tobytes()]),
-            pa.array([np.bincount(cells // CONTEXTS, minlength=len(words)).astype(np.uint32).tobytes()]),
-            pa.array([(cells % CONTEXTS).astype(np.uint16).tobytes()]), pa.array([n.tobytes()]),
-            pa.array([len(cells)], pa.int64()),
-        ], ["block", "doc_ids", "held", "ptr", "tokens", "words", "per_word", "context", "n", "n_cells"])
+        n = np.bincount(token, weights=train, minlength=len(cells)).astype(np.int64)
+        return table(
+            [(block, ids.to_pylist(), out.to_pylist(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes(),
+              squeeze(token), squeeze(np.diff(cells // CONTEXTS, prepend=0)), *packed_cells(words, cells, n))],
+            [*TEXT_COLUMNS[:-1], *SLICE_NAMES[2:]],
+            [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3, *SLICE_ARROW[2:]])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -115,46 +155,51 @@ def to_buckets(rows: DataFrame, bits: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words, per = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["per_word"], np.uint32)
-                context, n = np.frombuffer(r["context"], np.uint16), np.frombuffer(r["n"], np.uint32)
-                first = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
+                words, cells, n = words_in(r), codes_in(r), unsqueeze(r["n"], r["n_cells"], "<i8")
                 bucket = (words >> np.uint64(64 - bits)).astype(np.int64)
                 edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(words))
+                first = np.searchsorted(cells, edge * CONTEXTS)
                 out = []
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    x, y = first[a], first[b]
-                    out.append((int(bucket[a]), r["block"], words[a:b].tobytes(), per[a:b].tobytes(), context[x:y].tobytes(), n[x:y].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), *[pa.binary()] * 4), strict=True)],
-                    ["bucket", "block", "words", "per_word", "context", "n"])
-
-    return rows.select("block", "words", "per_word", "context", "n").mapInArrow(cut, SLICE_TYPE)
-
-
-def gathered(slices: DataFrame) -> DataFrame:
-    """``BUCKET_TYPE``: per bucket the sums over all blocks, and where each block's words and cells are in them."""
-
-    def gather(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("block").to_pydict()
-        words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-        per = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["per_word"]])
-        context = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["context"]])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["n"]])
-        distinct, word_of = np.unique(np.concatenate(words), return_inverse=True)
-        cells, cell_of = np.unique(np.repeat(word_of, per) * CONTEXTS + context, return_inverse=True)
-        total = np.bincount(cell_of, weights=n, minlength=len(cells)).astype(np.int64)
-        return pa.Table.from_pydict({
-            "bucket": [rows["bucket"][0]],
-            "per_word": [np.bincount(cells // CONTEXTS, minlength=len(distinct)).astype(np.uint32).tobytes()],
-            "context": [(cells % CONTEXTS).astype(np.uint16).tobytes()], "n": [total.tobytes()],
-            "blocks": [rows["block"]], "n_words": [[len(x) for x in words]], "n_cells": [[len(x) // 2 for x in rows["context"]]],
-            "word_of": [squeeze(np.diff(word_of, prepend=0))], "cell_of": [squeeze(np.diff(cell_of, prepend=0))],
-        }, pa.schema([
-            ("bucket", pa.int64()), ("per_word", pa.binary()), ("context", pa.binary()), ("n", pa.binary()),
-            ("blocks", pa.list_(pa.string())), ("n_words", pa.list_(pa.int32())), ("n_cells", pa.list_(pa.int32())),
-            ("word_of", pa.binary()), ("cell_of", pa.binary())]))
-
-    return slices.groupBy("bucket").applyInArrow(gather, BUCKET_TYPE)
+                for a, b, x, y in zip(edge[:-1], edge[1:], first[:-1], first[1:], strict=True):
+                    out.append((int(bucket[a]), r["block"], *packed_cells(words[a:b], cells[x:y] - a * CONTEXTS, n[x:y])))
+                yield table(out, SLICE_NAMES, SLICE_ARROW)
+
+    return rows.select("block", "words", "cells", "n", "n_words", "n_cells").mapInArrow(cut, SLICE_TYPE)
+
+
+def merged(slices: DataFrame, groups: int) -> DataFrame:
+    """``MERGED_TYPE``: per bucket and group of nodes the sums, and where each node's words and cells are in them."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("node").to_pylist()
+        words = [words_in(r) for r in rows]
+        distinct, word_of = ranked(np.concatenate(words))
+        at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        codes = []
+        for r, a in zip(rows, at[:-1], strict=True):
+            own = codes_in(r)
+            codes.append(word_of[a + own // CONTEXTS] * CONTEXTS + own % CONTEXTS)
+        cells, cell_of = ranked(np.concatenate(codes))
+        n = np.concatenate([unsqueeze(r["n"], r["n_cells"], "<i8") for r in rows])
+        n = np.bincount(cell_of, weights=n, minlength=len(cells)).astype(np.int64)
+        row = (rows[0]["bucket"], str(rows[0]["parent"]), *packed_cells(distinct, cells, n), [r["node"] for r in rows],
+               [r["n_words"] for r in rows], [r["n_cells"] for r in rows], squeeze(np.diff(word_of, prepend=0)), squeeze(np.diff(cell_of, prepend=0)))
+        return pa.Table.from_batches([table([row], SLICE_NAMES + FROM_NAMES, SLICE_ARROW + FROM_ARROW)])
+
+    parent = F.pmod(F.xxhash64("node"), F.lit(groups))
+    return slices.withColumn("parent", parent).groupBy("bucket", "parent").applyInArrow(merge, MERGED_TYPE)
+
+
+def levels_of(slices: DataFrame, nodes: int, fan: int) -> list[DataFrame]:
+    """Sums by levels, each staged; the last has one row per bucket."""
+    levels = []
+    while True:
+        groups = 1 if nodes <= fan else ceil(nodes / fan)
+        slices = stage(merged(slices, groups), "lm-level", keep=True)
+        levels.append(slices)
+        if groups == 1:
+            return levels
+        slices, nodes = slices.select(*SLICE_NAMES), groups
 
 
 def seat(n: np.ndarray, base: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
@@ -251,33 +296,33 @@ class Model:
     seed: int
     sweeps: list[tuple[np.ndarray, float]]
 
-    def replay(self, bucket: int, word: np.ndarray, n_words: int, context: np.ndarray, n: np.ndarray):
-        """Per finished sweep, then for one more: tables of the cells, customers and tables of the words.
+    def step(self, bucket: int, word: np.ndarray, n_words: int, context: np.ndarray, n: np.ndarray, before: tuple | None):
+        """One more sweep: tables of the cells, customers and tables of the words. ``before`` is the last one's (customers,
+        tables) of the words.
 
-        Draws depend on seed, bucket and sweep alone, so a lost task is repeated exactly.
+        Draws depend on seed, bucket, sweep and ``before`` alone, so a lost task is repeated exactly.
         """
-        base = 1 / (self.types + 1)
-        seen = np.bincount(word, weights=n, minlength=n_words)
-        parent = (seen + 0.5) / (self.tokens + 0.5 * (self.types + 1))
-        opened, sat, parent_tables = self.customers ** self.discount, 0.0, self.types
-        for s in range(len(self.sweeps) + 1):
-            random = np.random.default_rng([self.seed, bucket, s])
-            weight = (self.strength + self.discount * opened)[context]
-            if s == 0:
-                tables = seat(n, parent[word], weight, self.discount, random)
-            else:
-                tables = reseat(n, weight * parent[word], self.discount, random)
-            u = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
-            weight = np.full(n_words, self.strength + self.parent_discount * parent_tables)
-            if s == 0:
-                t = seat(u, np.full(n_words, base), weight, self.parent_discount, random)
-            else:
-                t = reseat(u, weight * base, self.parent_discount, random)
-            yield tables, u, t
-            if s < len(self.sweeps):
-                opened, parent_tables = self.sweeps[s]
-                sat = opened.sum()
-                parent = self.parent(u, t, sat, parent_tables)
+        s = len(self.sweeps)
+        random = np.random.default_rng([self.seed, bucket, s])
+        if before is None:
+            seen = np.bincount(word, weights=n, minlength=n_words)
+            parent = (seen + 0.5) / (self.tokens + 0.5 * (self.types + 1))
+            opened, parent_tables = self.customers ** self.discount, self.types
+        else:
+            opened, parent_tables = self.sweeps[-1]
+            parent = self.parent(*before, opened.sum(), parent_tables)
+        weight = (self.strength + self.discount * opened)[context]
+        rest = np.full(n_words, (self.strength + self.parent_discount * parent_tables) / (self.types + 1))
+        if before is None:
+            tables = seat(n, parent[word], weight, self.discount, random)
+        else:
+            tables = reseat(n, weight * parent[word], self.discount, random)
+        u = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
+        if before is None:
+            t = seat(u, np.ones(n_words), rest, self.parent_discount, random)
+        else:
+            t = reseat(u, rest, self.parent_discount, random)
+        return tables, u, t
 
     def parent(self, u, t, sat: float, parent_tables: float) -> np.ndarray:
         rest = (self.strength + self.parent_discount * parent_tables) / (self.types + 1)
@@ -292,11 +337,19 @@ class Model:
 
 
 def cells_of(r: dict) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    per = np.frombuffer(r["per_word"], np.uint32)
-    return np.repeat(np.arange(len(per)), per), len(per), np.frombuffer(r["context"], np.uint16), np.frombuffer(r["n"], np.int64)
+    """Word number and context of each cell, number of words, training occurrences."""
+    codes = codes_in(r)
+    return codes // CONTEXTS, r["n_words"], codes % CONTEXTS, unsqueeze(r["n"], r["n_cells"], "<i8")
+
 
+def drawn(r: dict, s: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of the cells, customers and tables of the words that sweep ``s`` has left."""
+    tables = unsqueeze(r["tables"][s], r["n_cells"], "<i8")
+    u = np.bincount(word, weights=tables, minlength=r["n_words"]).astype(np.int64)
+    return tables, u, unsqueeze(r["above"][s], r["n_words"], "<i8")
 
-def summed(buckets: DataFrame, measure) -> dict[str, np.ndarray]:
+
+def summed(buckets: DataFrame, columns: list[str], measure) -> dict[str, np.ndarray]:
     """Adds up what ``measure`` gives per bucket: by name, up to CONTEXTS numbers. At most CONTEXTS + 5 rows come back."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +364,7 @@ def summed(buckets: DataFrame, measure) -> dict[str, np.ndarray]:
                 [pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(values[k])], ["name", "k", "value"])
 
     found: dict[str, np.ndarray] = {}
-    own = buckets.select("bucket", "per_word", "context", "n").mapInArrow(each, SUM_TYPE)
+    own = buckets.select(*columns).mapInArrow(each, SUM_TYPE)
     sums = own.groupBy("name", "k").agg(F.sum("value").alias("value")).toArrow()
     for name in sums["name"].unique().to_pylist():
         one = sums.filter(pc.equal(sums["name"], name))
@@ -330,28 +383,65 @@ def corpus_sums(r: dict) -> dict[str, np.ndarray]:
     }
 
 
-def fit(buckets: DataFrame, sweeps: int, strength: float, seed: int) -> Model:
-    """Discounts from the numbers of cells and words seen once and twice; then ``sweeps`` Gibbs sweeps."""
-    s = summed(buckets, corpus_sums)
+def swept(buckets: DataFrame, model: Model) -> DataFrame:
+    """``SWEPT_TYPE``: the buckets with the tables of one more sweep."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                word, n_words, context, n = cells_of(r)
+                before = drawn(r, -1, word)[1:] if r["tables"] else None
+                tables, _, t = model.step(r["bucket"], word, n_words, context, n, before)
+                r["tables"].append(squeeze(tables, "<i8"))
+                r["above"].append(squeeze(t, "<i8"))
+                yield pa.RecordBatch.from_pylist([r], batch.schema)
+
+    return buckets.mapInArrow(sweep, SWEPT_TYPE)
+
+
+def fit(buckets: DataFrame, sweeps: int, strength: float, seed: int) -> tuple[DataFrame, Model]:
+    """Discounts from the numbers of cells and words seen once and twice; then ``sweeps`` Gibbs sweeps.
+
+    Returns the buckets with the tables of all sweeps, staged. Each sweep writes them again and removes the ones before.
+    """
+    own = ["bucket", "cells", "n", "n_words", "n_cells"]
+    s = summed(buckets, own, corpus_sums)
     none = np.zeros(CONTEXTS)
     ones, twos = s.get("ones", none), s.get("twos", none)
     d, p = (float(np.clip(ones[i] / max(ones[i] + 2 * twos[i], 1), 0.05, 0.95)) for i in range(2))
     customers = s.get("customers", none)
     model = Model(float(customers.sum()), float(s.get("types", none)[0]), customers, d, p, strength, seed, [])
-    for _ in range(sweeps):
+    empty = F.array().cast("array<binary>")
+    buckets = buckets.select(*SWEPT, empty.alias("tables"), empty.alias("above"))
+
+    def tables(r: dict) -> dict[str, np.ndarray]:
+        word, _, context, _ = cells_of(r)
+        t, _, above = drawn(r, -1, word)
+        return {"opened": np.bincount(context, weights=t, minlength=CONTEXTS), "parent": [above.sum()]}
+
+    for i in range(sweeps):
+        last, buckets = buckets, stage(swept(buckets, model), "lm-sweep")
+        if i:
+            discard(last)
+        s = summed(buckets, [*own, "tables", "above"], tables)
+        model.sweeps.append((s.get("opened", none), float(s.get("parent", none)[0])))
+    return buckets, model
 
-        def tables(r: dict, model: Model = model) -> dict[str, np.ndarray]:
-            word, n_words, context, n = cells_of(r)
-            *_, (t, _, parent) = model.replay(r["bucket"], word, n_words, context, n)
-            return {"opened": np.bincount(context, weights=t, minlength=CONTEXTS), "parent": [parent.sum()]}
 
-        s = summed(buckets, tables)
-        model.sweeps.append((s.get("opened", none), float(s.get("parent", none)[0])))
-    return model
+def handed_down(r: dict, seen: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """The counts of words and the values of cells of a merged row, for each of the nodes it was made of."""
+    word_of = np.cumsum(unsqueeze(r["word_of"], sum(r["from_words"])), dtype=np.int64)
+    cell_of = np.cumsum(unsqueeze(r["cell_of"], sum(r["from_cells"])), dtype=np.int64)
+    a = b = 0
+    out = []
+    for node, x, y in zip(r["from_node"], r["from_words"], r["from_cells"], strict=True):
+        out.append((node, r["bucket"], x, squeeze(seen[word_of[a:a + x]], "<i8"), value[cell_of[b:b + y]].tobytes()))
+        a, b = a + x, b + y
+    return table(out, BACK_NAMES, BACK_ARROW)
 
 
 def scored_cells(buckets: DataFrame, model: Model, burn: int) -> DataFrame:
-    """``BACK_TYPE``: to each block, training counts of its words and log10 averaged probabilities of its cells."""
+    """``BACK_TYPE``: to each node below, training counts of its words and log10 averaged probabilities of its cells."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,24 +449,25 @@ def scored_cells(buckets: DataFrame, model: Model, burn: int) -> DataFrame:
                 word, n_words, context, n = cells_of(r)
                 seen = np.bincount(word, weights=n, minlength=n_words).astype(np.int64)
                 total = np.zeros(len(n))
-                for s, (tables, u, t) in zip(range(len(model.sweeps)), model.replay(r["bucket"], word, n_words, context, n), strict=False):
-                    if s >= burn:
-                        total += model.predictive(s, word, context, n, tables, u, t)
-                value = np.log10(total / (len(model.sweeps) - burn)).astype(np.float32)
-                word_of = np.cumsum(unsqueeze(r["word_of"], sum(r["n_words"])), dtype=np.int64)
-                cell_of = np.cumsum(unsqueeze(r["cell_of"], sum(r["n_cells"])), dtype=np.int64)
-                a = b = 0
-                out = []
-                for block, x, y in zip(r["blocks"], r["n_words"], r["n_cells"], strict=True):
-                    out.append((block, r["bucket"], seen[word_of[a:a + x]].tobytes(), value[cell_of[b:b + y]].tobytes()))
-                    a, b = a + x, b + y
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                    ["block", "bucket", "seen", "score"])
+                for s in range(burn, len(model.sweeps)):
+                    total += model.predictive(s, word, context, n, *drawn(r, s, word))
+                yield handed_down(r, seen, np.log10(total / (len(model.sweeps) - burn)).astype(np.float32))
 
     return buckets.mapInArrow(score, BACK_TYPE)
 
 
+def down(back: DataFrame, level: DataFrame) -> DataFrame:
+    """``BACK_TYPE`` of the nodes below ``level``, from that of its own."""
+
+    def hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield handed_down(r, unsqueeze(r["seen"], r["n_words"], "<i8"), np.frombuffer(r["score"], np.float32))
+
+    rows = level.select("bucket", "node", *FROM_NAMES).join(back, ["bucket", "node"])
+    return rows.select("bucket", "n_words", "seen", "score", *FROM_NAMES).mapInArrow(hand, BACK_TYPE)
+
+
 def scored_texts(rows: DataFrame, back: DataFrame, model: Model) -> DataFrame:
     """``RESULT_TYPE``: each block's texts added up."""
     tokens, types = model.tokens, model.types
@@ -384,11 +475,11 @@ def scored_texts(rows: DataFrame, back: DataFrame, model: Model) -> DataFrame:
     def add(block: pa.Table, cells: pa.Table) -> pa.Table:
         r = block.to_pylist()[0]
         cells = cells.sort_by("bucket").to_pydict()
-        seen = np.concatenate([np.frombuffer(x, np.int64) for x in cells["seen"]])
+        seen = np.concatenate([unsqueeze(x, k, "<i8") for x, k in zip(cells["seen"], cells["n_words"], strict=True)])
         score = np.concatenate([np.frombuffer(x, np.float32) for x in cells["score"]]).astype(float)
         ptr = np.frombuffer(r["ptr"], np.int64)
         token = unsqueeze(r["tokens"], int(ptr[-1]))
-        word = np.repeat(np.arange(len(seen)), np.frombuffer(r["per_word"], np.uint32))[token]
+        word = np.cumsum(unsqueeze(r["words_of_cells"], r["n_cells"]), dtype=np.int64)[token]
         base = np.log10((seen + 0.5) / (tokens + 0.5 * (types + 1)))
         n = np.diff(ptr)
         return pa.Table.from_pydict({
@@ -398,8 +489,7 @@ def scored_texts(rows: DataFrame, back: DataFrame, model: Model) -> DataFrame:
             "score": np.add.reduceat(score[token], ptr[:-1]),
         })
 
-    side = rows.select("block", "doc_ids", "held", "ptr", "tokens", "per_word")
-    return side.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(add, RESULT_TYPE)
+    return rows.groupBy("block").cogroup(back.groupBy("node")).applyInArrow(add, RESULT_TYPE)
 
 
 def score(
@@ -411,6 +501,7 @@ def score(
     strength: float = 10.0,
     seed: int = 5,
     at_once: int = BLOCK_TOKENS,
+    fan: int = FAN,
 ) -> DataFrame:
     """One row per document, ``RESULT_TYPE``: held_out, token counts, base and model log10 probability of the text.
 
@@ -421,9 +512,16 @@ def score(
     """
     smaller_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    rows = stage(corpus_blocks(documents_of(docs, key, text).withColumn("held", held), at_once), "lm-blocks")
-    cells = rows.agg(F.sum("n_cells")).first()[0] or 0
-    bits = max(LEAST_BUCKETS, cells // BUCKET_CELLS).bit_length()
-    buckets = stage(gathered(to_buckets(rows, bits)), "lm-buckets")
-    model = fit(buckets, sweeps, strength, seed)
-    return scored_texts(rows, scored_cells(buckets, model, burn), model)
+    spark = docs.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            rows = stage(corpus_blocks(documents_of(docs, key, text).withColumn("held", held), at_once), "lm-blocks")
+            texts = stage(rows.select(*TEXT_COLUMNS), "lm-texts", keep=True)
+            n_blocks, cells = rows.agg(F.count(F.lit(1)), F.sum("n_cells")).first()
+            bits = max(LEAST_BUCKETS, (cells or 0) // BUCKET_CELLS).bit_length()
+            levels = levels_of(to_buckets(rows, bits), n_blocks, fan)
+        buckets, model = fit(levels[-1], sweeps, strength, seed)
+        back = scored_cells(buckets, model, burn)
+        for level in reversed(levels[:-1]):
+            back = down(back, level)
+        return stage(scored_texts(texts, back, model), "lm-scores", keep=True)

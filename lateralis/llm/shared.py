@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,22 +21,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths staged by each open ``scratch``, the innermost last.
-_open: list[list[str]] = []
+class _Scratches(threading.local):
+    """Paths staged by each open ``scratch`` of this thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_own = _Scratches()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what is staged inside, but for tables staged with ``keep``; those belong to the one outside."""
     own: list[str] = []
-    _open.append(own)
+    _own.open.append(own)
     try:
         yield
     finally:
-        _open.pop()
+        _own.open.pop()
         for path in own:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
@@ -46,12 +57,19 @@ def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lateralis-{label}-{uuid.uuid4().hex}"
-    if len(_open) > keep:
-        _open[-1 - keep].append(path)
+    if len(_own.open) > keep:
+        _own.open[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Removes a staged table before its ``scratch`` ends, once nothing will read it again."""
+    files = staged.inputFiles()
+    if files:
+        _delete(staged.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def named(column: str) -> Column:
     """A column by its literal name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")

@@ -740,10 +740,11 @@ def test_predictive_sums_to_one():
     n = random_.integers(0, 6, 40)
     seen = np.bincount(word, weights=n)
     model = pitman_yor.Model(float(n.sum()), float((seen > 0).sum()), np.bincount(context, weights=n, minlength=256), 0.6, 0.4, 3.0, 1, [])
+    before = None
     for _ in range(3):
-        *_, (tables, u, t) = model.replay(0, word, 10, context, n)
+        tables, u, t = model.step(0, word, 10, context, n, before)
+        before = u, t
         model.sweeps.append((np.bincount(context, weights=tables, minlength=256), float(t.sum())))
-    *_, (tables, u, t) = list(model.replay(0, word, 10, context, n))[:3]
     p = model.predictive(2, word, context, n, tables, u, t)
     known = (seen > 0)[word]
     rest = model.predictive(2, np.zeros(4, int), np.arange(4), np.zeros(4), np.zeros(4), np.zeros(1), np.zeros(1))
@@ -820,12 +821,51 @@ def test_score_matches_a_plain_gibbs_sampler():
     n = np.array([seen[w, c] for w, c in zip(word, context, strict=True)])
     customers = np.bincount(context, weights=n, minlength=256)
     model = pitman_yor.Model(float(n.sum()), float(types), customers, d, p, strength, 1, [])
+    drawn = []
     for _ in range(40):
-        *_, (tables, _, t) = model.replay(0, word, n_words, context, n)
+        drawn.append(model.step(0, word, n_words, context, n, drawn[-1][1:] if drawn else None))
+        tables, _, t = drawn[-1]
         model.sweeps.append((np.bincount(context, weights=tables, minlength=256), float(t.sum())))
-    drawn = list(model.replay(0, word, n_words, context, n))[:40]
     fast = sum(model.predictive(s, word, context, n, *drawn[s]) for s in range(5, 40)) / 35
     exact = np.array([slow[w, c] if (w, c) in slow else np.nan for w, c in zip(word, context, strict=True)])
     off = np.abs(np.log10(fast) - np.log10(exact))
     assert np.nanmean(off[n > 0]) < 0.01 and np.nanmax(off[n > 0]) < 0.05
     assert np.nanmax(off) < 0.2  # cells never met: all cells draw at once here, so small corpora differ a little
+
+
+def test_query_score_matches_a_plain_gibbs_sampler(spark):
+    """Default sweeps and strength, discounts as fitted: the scores of whole texts, learned from and held out."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.2)), 30)}" for _ in range(60)) for _ in range(50)]
+    got = {x.doc_id: x for x in pitman_yor.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    held = {i for i in got if zlib.crc32(str(i).encode()) % 5 == 1}
+    places = {i: [(w, c) for t in [[*x.split(), None]] for c, w in zip([None, *t], t, strict=False)] for i, x in enumerate(texts)}
+    tokens = [x for i, own in places.items() if i not in held for x in own]
+    cells = collections.Counter(tokens)
+    contexts = collections.Counter(w for w, _ in cells)
+    d, p = (max(0.05, min(0.95, ones / max(ones + 2 * twos, 1))) for ones, twos in (
+        [sum(v == k for v in count.values()) for k in (1, 2)] for count in (cells, contexts)))
+    slow = plain_gibbs(tokens, d, p, 10.0, 1 / (len(contexts) + 1), 60, 10)
+    assert held and len(held) < len(texts)
+    for i, own in places.items():
+        expected = sum(math.log10(slow[x]) for x in own)
+        assert got[i].score == pytest.approx(expected, rel=0.02), i
+
+
+def test_cells_are_added_up_in_levels(spark):
+    """One word in half of all places: no group takes more than some ``fan`` blocks, and the scores do not depend on it."""
+    rows = [(i, " ".join(f"hot {i * 7 + k}" for k in range(60))) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(48)
+    blocks = pitman_yor.corpus_blocks(df.withColumn("held", F.lit(False)), 300)
+    n = blocks.count()
+    assert n > 40
+    levels = pitman_yor.levels_of(pitman_yor.to_buckets(blocks, 7), n, 4)
+    assert len(levels) >= 3
+    for level in levels:
+        assert level.select(F.max(F.size("from_node"))).first()[0] <= 16
+    assert levels[-1].groupBy("bucket").count().filter("count > 1").count() == 0
+
+    def scores(**more):
+        return sorted((x.doc_id, x.n_known, x.score) for x in pitman_yor.score(df, **more).collect())
+
+    assert scores(at_once=300, fan=4) == scores(at_once=300) == scores()
