@@ -125,7 +125,7 @@ def corpus_blocks(docs: DataFrame, at_once: int = BLOCK_TOKENS) -> DataFrame:
         ids, out = pa.concat_arrays(ids), pa.concat_arrays(out)
         hashes, context, sizes = np.concatenate(hashes), np.concatenate(context), np.concatenate(sizes)
         words, word = ranked(hashes)
-        cells, token = ranked(word * CONTEXTS + context)
+        cells, token = np.unique(word * CONTEXTS + context, return_inverse=True)
         train = np.repeat(~np.asarray(out.to_numpy(zero_copy_only=False), dtype=bool), sizes)
         n = np.bincount(token, weights=train, minlength=len(cells)).astype(np.int64)
         return table(
@@ -179,7 +179,7 @@ def merged(slices: DataFrame, groups: int) -> DataFrame:
         for r, a in zip(rows, at[:-1], strict=True):
             own = codes_in(r)
             codes.append(word_of[a + own // CONTEXTS] * CONTEXTS + own % CONTEXTS)
-        cells, cell_of = ranked(np.concatenate(codes))
+        cells, cell_of = np.unique(np.concatenate(codes), return_inverse=True)
         n = np.concatenate([unsqueeze(r["n"], r["n_cells"], "<i8") for r in rows])
         n = np.bincount(cell_of, weights=n, minlength=len(cells)).astype(np.int64)
         row = (rows[0]["bucket"], str(rows[0]["parent"]), *packed_cells(distinct, cells, n), [r["node"] for r in rows],
