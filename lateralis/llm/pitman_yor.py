@@ -14,7 +14,7 @@ How it runs: texts become blocks of about two million tokens, each with its dist
 token, the number of its cell. Only the cells are shuffled, packed, to buckets by word hash, so that
 all of a word's contexts meet. They are added up as a tree: at most some FAN blocks meet in one group,
 their sums meet in the next level. A word has at most CONTEXTS distinct cells, so however frequent it is
-a group takes FAN times that of it. A sweep is a map over the buckets of the last level and writes
+a group takes some FAN times that of it, 16 million for the most frequent. A sweep is a map over the buckets of the last level and writes
 them again with the tables drawn; a later sweep starts from these. What buckets share are the numbers of
 customers and tables per context, at most 65,536 sums of each whatever the corpus. At the end the
 levels are gone down again: each block gets one probability per distinct cell back and adds up its texts.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lateralis.llm.shared import discard, documents_of, scratch, smaller_batches, stage
 from lateralis.llm.wordhash import IS_SPACE, blocks, words_of
 
-BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, FAN, CONTEXTS = 2_000_000, 1_000_000, 64, 64, 1 << 16
+BLOCK_TOKENS, BUCKET_CELLS, LEAST_BUCKETS, FAN, CONTEXTS = 2_000_000, 1_000_000, 64, 256, 1 << 16
 #: The token after a text's last word.
 END = np.uint64(0x0123456789ABCDEF)
 EXACT = 64  # customers seated one by one before larger steps
@@ -97,6 +97,12 @@ def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], rank[found.indices.to_numpy()]
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: each is megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
@@ -154,7 +160,7 @@ def to_buckets(rows: DataFrame, bits: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 words, cells, n = words_in(r), codes_in(r), unsqueeze(r["n"], r["n_cells"], "<i8")
                 bucket = (words >> np.uint64(64 - bits)).astype(np.int64)
                 edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(words))
@@ -195,7 +201,8 @@ def levels_of(slices: DataFrame, nodes: int, fan: int) -> list[DataFrame]:
     levels = []
     while True:
         groups = 1 if nodes <= fan else ceil(nodes / fan)
-        slices = stage(merged(slices, groups), "lm-level", keep=True)
+        slices = merged(slices, groups)
+        slices = stage(slices if groups > 1 else slices.select(*SWEPT), "lm-level", keep=True)
         levels.append(slices)
         if groups == 1:
             return levels
@@ -355,7 +362,7 @@ def summed(buckets: DataFrame, columns: list[str], measure) -> dict[str, np.ndar
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 for name, values in measure(r).items():
                     total[name] = total.get(name, 0) + np.asarray(values, dtype=float)
         for name, values in total.items():
@@ -388,7 +395,7 @@ def swept(buckets: DataFrame, model: Model) -> DataFrame:
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 word, n_words, context, n = cells_of(r)
                 before = drawn(r, -1, word)[1:] if r["tables"] else None
                 tables, _, t = model.step(r["bucket"], word, n_words, context, n, before)
@@ -445,7 +452,7 @@ def scored_cells(buckets: DataFrame, model: Model, burn: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 word, n_words, context, n = cells_of(r)
                 seen = np.bincount(word, weights=n, minlength=n_words).astype(np.int64)
                 total = np.zeros(len(n))
@@ -461,7 +468,7 @@ def down(back: DataFrame, level: DataFrame) -> DataFrame:
 
     def hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 yield handed_down(r, unsqueeze(r["seen"], r["n_words"], "<i8"), np.frombuffer(r["score"], np.float32))
 
     rows = level.select("bucket", "node", *FROM_NAMES).join(back, ["bucket", "node"])
