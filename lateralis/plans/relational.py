@@ -278,8 +278,9 @@ def shannon(t):
 @query("""WITH n AS (SELECT r_name, n_name, c_mktsegment, count(*) n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
  GROUP BY GROUPING SETS ((r_name), (r_name, n_name), (r_name, n_name, c_mktsegment))) SELECT * FROM n""")
 def place_rollup(t):
-    t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).createOrReplaceTempView("lateralis_places")
-    return t.spark.sql("SELECT r_name, n_name, c_mktsegment, count(*) AS n FROM lateralis_places GROUP BY GROUPING SETS ((r_name), (r_name, n_name), (r_name, n_name, c_mktsegment))")
+    places = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    sets = [["r_name"], ["r_name", "n_name"], ["r_name", "n_name", "c_mktsegment"]]
+    return places.groupingSets([[F.col(c) for c in cs] for cs in sets], "r_name", "n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH n AS (SELECT l_suppkey, l_returnflag, count(*) n, count(*) FILTER (l_discount > 0.05) tp FROM lineitem GROUP BY 1, 2),
