@@ -115,3 +115,20 @@ def split_alignment(whole: DataFrame, partitions: DataFrame, names: DataFrame) -
     checked = F.when(F.col("odd").isNotNull(), F.raise_error(F.concat(F.lit("names do not match: "), F.col("odd").cast("string")))).otherwise(
         F.substring(F.col("seq"), F.col("start"), F.col("end") - F.col("start") + 1))
     return rows.select("gene", "seq_id", checked.alias("seq"))
+
+
+def split_alignments(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, algn, seq_id, seq): the sequences of each cluster, out of the first alignment that has any of them.
+
+    ``rows``: algn, seq_id, seq; ``members``: cluster, seq_id. A cluster of one member has no rows. A member that the
+    cluster's alignment lacks, or has twice, is an error that names it.
+    """
+    members = members.select("cluster", "seq_id").distinct()
+    several = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")
+    wanted = members.join(several, "cluster", "left_semi")
+    counted = rows.groupBy("seq_id", "algn").agg(F.count(F.lit(1)).alias("times"), F.first("seq").alias("seq"))
+    first = wanted.join(counted.select("seq_id", "algn"), "seq_id").groupBy("cluster").agg(F.min("algn").alias("algn"))
+    found = wanted.join(first, "cluster", "left").join(counted, ["algn", "seq_id"], "left")
+    name = F.concat_ws(" ", F.lit("cluster"), F.col("cluster").cast("string"), F.lit("sequence"), F.col("seq_id").cast("string"))
+    seq = F.when(F.col("times") == 1, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("not once in its alignment: "), name)))
+    return found.select("cluster", "algn", "seq_id", seq.alias("seq"))

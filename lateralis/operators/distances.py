@@ -42,6 +42,26 @@ def in_out_group(dist: DataFrame, group: DataFrame, include_self: bool = False)
         F.avg(outside).alias("out_mean"), F.percentile(outside, 0.5).alias("out_median"))
 
 
+def source_summaries(dist: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, a, source, in_group, out_group): per cluster and genome the six numbers of its distances to the other genomes
+    of its source and to those of other sources, all sources in one pass.
+
+    ``dist``: cluster, a, b, dist in both directions; ``labels``: id, source. A source with one genome in a cluster has no
+    rows there; without a genome of another source ``out_group`` is null. A group is one row of a distance matrix.
+    """
+    own, other = labels.select(F.col("id").alias("a"), "source"), labels.select(F.col("id").alias("b"), F.col("source").alias("met"))
+    rows = dist.filter("a <> b").join(own, "a").join(other, "b")
+    within, beyond = F.when(F.col("source") == F.col("met"), F.col("dist")), F.when(F.col("source") != F.col("met"), F.col("dist"))
+
+    def six(v: Column) -> Column:
+        p = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        numbers = {"min": F.min(v), "q1": p[0], "median": p[1], "mean": F.avg(v), "q3": p[2], "max": F.max(v)}
+        return F.when(F.count(v) > 0, F.struct(*[c.alias(n) for n, c in numbers.items()]))
+
+    out = rows.groupBy("cluster", "a", "source").agg(six(within).alias("in_group"), six(beyond).alias("out_group"))
+    return out.filter("in_group IS NOT NULL")
+
+
 def medoids(dist: DataFrame, group: DataFrame) -> DataFrame:
     """(grp, medoid, total): per group the member with the smallest sum of distances within it, smallest id on ties."""
     rows = dist.join(group.select(F.col("id").alias("a"), "grp"), "a").join(

@@ -137,6 +137,18 @@ def nearest_copies(t):
     return alignments.nearest_copy(rows, cut).select("algn", "genome", "seq_id")
 
 
+@query(ALIGNED_SQL + """, y AS (SELECT algn || seq_id AS seq_id, algn, algn || seq_id % 14 AS cluster, seq FROM x),
+k AS (SELECT *, count(*) OVER (PARTITION BY cluster) n FROM y)
+SELECT l.cluster, l.algn, l.seq_id AS a, r.seq_id AS b, len(list_filter(list_zip(string_split(l.seq, ''), string_split(r.seq, '')), lambda v: v[1] <> v[2])) AS raw
+FROM k l JOIN k r ON l.cluster = r.cluster AND l.seq_id < r.seq_id WHERE l.n > 1""")
+def cluster_alignments(t):
+    """Clusters of nations within a segment, each with the sequences that its alignment has of it, and their distances."""
+    rows = cut(aligned(t).withColumn("nation", F.col("seq_id")).withColumn("seq_id", F.concat("algn", "nation")))
+    parts = cut(alignments.split_alignments(rows, rows.select(F.concat("algn", F.col("nation") % 14).alias("cluster"), "seq_id")))
+    found = alignments.pair_distances(parts.select(F.col("cluster").alias("algn"), "seq_id", "seq"), cut)
+    return found.withColumnRenamed("algn", "cluster").join(parts.select("cluster", "algn").distinct(), "cluster").select("cluster", "algn", "a", "b", "raw")
+
+
 @query()
 def alignment_leaders(t):
     return alignments.alignment_leaders(aligned(t), cut, identity=0.05, substitutions=2)

@@ -5,11 +5,14 @@ Transitions stand in by a rule on edge and feature; clusters are features by par
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lateralis.operators import statistics, tree
 from lateralis.plans.registry import Tables, query
+from lateralis.sources import formats
 from lateralis.session import cut
 
 TREE_SQL = """
@@ -94,11 +97,16 @@ def tree_descendants(t):
     return below.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("height"))
 
 
-@query(CHANGES_SQL + """SELECT c.anc AS edge, count(*) AS n FROM c WHERE NOT EXISTS (
- SELECT 1 FROM c d JOIN ch ON ch.edge = d.anc AND ch.dir = 2 AND ch.feature = 0 WHERE d.edge = c.edge AND d.depth <= c.depth) GROUP BY 1""")
+@query(CHANGES_SQL + """, st AS (SELECT d.edge, feature, min(depth) stop FROM c d JOIN ch ON ch.edge = d.anc AND ch.dir = 2 GROUP BY 1, 2)
+SELECT f.feature, c.anc AS edge, count(*) AS n FROM c CROSS JOIN f LEFT JOIN st ON st.edge = c.edge AND st.feature = f.feature WHERE stop IS NULL OR depth < stop GROUP BY 1, 2""")
 def tree_pruned(t):
-    stops = changes(t).filter("dir = 2 AND feature = 0").select("edge")
-    return tree.pruned_descendants(closure(t), stops).groupBy("edge").agg(F.count(F.lit(1)).alias("n"))
+    c, lost = closure(t), changes(t).filter("dir = 2")
+
+    def below(feature: int) -> DataFrame:
+        kept = tree.pruned_descendants(c, lost.filter(F.col("feature") == feature).select("edge"))
+        return kept.groupBy(F.lit(feature).alias("feature"), "edge").agg(F.count(F.lit(1)).alias("n"))
+
+    return reduce(DataFrame.unionByName, map(below, range(5)))
 
 
 @query(TREE_SQL + "SELECT c.edge AS tip, max(depth) AS depth, arg_max(anc, depth) AS root_edge FROM c JOIN t USING (edge) WHERE is_tip GROUP BY 1")
@@ -106,15 +114,27 @@ def tip_edges(t):
     return tip_paths(t, closure(t)).groupBy("tip").agg(F.max("depth").alias("depth"), F.max_by("edge", "depth").alias("root_edge"))
 
 
-@query(TREE_SQL + """, w AS (SELECT c.edge, anc, length FROM c JOIN t ON t.edge = c.anc), p AS (SELECT edge a, edge + 7 b FROM t WHERE is_tip AND edge + 7 <= (SELECT max(edge) FROM t))
-SELECT a, b, round((SELECT sum(length) FROM w WHERE edge = a AND anc NOT IN (SELECT anc FROM w WHERE edge = b))
- + (SELECT sum(length) FROM w WHERE edge = b AND anc NOT IN (SELECT anc FROM w WHERE edge = a)), 4) AS dist FROM p""")
+@query(TREE_SQL + """, w AS (SELECT c.edge, anc, length FROM c JOIN t ON t.edge = c.anc), r AS (SELECT edge, sum(length) d FROM w GROUP BY 1),
+p AS (SELECT x.edge a, y.edge b FROM t x JOIN t y ON x.c_nationkey = y.c_nationkey AND x.edge < y.edge WHERE x.is_tip AND y.is_tip),
+s AS (SELECT a, b, sum(u.length) s FROM p JOIN w u ON u.edge = a JOIN w v ON v.edge = b AND v.anc = u.anc GROUP BY 1, 2)
+SELECT a, b, round(x.d + y.d - 2 * coalesce(s, 0), 4) AS dist FROM p JOIN r x ON x.edge = a JOIN r y ON y.edge = b LEFT JOIN s USING (a, b)""")
 def patristic(t):
-    tips = edges(t).filter("is_tip").select("edge")
-    pairs = tips.select(F.col("edge").alias("a"), (F.col("edge") + 7).alias("b")).join(tips.select(F.col("edge").alias("b")), "b")
+    """All pairs of tips of one nation."""
+    tips = edges(t).filter("is_tip").select("c_nationkey", F.col("edge").alias("a"))
+    pairs = tips.join(tips.withColumnRenamed("a", "b"), "c_nationkey").filter("a < b").select("a", "b")
     return tree.patristic(closure(t), edges(t), pairs).select("a", "b", F.round("dist", 4).alias("dist"))
 
 
+@query(TREE_SQL + """, p AS (SELECT edge, list(anc ORDER BY depth DESC) path FROM c GROUP BY 1),
+n AS (SELECT t.edge, path, is_tip, t.edge::varchar || ':' || length::varchar AS name, t.edge <> min(t.edge) OVER (PARTITION BY parent_edge) AS later FROM t JOIN p USING (edge)),
+tk AS (SELECT path k, (CASE WHEN later THEN ',' ELSE '' END) || (CASE WHEN is_tip THEN name ELSE '(' END) s FROM n UNION ALL SELECT list_append(path, 9223372036854775807), ')' || name FROM n WHERE NOT is_tip)
+SELECT count(*)::int AS n_tokens, md5('(' || string_agg(s, '' ORDER BY k) || ');') AS newick FROM tk""")
+def newick_text(t):
+    rows = edges(t).withColumn("label", F.col("edge").cast("string"))
+    text = formats.newick_text(rows, closure(t))
+    return text.select((F.regexp_count("newick", F.lit("[(:]")) - 1).cast("int").alias("n_tokens"), F.md5("newick").alias("newick"))
+
+
 @query(CARRIED_SQL + "SELECT feature, edge FROM fe")
 def feature_edges(t):
     return carried(t, closure(t))

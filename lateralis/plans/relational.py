@@ -93,12 +93,12 @@ def phi_dist(t):
     return brand_phi(t).select("a", "b", six(similarity.correlation_distance(F.col("r"))).alias("dist"))
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_returnflag f, l_linestatus s FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.08)
-SELECT l_suppkey, max(CASE WHEN f = 'A' THEN 1 ELSE 0 END) AS "A", max(CASE WHEN f = 'N' THEN 1 ELSE 0 END) AS "N",
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_returnflag f FROM lineitem)
+SELECT l_orderkey, max(CASE WHEN f = 'A' THEN 1 ELSE 0 END) AS "A", max(CASE WHEN f = 'N' THEN 1 ELSE 0 END) AS "N",
  max(CASE WHEN f = 'R' THEN 1 ELSE 0 END) AS "R" FROM m GROUP BY 1""")
 def presence_pivot(t):
-    m = t.lineitem.filter("l_quantity >= 50 AND l_discount >= 0.08").select("l_suppkey", "l_returnflag").distinct()
-    return m.groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1)).cast("int")).fillna(0)
+    m = t.lineitem.select("l_orderkey", "l_returnflag").distinct()
+    return m.groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1)).cast("int")).fillna(0)
 
 
 @query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
@@ -107,11 +107,11 @@ def feature_filter(t):
     return counts.frequent_features(members(t), "l_partkey", 3)
 
 
-@query("""WITH m AS (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 49), n AS (SELECT l_partkey, count(*) n FROM m GROUP BY 1)
-SELECT l_suppkey, CASE WHEN n = 1 THEN 0 ELSE l_partkey END AS l_partkey, count(*) AS n FROM m JOIN n USING (l_partkey) GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT l_suppkey, l_orderkey FROM lineitem), n AS (SELECT l_orderkey, count(*) n FROM m GROUP BY 1)
+SELECT l_suppkey, CASE WHEN n = 1 THEN 0 ELSE l_orderkey END AS l_orderkey, count(*) AS n FROM m JOIN n USING (l_orderkey) GROUP BY 1, 2""")
 def remove_singletons(t):
-    rows = counts.drop_singletons(t.lineitem.filter("l_quantity >= 49").select("l_suppkey", "l_partkey"), "l_partkey")
-    return rows.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.drop_singletons(t.lineitem.select("l_suppkey", "l_orderkey"), "l_orderkey")
+    return rows.groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2")
@@ -171,22 +171,21 @@ def anti_member(t):
     return t.customer.select("c_custkey").join(t.orders.filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("""SELECT DISTINCT k FROM (SELECT c_nationkey k FROM customer WHERE c_acctbal > 9900 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)""")
+@query("SELECT c_custkey AS k FROM customer UNION SELECT l_suppkey FROM lineitem")
 def union_distinct(t):
-    a = t.customer.filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))
-    return a.union(t.supplier.filter("s_acctbal > 9000").select("s_nationkey")).distinct()
+    return t.customer.select(F.col("c_custkey").alias("k")).union(t.lineitem.select("l_suppkey")).distinct()
 
 
 def vectors(t: Tables) -> DataFrame:
     return t.embeddings.filter("embedding IS NOT NULL")
 
 
-def vector_pairs(t: Tables) -> DataFrame:
+def vector_pairs(t: Tables, digits: int = 6) -> DataFrame:
     """Distances (a, b, dist) within each label, a <> b."""
     v = vectors(t)
     left = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     right = v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return left.join(right, "label").filter("a <> b").select("label", "a", "b", six(distances.euclidean("x", "y")).alias("dist"))
+    return left.join(right, "label").filter("a <> b").select("label", "a", "b", F.round(distances.euclidean("x", "y"), digits).alias("dist"))
 
 
 DIST_SQL = """
@@ -327,6 +326,17 @@ r AS (SELECT k, x, f, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (
 """
 
 
+@query(DIST_SQL.replace(", 6) dist", ", 12) dist") + """SELECT label AS cluster, a, a % 3 AS source, round(min(dist) FILTER (b % 3 = a % 3), 6) AS in_group_min, round(quantile_cont(dist, 0.25) FILTER (b % 3 = a % 3), 6) AS in_group_q1, round(quantile_cont(dist, 0.5) FILTER (b % 3 = a % 3), 6) AS in_group_median,
+ round(avg(dist) FILTER (b % 3 = a % 3), 6) AS in_group_mean, round(quantile_cont(dist, 0.75) FILTER (b % 3 = a % 3), 6) AS in_group_q3, round(max(dist) FILTER (b % 3 = a % 3), 6) AS in_group_max, round(min(dist) FILTER (b % 3 <> a % 3), 6) AS out_group_min, round(quantile_cont(dist, 0.25) FILTER (b % 3 <> a % 3), 6) AS out_group_q1, round(quantile_cont(dist, 0.5) FILTER (b % 3 <> a % 3), 6) AS out_group_median,
+ round(avg(dist) FILTER (b % 3 <> a % 3), 6) AS out_group_mean, round(quantile_cont(dist, 0.75) FILTER (b % 3 <> a % 3), 6) AS out_group_q3, round(max(dist) FILTER (b % 3 <> a % 3), 6) AS out_group_max
+FROM d GROUP BY 1, 2 HAVING count(*) FILTER (b % 3 = a % 3) > 0""")
+def source_summaries(t):
+    labels = vectors(t).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("source"))
+    s = distances.source_summaries(vector_pairs(t, 12).withColumnRenamed("label", "cluster"), labels)
+    numbers = [F.round(f"{g}.{n}", 6).alias(f"{g}_{n}") for g in ("in_group", "out_group") for n in ("min", "q1", "median", "mean", "q3", "max")]
+    return s.select("cluster", "a", "source", *numbers)
+
+
 def two_samples(t: Tables) -> DataFrame:
     return t.orders.filter("o_orderstatus IN ('F', 'O')")
 
@@ -390,17 +400,21 @@ def clean_seq(t):
     return t.documents.select("doc_id", F.md5(sequences.clean(upper)).alias("clean"))
 
 
-@query(BASES_SQL + """SELECT doc_id, CASE WHEN length(seq) > 10 THEN md5(substring(seq, 1, 4) || repeat('-', least(20, length(seq)) - 5) || substring(seq, least(20, length(seq)))) ELSE md5(seq) END AS masked FROM s""")
+@query(BASES_SQL + """, r AS (SELECT *, 5 + doc_id % 90 a, 5 + doc_id % 90 + doc_id * 7 % 400 b FROM s), n AS (SELECT *, greatest(least(b, length(seq)) - a, 0) n FROM r)
+SELECT doc_id, md5(CASE WHEN n > 0 THEN substring(seq, 1, a - 1) || repeat('-', n) || substring(seq, a + n) ELSE seq END) AS masked FROM n""")
 def mask_ranges(t):
-    masked = sequences.mask(F.col("seq"), F.lit(5), F.lit(20))
-    return bases(t).select("doc_id", F.md5(F.when(F.length("seq") > 10, masked).otherwise(F.col("seq"))).alias("masked"))
+    start = (5 + F.col("doc_id") % 90).cast("int")
+    masked = sequences.mask(F.col("seq"), start, (start + F.col("doc_id") * 7 % 400).cast("int"))
+    return bases(t).select("doc_id", F.md5(masked).alias("masked"))
 
 
-@query(BASES_SQL + """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substring(seq, 11, 30) ELSE
- regexp_replace(translate(reverse(substring(seq, 11, 30)), 'ACGT', 'TGCA'), '[^ACGT]', 'N', 'g') END AS gene FROM s""")
+@query(BASES_SQL + """, g AS (SELECT doc_id, substring(seq, doc_id % 50 + 1, length(seq) - doc_id % 7 - doc_id % 50) g FROM s WHERE length(seq) > 60)
+SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN g ELSE regexp_replace(translate(reverse(g), 'ACGT', 'TGCA'), '[^ACGT]', 'N', 'g') END) AS gene FROM s LEFT JOIN g USING (doc_id)""")
 def substr_gene(t):
     strand = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
-    return bases(t).select("doc_id", sequences.gene(F.col("seq"), F.lit(10), F.lit(39), strand).alias("gene"))
+    start, end = (F.col("doc_id") % 50).cast("int"), (F.length("seq") - F.col("doc_id") % 7 - 1).cast("int")
+    cut_out = sequences.gene(F.col("seq"), start, end, strand)
+    return bases(t).select("doc_id", F.md5(F.when(F.length("seq") > 60, cut_out)).alias("gene"))
 
 
 INTERVAL_SQL = """WITH p AS (SELECT doc_id gene, doc_id * 400 + 1 s, doc_id * 400 + 1 + n_chars % 399 e FROM documents),
@@ -496,13 +510,11 @@ def entity_rollup(t):
     return counts.patient_status(t.orders.withColumn("status", status), "o_custkey", "o_orderstatus", "status")
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey s, l_partkey i FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09),
-e AS (SELECT DISTINCT x.s a, y.s b FROM m x JOIN m y ON x.i = y.i AND x.s <> y.s),
+@query(DIST_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT a, b FROM d WHERE dist <= 1.19),
 r(node, comp) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node)
 SELECT node, min(comp) AS component FROM r GROUP BY 1""")
 def components(t):
-    m = t.lineitem.filter("l_quantity >= 50 AND l_discount >= 0.09").select("l_suppkey", "l_partkey").distinct()
-    return similarity.components(similarity.pair_counts(m, "l_suppkey", "l_partkey"), cut)
+    return similarity.components(distances.within(vector_pairs(t), 1.19), cut)
 
 
 @query()
@@ -554,11 +566,20 @@ def fuzzy_cut(t):
     return clustering.fuzzy_clusters(vectors(t), "label", "vec_id", "embedding", 4).select("label", "vec_id", "cluster", six(F.col("membership")).alias("membership"))
 
 
-@query()
+@query(PAIRS_SQL.format(op="<").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, id AS (SELECT s, row_number() OVER (ORDER BY s) k FROM n),
+nr AS (SELECT b s, list(a) near FROM q JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b
+ WHERE n_ab / least(n_a, n_b) >= 0.26 AND x.s_nationkey % 4 = y.s_nationkey % 4 GROUP BY 1),
+nb AS (SELECT k, s, coalesce(near, []) near FROM id LEFT JOIN nr USING (s)),
+sc(k, leaders) AS (SELECT 0::bigint, []::bigint[] UNION ALL
+ SELECT nb.k, CASE WHEN list_has_any(leaders, near) THEN leaders ELSE list_append(leaders, s) END FROM sc JOIN nb ON nb.k = sc.k + 1),
+ld AS (SELECT arg_max(leaders, k) leaders FROM sc)
+SELECT s AS id, coalesce(list_min(list_intersect(near, leaders)), s) AS leader FROM nb, ld""")
 def dedup_clusters(t):
+    """Clusters agree whose suppliers' nations leave the same remainder by 4."""
     scored = pairs(t, ordered=True).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(similarity.containment()).alias("score"))
-    rows = scored.select("a", "b", "score", F.lit(True).alias("agrees"))
-    return clustering.duplicate_clusters(rows, members(t).select(F.col("l_suppkey").alias("id")), cut, 0.2)
+    a, b = (t.supplier.select(F.col("s_suppkey").alias(k), (F.col("s_nationkey") % 4).alias(f"of_{k}")) for k in "ab")
+    rows = scored.join(a, "a").join(b, "b").select("a", "b", "score", (F.col("of_a") == F.col("of_b")).alias("agrees"))
+    return clustering.duplicate_clusters(rows, members(t).select(F.col("l_suppkey").alias("id")), cut, 0.26)
 
 
 @query("""WITH p AS (SELECT l_suppkey s, count(*) n, count(DISTINCT l_partkey) k FROM lineitem GROUP BY 1)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder_of(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where it is empty (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where it is empty on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lateralis-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -6,10 +6,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: StructType | str, row_names: str | None = None) -> DataFrame:
+    """Texts as in ``schema``. With ``row_names`` the rows have a name before the first column, which the header lacks."""
+    if row_names is not None:
+        rest = spark.createDataFrame([], schema).schema
+        schema = StructType([StructField(row_names, StringType()), *rest.fields])
     return spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
 
 
@@ -121,3 +125,24 @@ def write_newick(edges: list[tuple[int, int | None, float | None, str | None]])
             for e, _, length, label in below[parent]) + ")"
 
     return text(None) + ";" if below else ";"
+
+
+def newick_text(edges: DataFrame, closure: DataFrame) -> DataFrame:
+    """(newick): one row, the tree of ``edges`` (edge, parent_edge, length, label) as text, children in the order of edges.
+
+    Each node gives the texts where it opens and closes, placed by its way from the root; only the last step, the text of
+    the whole tree, is put together in one task. Edges are above 0; a missing label or length is left out; no edges, no row.
+    """
+    way = closure.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("x"), "anc"))).alias("way"))
+    way = way.select("edge", F.transform("way", lambda s: s["anc"].cast("long")).alias("way"))
+    children = edges.filter("parent_edge IS NOT NULL").groupBy(F.col("parent_edge").alias("edge")).agg(F.lit(True).alias("inner"))
+    firsts = edges.groupBy("parent_edge").agg(F.min("edge").alias("first"))
+    first = edges.join(firsts, edges["parent_edge"].eqNullSafe(firsts["parent_edge"])).select(
+        "edge", "length", "label", F.when(F.col("edge") == F.col("first"), "").otherwise(",").alias("comma"))
+    nodes = first.join(way, "edge").join(children, "edge", "left")
+    name = F.concat(F.coalesce("label", F.lit("")), F.coalesce(F.concat(F.lit(":"), F.col("length").cast("string")), F.lit("")))
+    opened = F.struct(F.col("way").alias("place"), F.concat("comma", F.when(F.col("inner"), "(").otherwise(name)).alias("text"))
+    closed = F.struct(F.concat("way", F.array(F.lit(2**63 - 1))).alias("place"), F.concat(F.lit(")"), name).alias("text"))
+    tokens = nodes.select(F.explode(F.when(F.col("inner"), F.array(opened, closed)).otherwise(F.array(opened))).alias("t"))
+    whole = tokens.agg(F.array_sort(F.collect_list("t")).alias("all")).filter(F.size("all") > 0)
+    return whole.select(F.concat(F.lit("("), F.array_join(F.transform("all", lambda t: t["text"]), ""), F.lit(");")).alias("newick"))
