@@ -290,22 +290,70 @@ def near_classes(
     bands: int = 25,
     rows: int = 5,
     small: int = 8,
+    proofs: bool = False,
 ) -> DataFrame:
-    """(d, row, class_id, class_size, kept): one row per document, staged.
+    """(d, row, class_id, class_size, kept): one row per document, staged; with ``proofs`` also via_id and similarity.
 
     The class of a text is its connected component under weighted Jaccard similarity of at least
     ``similarity`` of five-word runs; a text of fewer words is one run, a text without words (or null)
     is alone. ``class_id`` is the smallest key of the class, and exactly one row of the class is kept:
     one with that key. Null keys come last (``d`` is then 2**63 - 1). A pair at similarity 0.8 is missed
     by all bands with a probability of 0.00005.
+
+    The row with the smallest key of a text stands for it. Its ``via_id`` is the key that stands for the most similar of the
+    texts that it has a verified link to (the smallest key on ties), ``similarity`` the similarity to it; both are null without
+    a link. Other rows of the text point to the one that stands for it, with 1. ``near_links`` gives all links.
+    """
+    smaller_batches(docs.sparkSession, 250)
+    with scratch(docs.sparkSession):
+        return classes_of(keyed_texts(docs, key, text), similarity, bands, rows, small, proofs)
+
+
+def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, bands: int = 25, rows: int = 5, small: int = 8) -> DataFrame:
+    """(a, b, similarity): the verified links that span the classes of ``near_classes``, staged; a and b are the keys that stand
+    for two different texts. Not every similar pair of a large bucket is among them, but the classes are their components.
     """
     smaller_batches(docs.sparkSession, 250)
     with scratch(docs.sparkSession):
-        return classes_of(keyed_texts(docs, key, text), similarity, bands, rows, small)
+        _, nodes, links, _ = linked(keyed_texts(docs, key, text), similarity, bands, rows, small)
+        for end in "ab":
+            links = links.join(nodes.select(F.col("node").alias(end), F.col("rep.d").alias(f"key_{end}")), end)
+        pair = links.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "similarity")
+        return stage(pair, "near-links", keep=True)
 
 
-def classes_of(texts: DataFrame, similarity: float, bands: int, rows: int, small: int) -> DataFrame:
+def nearest_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, via_id, similarity): per node of ``links`` its most similar neighbour, the smallest key on ties."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    keys = nodes.select(F.col("node").alias("b"), F.bitwise_not("rep.d").alias("k"))  # orders like -d and cannot overflow
+    best = both.join(keys, "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("similarity", "k")).alias("m"))
+    return best.select("node", F.bitwise_not("m.k").alias("via_id"), "m.similarity")
+
+
+def classes_of(texts: DataFrame, similarity: float, bands: int, rows: int, small: int, proofs: bool = False) -> DataFrame:
     """``near_classes`` of (d, row, text)."""
+    found, nodes, links, comps = linked(texts, similarity, bands, rows, small)
+    counted = nodes.select("digest", "node", "rep", "copies").join(comps, "node", "left")
+    counted = counted.filter("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "node"))
+    if proofs:
+        counted = counted.join(nearest_links(links, nodes), "node", "left")
+    counted = stage(counted, "node-classes")
+    classes = stage(counted.groupBy("comp").agg(F.min(F.struct("rep.d", "rep.rid")).alias("best"), F.sum("copies").alias("class_size")), "classes")
+    extra = [F.col("rep.d").alias("rep_d"), F.col("rep.rid").alias("rep_rid"), "via_id", "similarity"] if proofs else []
+    by_digest = stage(counted.join(classes, "comp").select("digest", "best", "class_size", *extra), "digest-classes")
+    out = found.select("d", "row", "rid", "digest").join(by_digest, "digest", "left")
+    stands = F.col("rep_rid") == F.col("rid")
+    proof = [
+        F.when(stands, F.col("via_id")).otherwise(F.col("rep_d")).alias("via_id"),
+        F.when(stands, F.col("similarity")).when(F.col("rep_rid").isNotNull(), 1.0).alias("similarity")] if proofs else []
+    return stage(out.select(
+        "d", "row", F.coalesce("best.d", "d").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"), *proof,
+    ), "near-classes", keep=True)
+
+
+def linked(texts: DataFrame, similarity: float, bands: int, rows: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sketches, the nodes (one per text), the verified links between them and the links' components."""
     found = stage(sketches(texts, bands, rows).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     worded = found.filter("digest IS NOT NULL")
     nodes = worded.groupBy("digest").agg(
@@ -333,8 +381,7 @@ def classes_of(texts: DataFrame, similarity: float, bands: int, rows: int, small
 
     enough = F.col("similarity") >= similarity
     measured = verified(candidate_pairs(members, small).distinct())
-    links = measured.filter(enough)
-    comps = components(links)
+    comps = components(measured.filter(enough))
     large = large_buckets(members, comps, small)
     late = verified(later_pivots(large).join(measured, ["a", "b"], "left_anti"))
     measured = measured.unionByName(late)
@@ -343,18 +390,10 @@ def classes_of(texts: DataFrame, similarity: float, bands: int, rows: int, small
         large = large_buckets(members, comps, small)
     rest = stray_pairs(stage(large, "main-buckets"), sets, measured, similarity)
     late = verified(rest.join(measured, ["a", "b"], "left_anti"))
+    links = measured.unionByName(late).filter(enough)
     if not late.filter(enough).isEmpty():
-        comps = components(measured.unionByName(late).filter(enough))
-
-    counted = nodes.select("digest", "node", "rep", "copies").join(comps, "node", "left")
-    counted = stage(counted.filter("copies > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "node")), "node-classes")
-    classes = stage(counted.groupBy("comp").agg(F.min(F.struct("rep.d", "rep.rid")).alias("best"), F.sum("copies").alias("class_size")), "classes")
-    by_digest = stage(counted.join(classes, "comp").select("digest", "best", "class_size"), "digest-classes")
-    out = found.select("d", "row", "rid", "digest").join(by_digest, "digest", "left")
-    return stage(out.select(
-        "d", "row", F.coalesce("best.d", "d").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"),
-    ), "near-classes", keep=True)
+        comps = components(links)
+    return found, nodes, links, comps
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:

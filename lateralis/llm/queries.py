@@ -78,8 +78,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        F.col("d").alias("doc_id"), "class_id", "class_size", "kept")
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), proofs=True).select(
+        F.col("d").alias("doc_id"), "class_id", "class_size", "kept", "via_id", "similarity")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,6 +399,49 @@ def test_near_dedup_of_a_large_group(spark):
     assert len({r.class_id for r in got}) > 5
 
 
+@pytest.mark.parametrize("small", [8, 2])
+def test_near_links_prove_the_classes(spark, empty, small):
+    """Every link is exact, the classes are the components of the links and copies, and via_id is the best link of a text."""
+    base = prose(150, 61).split()
+    rows = [(i, " ".join([*base[:i % 9], f"edit{i}", *base[i % 9 + 1:100 + i]])) for i in range(30)]
+    rows += [(100 + i, re.sub("[a-z]", lambda m: m[0].upper(), rows[i][1])) for i in range(0, 30, 4)] + [(200, None), (201, prose(90, 62)), (201, prose(90, 62)), (202, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {d: weighted_set(t) for d, t in rows}
+
+    def jaccard(x, y):
+        return sum((text[x] & text[y]).values()) / sum((text[x] | text[y]).values())
+
+    links = [tuple(r) for r in near_dedup.near_links(df, small=small).collect()]
+    assert links and len({(a, b) for a, b, _ in links}) == len(links)
+    assert all(a < b < 100 and s >= 0.8 and s == pytest.approx(jaccard(a, b)) for a, b, s in links)
+    got = near_dedup.near_classes(df, small=small, proofs=True).collect()
+    head = {d: d for d, _ in rows}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a, b in [(a, b) for a, b, _ in links] + [(i, 100 + i) for i in range(0, 30, 4)]:
+        head[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(r.class_id == find(r.d) for r in got)
+    best = {}
+    for x, y, s in links + [(b, a, s) for a, b, s in links]:
+        best[x] = max(best.get(x, (0, 0)), (s, -y))
+    seen = set()
+    for r in sorted(got, key=lambda r: (r.d, r.similarity is not None)):
+        if 100 <= r.d < 200:
+            assert (r.via_id, r.similarity) == (r.d - 100, 1.0)
+        elif r.d == 201 and 201 in seen:
+            assert (r.via_id, r.similarity) == (201, 1.0)
+        elif r.d in best:
+            assert (r.similarity, -r.via_id) == best[r.d]
+        else:
+            assert r.via_id is None and r.similarity is None
+        seen.add(r.d)
+    assert near_dedup.near_links(empty).count() == 0 and near_dedup.near_classes(empty, proofs=True).count() == 0
+
+
 def test_bands_recall_pairs_of_the_least_similarity(spark):
     """At least 0.99 of the pairs at 0.8 and a little more share a band."""
     base = [prose(200, 300 + i).split() for i in range(60)]
