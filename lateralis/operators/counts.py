@@ -86,13 +86,18 @@ def best_match(overlaps: DataFrame, query: str, target: str, n: str = "n_ab") ->
     return overlaps.groupBy(query).agg(best).select(query, F.col("b.t").alias(target), (-F.col("b.m")).alias(n))
 
 
-def rescaled(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column to [0, 1] by its own minimum and maximum, and ``score``, their sum; constants become 0."""
+def rescaled(rows: DataFrame, columns: list[str], constant: float | None = None) -> DataFrame:
+    """Each column to [0, 1] by its own minimum and maximum, and ``score``, their sum; constants and nulls become 0.
+
+    With ``constant``, values of a constant column become that (NaN: 0 / 0, as SQL has it) and nulls stay null.
+    """
     ends = rows.agg(*[f(c).alias(f"__{n}_{c}__") for c in columns for n, f in (("low", F.min), ("high", F.max))])
     out = rows.crossJoin(F.broadcast(ends))  # one row of minima and maxima
     for c in columns:
         low, high = F.col(f"__low_{c}__"), F.col(f"__high_{c}__")
-        out = out.withColumn(f"{c}_scaled", F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.0)))
+        share = F.try_divide(F.col(c) - low, high - low)
+        fixed = F.when(F.col(c).isNotNull() & (low == high), F.lit(constant)).otherwise(share)
+        out = out.withColumn(f"{c}_scaled", F.coalesce(share, F.lit(0.0)) if constant is None else fixed)
     total = sum((F.col(f"{c}_scaled") for c in columns), F.lit(0.0))
     return out.withColumn("score", total).drop(*[f"__{n}_{c}__" for c in columns for n in ("low", "high")])
 
