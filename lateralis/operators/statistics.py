@@ -228,14 +228,27 @@ def binomial_steps(n: Column, p: Column) -> Column:
     return F.when(p <= 0, F.concat(one, none)).when(p >= 1, F.concat(none, one)).otherwise(usual)
 
 
+def binomial_tail(n: Column, p: Column, observed: Column) -> Column:
+    """The chance of more than ``observed`` hits in n draws, summed up in one pass without keeping the chances."""
+    odds = F.ln(p) - F.ln(1 - p)
+
+    def step(made: Column, k: Column) -> Column:
+        log = made["log"] + F.ln((n - k + 1) / k) + odds
+        return F.struct(log.alias("log"), (made["sum"] + F.when(k > observed, F.exp(log)).otherwise(0.0)).alias("sum"))
+
+    none = F.when(observed < 0, 1.0).otherwise(0.0)
+    start = n * F.ln(1 - p)
+    first = F.struct(start.alias("log"), F.when(observed < 0, F.exp(start)).otherwise(0.0).alias("sum"))
+    usual = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n.cast("int")), first, step)["sum"]).otherwise(none)
+    return F.least(F.when(p <= 0, none).when(p >= 1, F.when(n > observed, 1.0).otherwise(0.0)).otherwise(usual), F.lit(1.0))
+
+
 def exact_permutations(chances: DataFrame) -> DataFrame:
     """(cluster, class, observed, p): the chance of strictly more hits than observed, which ``weighted_permutations`` estimates.
 
     The hits of a permutation are a sum of independent draws, so their number is binomial: no row per draw or permutation.
     """
-    steps = binomial_steps(F.col("n_events"), F.col("chance"))
-    tail = F.aggregate(F.slice(steps, (F.least("observed", "n_events") + 2).cast("int"), F.greatest(F.col("n_events"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, b: a + b)
-    return chances.select("cluster", "class", "observed", F.least(tail, F.lit(1.0)).alias("p"))
+    return chances.select("cluster", "class", "observed", binomial_tail(F.col("n_events"), F.col("chance"), F.col("observed")).alias("p"))
 
 
 def strength(p: Column, permutations: int) -> Column:
