@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,105 @@ def euclidean(a: str, b: str) -> Column:
     return F.sqrt(F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> (cast(x as double) - y) * (cast(x as double) - y)), 0D, (s, v) -> s + v)"))
 
 
+def rounded_distances(x: np.ndarray, y: np.ndarray, digits: int) -> np.ndarray:
+    """Euclidean distances of the rows of x and y, rounded. By one product of matrices; where its error could change the last
+    digit, the squares are added up one after the other, as ``euclidean`` does."""
+    scale = 10.0**digits
+    sizes = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    d = np.sqrt(np.maximum(sizes - 2 * (x @ y.T), 0.0))
+    error = sizes * (x.shape[1] * 1e-15 * scale) / np.maximum(d, 1e-9) + 1e-6
+    d *= scale
+    open_ = np.flatnonzero(np.abs(d - np.floor(d) - 0.5) <= error)
+    for part in np.array_split(open_, len(open_) // 100_000 + 1):
+        i, j = np.unravel_index(part, d.shape)
+        d[i, j] = np.sqrt(np.cumsum((x[i] - y[j]) ** 2, axis=1)[:, -1]) * scale
+    return np.floor(d + 0.5) / scale
+
+
+def in_blocks(vectors: DataFrame, fold: Callable, schema: str, digits: int = 6, size: int = 2048) -> DataFrame:
+    """Rows of ``fold(a, b, d)`` for each pair of blocks of vectors (label, id, vector) of one label, with ``label``.
+
+    ``a`` and ``b``: ids of some ``size`` vectors each; ``d``: their rounded distances, NaN between equal ids. All ordered pairs
+    occur in one block. A task holds one pair of blocks, however many vectors a label has; vectors have one length.
+    """
+    parts = vectors.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    v = vectors.join(parts, "label").withColumn("block", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    v = v.select("label", "id", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = np.stack(pdf["vector"].to_numpy()).astype(float), pdf["id"].to_numpy()
+        left, right = (pdf["block"] == key[1]).to_numpy(), (pdf["block"] == key[2]).to_numpy()
+        d = rounded_distances(x[left], x[right], digits)
+        if key[1] == key[2]:
+            d[ids[:, None] == ids[None, :]] = np.nan
+            made = fold(ids, ids, d)
+        else:
+            made = pd.concat([fold(ids[left], ids[right], d), fold(ids[right], ids[left], d.T)])
+        made.insert(0, "label", key[0])
+        return made
+
+    return v.groupBy("label", "low", "high").applyInPandas(one, f"label {dict(vectors.dtypes)['label']}, {schema}")
+
+
+def block_pairs(vectors: DataFrame, digits: int = 6, most: float = np.inf) -> DataFrame:
+    """(label, a, b, dist): ordered pairs of one label, or those within ``most``."""
+
+    def rows(a, b, d):
+        i, j = np.nonzero(d <= most)
+        return pd.DataFrame({"a": a[i], "b": b[j], "dist": d[i, j]})
+
+    kind = dict(vectors.dtypes)["id"]
+    return in_blocks(vectors, rows, f"a {kind}, b {kind}, dist double", digits)
+
+
+def block_nearest(vectors: DataFrame) -> DataFrame:
+    """(label, a, b, dist): rows at each a's smallest distance within its label, ties kept."""
+
+    def rows(a, b, d):
+        d = np.where(np.isnan(d), np.inf, d)
+        i, j = np.nonzero((d == d.min(axis=1, keepdims=True)) & np.isfinite(d))
+        return pd.DataFrame({"a": a[i], "b": b[j], "dist": d[i, j]})
+
+    kind = dict(vectors.dtypes)["id"]
+    return nearest(in_blocks(vectors, rows, f"a {kind}, b {kind}, dist double"))
+
+
+def block_medoids(vectors: DataFrame) -> DataFrame:
+    """(grp, medoid, total): per label the vector with the smallest sum of distances within it, smallest id on ties."""
+
+    def rows(a, b, d):
+        met = ~np.isnan(d)
+        return pd.DataFrame({"a": a, "total": np.where(met, d, 0.0).sum(axis=1)})[met.any(axis=1)]
+
+    sums = in_blocks(vectors, rows, f"a {dict(vectors.dtypes)['id']}, total double")
+    total = sums.groupBy("label", "a").agg(F.round(F.sum("total"), 6).alias("total"))
+    best = total.groupBy(F.col("label").alias("grp")).agg(F.min(F.struct("total", "a")).alias("b"))
+    return best.select("grp", F.col("b.a").alias("medoid"), F.col("b.total").alias("total"))
+
+
+def block_moments(vectors: DataFrame, classes: int) -> DataFrame:
+    """(same, n, mean, sd): distances of ordered pairs of one label whose ids leave the same remainder by ``classes``, and of the others."""
+
+    def rows(a, b, d):
+        met = ~np.isnan(d)
+        if not met.any():
+            return pd.DataFrame({"same": [], "n": [], "s1": [], "s2": []}).astype({"same": bool, "n": "int64"})
+        centre = float(d[met].mean())
+        off = np.where(met, d - centre, 0.0)
+
+        def sums(i, j):
+            x = off[np.ix_(i, j)]
+            return np.array([met[np.ix_(i, j)].sum(), x.sum(), (x * x).sum()])
+
+        own = sum(sums(np.flatnonzero(a % classes == k), np.flatnonzero(b % classes == k)) for k in range(classes))
+        found = [(s, int(n), x + n * centre, xx + 2 * centre * x + n * centre * centre) for s, (n, x, xx) in ((True, own), (False, np.array([met.sum(), off.sum(), (off * off).sum()]) - own)) if n]
+        return pd.DataFrame(found, columns=["same", "n", "s1", "s2"])
+
+    m = in_blocks(vectors, rows, "same boolean, n long, s1 double, s2 double").groupBy("same").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    n, mean = F.col("n"), F.col("s1") / F.col("n")
+    return m.select("same", "n", mean.alias("mean"), F.sqrt(F.try_divide(F.greatest(F.col("s2") - n * mean * mean, F.lit(0.0)), n - 1)).alias("sd"))
+
+
 def nearest(dist: DataFrame, a: str = "a", d: str = "dist") -> DataFrame:
     """Rows at each a's smallest distance, ties kept."""
     return dist.withColumn("__r__", F.rank().over(W.partitionBy(a).orderBy(d))).filter("__r__ = 1").drop("__r__")
