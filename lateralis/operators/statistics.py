@@ -316,4 +316,4 @@ def label_permutations(items: DataFrame, permutations: int, seed: int = 144, per
     place = numbered(items.select("id"), [], at, ["id"], "k").select("id", "k")
     perms = items.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("u", uniform(F.lit(seed), F.col("perm"), F.col("id")))
     drawn = numbered(perms, ["perm"], F.floor(F.col("u") * parts), ["u", "id"], "k").select("perm", "k", "label")
-    return drawn.join(place, "k").select("perm", "id", "label")
+    return drawn.hint("merge").join(place.hint("merge"), "k").select("perm", "id", "label")  # no table of all ids goes to the driver
