@@ -31,6 +31,8 @@ from lateralis.llm import bloom
 from lateralis.llm.shared import named, scratch, smaller_batches, stage
 from lateralis.llm.wordhash import LOWER, PLACE, blocks, buffers, mix, shingles, words_of
 
+#: Units that a task counts at once.
+UNITS_PER_PART = 1_000_000
 SKETCH_TYPE = "d long, row long, digest binary, bands array<long>"
 LAST = (1 << 63) - 1
 COPY, SLOT, DART = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -207,11 +209,13 @@ def with_pivots(members: DataFrame) -> DataFrame:
 
 
 def large_buckets(members: DataFrame, comps: DataFrame, small: int) -> DataFrame:
-    """(bucket, node, mass, comp, main) of the large buckets; main is the component of the most central member."""
+    """(bucket, node, mass, comp, main, pivot, open) of the large buckets: pivot is the most central member, main its component,
+    open whether the bucket has members of other components."""
     large = members.filter(F.col("n") > small).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     large = stage(large.select("bucket", "node", "mass", "comp"), "large-buckets")
     best = F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp"))
-    return large.join(large.groupBy("bucket").agg(best["comp"].alias("main")), "bucket")
+    each = large.groupBy("bucket").agg(best.alias("best"), (F.min("comp") < F.max("comp")).alias("open"))
+    return large.join(each.select("bucket", F.col("best.comp").alias("main"), (-F.col("best.x")).alias("pivot"), "open"), "bucket")
 
 
 def later_pivots(large: DataFrame) -> DataFrame:
@@ -219,24 +223,43 @@ def later_pivots(large: DataFrame) -> DataFrame:
     best = F.max(F.struct("mass", (-F.col("node")).alias("x"), "comp")).alias("best")
     pivots = large.filter("comp <> main").groupBy("bucket").agg(best).select(
         "bucket", (-F.col("best.x")).alias("pivot"), F.col("best.comp").alias("pivot_comp"))
-    return large.join(pivots, "bucket").filter("comp <> pivot_comp").select(
+    return large.drop("pivot").join(pivots, "bucket").filter("comp <> pivot_comp").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def single_units(sets: DataFrame) -> DataFrame:
-    """(node, size, lone): how many units each node has, and how many of them no other node of ``sets`` has."""
+def single_units(sets: DataFrame, per_part: int = UNITS_PER_PART) -> DataFrame:
+    """(node, size, lone): how many units each node has, and how many of them no other node of ``sets`` has.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sends the distinct units of its texts, packed by a hash of the unit into parts of about ``per_part`` units, each with
+    its node, or -1 if several have it. So there are no rows per unit, and a unit of all texts counts once per batch of texts.
+    """
+    size = (F.octet_length("units") / 8).cast("long")
+    parts = (sets.agg(F.sum(size)).first()[0] or 0) // per_part + 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, packed in zip(*batch.to_pydict().values(), strict=True):
-                unit = np.frombuffer(packed, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), node)), pa.array(unit)], ["node", "unit"])
+            packed = [x.as_py() for x in batch.column(1)]
+            unit = np.frombuffer(b"".join(packed), np.uint64)
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in packed])
+            unit, first, n = np.unique(unit, return_index=True, return_counts=True)
+            owner = np.where(n == 1, node[first], -1)
+            part = (unit % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+            yield pa.RecordBatch.from_arrays([
+                pa.array([int(part[x[0]]) for x in at], pa.int64()), pa.array([unit[x].tobytes() for x in at], pa.binary()),
+                pa.array([owner[x].tobytes() for x in at], pa.binary())], ["part", "units", "owners"])
+
+    def alone(table: pa.Table) -> pa.Table:
+        unit, owner = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("units", np.uint64), ("owners", np.int64)))
+        _, first, n = np.unique(unit, return_index=True, return_counts=True)
+        own = owner[first[n == 1]]
+        node, lone = np.unique(own[own >= 0], return_counts=True)
+        return pa.table({"node": pa.array(node, pa.int64()), "lone": pa.array(lone, pa.int64())})
 
-    rows = sets.mapInArrow(spread, "node long, unit long")
-    once = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
-    lone = once.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-    size = (F.octet_length("units") / 8).cast("long").alias("size")
-    return sets.select("node", size).join(lone, "node", "left").select("node", "size", F.coalesce("lone", F.lit(0)).alias("lone"))
+    packed = sets.select("node", "units").mapInArrow(pack, "part long, units binary, owners binary")
+    lone = packed.groupBy("part").applyInArrow(alone, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+    return sets.select("node", size.alias("size")).join(lone, "node", "left").select("node", "size", F.coalesce("lone", F.lit(0)).alias("lone"))
 
 
 def able_members(held: DataFrame, sets: DataFrame, similarity: float, label: str) -> DataFrame:
@@ -248,11 +271,11 @@ def able_members(held: DataFrame, sets: DataFrame, similarity: float, label: str
     """
     counted = stage(single_units(sets.join(held.select("node"), "node", "left_semi").select("node", "units")), f"lone-units-{label}")
     counted = counted.select("node", "size", (F.col("size") - F.col("lone")).alias("shared"))
-    sized = held.select("bucket", "node", "comp", "main", "central").join(counted, "node")
+    sized = stage(held.select("bucket", "node", "comp", "main", "central").join(counted, "node"), f"sized-{label}")
+    able = F.col("shared") * (1 + 1 / similarity) >= F.col("size") + F.col("least") - 1e-6
     least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
-    able = sized.join(least, "bucket").filter(F.col("shared") * (1 + 1 / similarity) >= F.col("size") + F.col("least") - 1e-6)
-    able = stage(able.drop("least"), f"able-{label}")
-    return able.join(able.filter("comp <> main").select("bucket"), "bucket", "left_semi")
+    strayed = sized.filter("comp <> main").join(least, "bucket").filter(able).select("bucket", "least").distinct()
+    return stage(sized.join(strayed, "bucket").filter(able).drop("least"), f"able-{label}")
 
 
 def stray_pairs(large: DataFrame, sets: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
@@ -263,10 +286,7 @@ def stray_pairs(large: DataFrame, sets: DataFrame, measured: DataFrame, similari
     bucket have been measured against its most central one. One minus the similarity is a distance, so
     by the triangle inequality two that differ by more than 1 - ``similarity`` there cannot be similar.
     """
-    best = F.max(F.struct("mass", (-F.col("node")).alias("x"))).alias("best")
-    pivots = large.groupBy("bucket").agg(best).select("bucket", (-F.col("best.x")).alias("pivot"))
-    held = large.join(large.filter("comp <> main").select("bucket").distinct(), "bucket", "left_semi")
-    held = held.join(pivots, "bucket").select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    held = large.filter("open").select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     held = held.join(measured, ["a", "b"], "left").withColumn("central", F.coalesce("similarity", F.lit(1.0)))
     held = stage(held.select("bucket", "node", "comp", "main", "central"), "open-members")
     for label in ("first", "second"):
