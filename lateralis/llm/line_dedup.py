@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lateralis.llm import bloom
-from lateralis.llm.shared import named, scratch, smaller_batches, stage
+from lateralis.llm.shared import named, release, scratch, smaller_batches, stage
 from lateralis.llm.wordhash import BASE, LOWER, PLACE, blocks, buffers, mix, powers, runs, words_of
 
 SECOND = np.uint64(0x9E6C63D0876A9A47)
@@ -60,6 +60,18 @@ def document_key(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with ``__d__``, the key with nulls last, and ``__row__``, which tells the documents of one key apart: 0 where a filter
+    says that no other row has the key, so that most rows of keys and variants are shuffled without it."""
+    d = F.coalesce(named(key).cast("long"), F.lit(LAST))
+    many = stage(docs.select(d.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d"), "repeated-keys")
+    bits = bloom.bits_for(many.count())
+    words = stage(bloom.build(many, "d", bits), "repeated-filter")
+    tested = bloom.tested(docs.withColumn("__d__", d), F.col("__d__"), words, bits, "__many__")
+    row = F.when(F.col("__many__"), document_key(named(key), F.coalesce(named(text), F.lit("")))).otherwise(F.lit(0))
+    return tested.withColumn("__row__", row.cast("long")).select("__d__", "__row__", *[named(c) for c in docs.columns])
+
+
 class Sums:
     """Hashes of any runs of a word sequence in constant time each."""
 
@@ -106,45 +118,44 @@ def of_lines(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     return h[first[line] + np.arange(len(line)) - (np.cumsum(n) - n)[line]], line
 
 
-#: Words that two lines have unchanged in one run at least, and of how many words the runs are that are hashed.
-RUNS = {1: 1, 2: 2, 3: 3, 5: 4, 8: 4, 12: 5}
+#: Of how many words the hashed runs are, by the words that two lines have unchanged in one run at least.
+RUNS = {1: 1, 2: 2, 3: 3, 5: 4, 12: 5}
 
 
 def run_lengths(most: int, per_edit: int) -> np.ndarray:
-    """By the length of the shorter line, the number of RUNS to go by: of m words and k edits (m - k) / (k + 1) stand
-    together, or more; never more than longer lines have."""
+    """By the length of the shorter line, the words that are unchanged in one run: of m words and k edits (m - k) / (k + 1)
+    stand together, or more; never more than longer lines have."""
     m = np.arange(most + 2 * per_edit + 2)
     k = 1 + m // per_edit
-    together = np.minimum.accumulate((-(k - m) // (k + 1) + ((m - k) % (k + 1) > 0))[::-1])[::-1]
-    steps = np.array([0, *RUNS])
-    return steps[np.searchsorted(steps, together, side="right") - 1][:most + 1]
+    return np.minimum.accumulate((-(k - m) // (k + 1) + ((m - k) % (k + 1) > 0))[::-1])[::-1][:most + 1]
 
 
 def run_keys(h: np.ndarray, first: np.ndarray, last: np.ndarray, per_edit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and the line of each: of all runs of a few words that start in a window, the one of the least hash. Lines that
-    have a window's words in common have its key in common. A line goes by its own length and that of a shorter partner."""
+    """Keys, and the line of each: of all runs of a few words that start in a window, the one of the least hash. Lines that have a
+    window's words in common have its key in common. The least of a window is the least of the smaller windows around it,
+    so of all windows that partners of a line ask for, the smallest of each length of runs gives the keys of the others too."""
     n = last - first
     table = run_lengths(int(n.max(initial=0)), per_edit)
     own = table[n]
     shortest = table[np.maximum((n - 2) * per_edit // (per_edit + 1) - 1, 0)]
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for length, size in RUNS.items():
-        at = np.flatnonzero((own == length) | ((shortest <= length) & (length < own)))
-        if not len(at):
+    for (least, size), beyond in zip(RUNS.items(), [*list(RUNS)[1:], LAST], strict=True):
+        asked = np.where((own >= least) & (shortest < beyond), np.maximum(shortest, least) - size + 1, 0)
+        if not asked.any():
             continue
         value = np.zeros(len(h) - size + 1, dtype=np.uint64)
         for j in range(size):
             value += h[j:len(value) + j] * PLACE[j]
-        value, wide = mix(value + np.uint64(length)), 1
-        while wide < length - size + 1:  # least of a window, from those of half its width
-            step = min(wide, length - size + 1 - wide)
-            value, wide = np.minimum(value[:-step], value[step:]), wide + step
-        each = n[at] - length + 1
-        line = np.repeat(np.arange(len(at)), each)
-        key = value[first[at][line] + np.arange(len(line)) - (np.cumsum(each) - each)[line]]
-        new = starts_of(key, line)
-        keys.append(key[new])
-        owners.append(at[line[new]])
+        value = low = mix(value + np.uint64(size))
+        for width in range(1, int(asked.max()) + 1):  # ``low``: the least of so many runs
+            low = np.minimum(low[:-1], value[width - 1:]) if width > 1 else value
+            at = np.flatnonzero(asked == width)
+            each = n[at] - (width + size - 2)
+            line = np.repeat(np.arange(len(at)), each)
+            key = low[first[at][line] + np.arange(len(line)) - (np.cumsum(each) - each)[line]]
+            new = starts_of(key, line)
+            keys.append(key[new])
+            owners.append(at[line[new]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -417,8 +428,9 @@ BITS = ("b0", "b1", "b2", "b3")
 def documents_with(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """(d, row, text, asked) of the documents of ``asked`` (d, row, asked), staged. Only rows that a filter cannot clear are shuffled."""
     bits = bloom.bits_for(asked.count())
-    rows = stage(bloom.build(asked, "row", bits), "document-filter")
-    found = bloom.tested(texts, F.col("row"), rows, bits, "maybe").filter("maybe").drop("maybe")
+    document = F.xxhash64("d", "row")
+    rows = stage(bloom.build(asked.select(document.alias("document")), "document", bits), "document-filter")
+    found = bloom.tested(texts, document, rows, bits, "maybe").filter("maybe").drop("maybe")
     return stage(found.join(asked, ["d", "row"]).dropDuplicates(["d", "row"]), "near-documents")
 
 
@@ -428,6 +440,7 @@ def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame
     each = lines.select(*AT, "n", *BITS, F.explode(F.array_distinct("keys")).alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     each = stage(each.join(shared, "key"), "run-keys")
+    release(lines.sparkSession)
 
     def partner(rows: DataFrame) -> DataFrame:
         return rows.select("key", *[F.col(c).alias(f"p_{c}") for c in (*AT, "n", *BITS)])
@@ -445,7 +458,9 @@ def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame
         other = lines.select(*[F.col(c).alias(f"p_{c}") for c in AT], F.col("words").alias("p_words"))
         met = pairs.join(own, list(AT)).join(other, [f"p_{c}" for c in AT])
         found = met.filter(verified(F.col("words"), F.col("p_words"), F.col("bound"))).select(*AT)
-        return stage(near.unionByName(found).distinct(), "near-so-far")
+        near = stage(near.unionByName(found).distinct(), "near-so-far")
+        release(lines.sparkSession)
+        return near
 
     first = each.groupBy("key").agg(F.min(F.struct(*AT, "n", *BITS)).alias("p")).select("key", "p.*")
     near = settled(stage(alike(each.join(partner(first), "key")), "first-pairs"), near)
@@ -455,16 +470,14 @@ def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame
 
 
 def line_drops(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 8, per_edit: int | None = None
+    docs: DataFrame, text: str = "text", min_words: int = 5, near_words: int = 8, per_edit: int | None = None
 ) -> DataFrame:
-    """(d, row, drop): per document the numbers of the lines that go, staged; see ``line_dedup``."""
+    """(d, row, drop): per document of ``keyed`` the numbers of the lines that go, staged; see ``line_dedup``."""
     smaller_batches(docs.sparkSession)
-    whole = F.coalesce(named(text), F.lit(""))
-    texts = docs.select(
-        F.coalesce(named(key).cast("long"), F.lit(LAST)).alias("d"),  # null keys come last
-        document_key(named(key), whole).alias("row"), whole.alias("text"))
+    texts = docs.select(F.col("__d__").alias("d"), F.col("__row__").alias("row"), F.coalesce(named(text), F.lit("")).alias("text"))
     with scratch(docs.sparkSession):
         found = stage(shared_keys(keys(texts, min_words, near_words, per_edit)), "line-keys")
+        release(docs.sparkSession)
 
         def lines(kind: int) -> Column:
             return F.collect_set(F.when(F.col("kind") == DONE + kind, F.col("line")))
@@ -472,8 +485,10 @@ def line_drops(
         told = stage(found.groupBy("d", "row").agg(
             lines(WHOLE).alias("drop"), F.array_except(lines(HALF), lines(WHOLE)).alias("halves"),
             F.array_except(lines(RUN), lines(WHOLE)).alias("runs")), "told-lines")
+        release(docs.sparkSession)
         asked = documents_with(texts, told.filter("size(halves) > 0 OR size(runs) > 0").select("d", "row", "halves", "runs"))
         near = stage(one_edit(variants(asked.filter("size(halves) > 0").select("d", "row", "text", "halves"))).distinct(), "near-lines")
+        release(docs.sparkSession)
         if per_edit:
             long = run_lines(asked.filter("size(runs) > 0").select("d", "row", "text", "runs"), per_edit)
             near = several_edits(stage(long, "run-lines"), near, per_edit)
@@ -517,17 +532,17 @@ def line_dedup(
     the others all lines of ``min_words`` words. Null texts are empty; an empty table stays empty.
     Documents in which nothing changes are not shuffled.
     """
-    drops = line_drops(docs, key, text, min_words, near_words, per_edit)
+    rows = keyed(docs, key, text)
+    drops = line_drops(rows, text, min_words, near_words, per_edit)
     whole = F.coalesce(named(text), F.lit(""))
-    keyed = docs.withColumns({
-        "__d__": F.coalesce(named(key).cast("long"), F.lit(LAST)), "__row__": document_key(named(key), whole)})
-    copies = keyed.groupBy("__d__", "__row__").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d__", "__row__")
+    copies = rows.groupBy("__d__", "__row__").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d__", "__row__")
     copies = stage(copies.withColumn("__copies__", F.lit(True)), "repeated-rows")
     side = drops.select(F.col("d").alias("__d__"), F.col("row").alias("__row__"), F.col("drop").alias("__drop__"))
     side = stage(side.join(copies, ["__d__", "__row__"], "full"), "changed-rows")
     bits = bloom.bits_for(side.count())
-    words = stage(bloom.build(side, "__row__", bits), "drop-filter")
-    tested = bloom.tested(keyed, F.col("__row__"), words, bits, "__maybe__")
+    document = F.xxhash64("__d__", "__row__")
+    words = stage(bloom.build(side.select(document.alias("document")), "document", bits), "drop-filter")
+    tested = bloom.tested(rows, document, words, bits, "__maybe__")
     left = tested.filter("NOT __maybe__").withColumn(
         "deduped", F.struct(whole.alias("text"), F.size(F.split(whole, "\n", -1)).cast("long").alias("n_lines"),
                             F.lit(0).cast("long").alias("n_dropped")))

@@ -70,6 +70,11 @@ def discard(staged: DataFrame) -> None:
         _delete(staged.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are staged: it does when the driver collects what nothing refers to."""
+    spark._jvm.System.gc()
+
+
 def named(column: str) -> Column:
     """A column by its literal name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
