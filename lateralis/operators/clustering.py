@@ -8,19 +8,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def leaders(vectors: np.ndarray, close: float) -> list[int]:
-    """The leader of each row, in order: the nearest earlier leader within ``close``, or itself."""
+def nearest(vectors: np.ndarray, rows: np.ndarray, heads: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The first nearest of ``heads`` to each of ``rows``, and its squared distance. Found by products of matrices; heads that their
+    error leaves open are measured again, difference by difference."""
+    sizes = (vectors**2).sum(axis=1)
+    head, least = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), np.inf)
+    for h in range(0, len(heads), 4096):
+        some = heads[h:h + 4096]
+        for r in range(0, len(rows), block):
+            mine = rows[r:r + block]
+            both = sizes[mine][:, None] + sizes[some][None, :]
+            d = both - 2 * (vectors[mine] @ vectors[some].T)
+            error = both * (1e-14 * (vectors.shape[1] + 4))
+            i, j = np.nonzero(d - error <= (d + error).min(axis=1, keepdims=True))
+            exact = ((vectors[some[j]] - vectors[mine[i]]) ** 2).sum(axis=1)
+            order = np.lexsort((j, exact, i))
+            first = order[np.unique(i[order], return_index=True)[1]]
+            i, j, exact = i[first], j[first], exact[first]
+            better = exact < least[r + i]
+            head[r + i[better]], least[r + i[better]] = some[j[better]], exact[better]
+    return head, least
+
+
+def leaders(vectors: np.ndarray, close: float, block: int = 256) -> list[int]:
+    """The leader of each row, in order: the nearest earlier leader within ``close``, or itself. A block of rows meets all leaders
+    before it at once, and then those of its own one by one."""
     found: list[int] = []
-    out = []
-    for i, v in enumerate(vectors):
-        d = np.sqrt(((vectors[found] - v) ** 2).sum(axis=1)) if found else np.zeros(0)
-        k = int(np.argmin(d)) if len(d) else -1
-        if k >= 0 and d[k] <= close:
-            out.append(found[k])
-        else:
-            found.append(i)
-            out.append(i)
-    return out
+    out = np.arange(len(vectors))
+    for start in range(0, len(vectors), block):
+        rows = np.arange(start, min(start + block, len(vectors)))
+        head, least = nearest(vectors, rows, np.array(found, dtype=np.int64))
+        own: list[int] = []
+        for i in rows:
+            if own:
+                d = ((vectors[own] - vectors[i]) ** 2).sum(axis=1)
+                k = int(np.argmin(d))
+                if d[k] < least[i - start]:
+                    head[i - start], least[i - start] = own[k], d[k]
+            if np.sqrt(least[i - start]) <= close:
+                out[i] = head[i - start]
+            else:
+                own.append(i)
+        found += own
+    return out.tolist()
 
 
 def leader_clusters(rows: DataFrame, group: str, key: str, vector: str, close: float, reassign: bool = True) -> DataFrame:
@@ -31,8 +61,7 @@ def leader_clusters(rows: DataFrame, group: str, key: str, vector: str, close: f
         x = np.stack(pdf[vector].to_numpy()).astype(float)
         lead = leaders(x, close)
         if reassign:
-            heads = sorted(set(lead))
-            lead = [heads[int(np.argmin(((x[heads] - v) ** 2).sum(axis=1)))] for v in x]
+            lead = nearest(x, np.arange(len(x)), np.unique(lead))[0]
         keys = pdf[key].to_numpy()
         return pd.DataFrame({group: pdf[group].to_numpy(), key: keys, "leader": keys[lead]})
 
