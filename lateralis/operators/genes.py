@@ -5,8 +5,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from lateralis.functions import sequences
 
@@ -84,12 +87,21 @@ def aligned_distance(a: Column, b: Column) -> tuple[Column, Column]:
 
     The shorter text is taken as ending in gaps; ``shared`` is null without a place to compare.
     """
-    n = F.greatest(F.length(a), F.length(b))
-    x, y = F.split(F.rpad(a, n, "-"), ""), F.split(F.rpad(b, n, "-"), "")
-    both = F.zip_with(x, y, lambda p, q: F.when((p != "-") & (q != "-") & (p != ""), (p != q).cast("int")))
-    raw = F.size(F.filter(F.zip_with(x, y, lambda p, q: p != q), lambda v: v)).cast("long")
-    seen = F.array_compact(both)
-    return raw, F.try_divide(F.size(F.filter(seen, lambda v: v == 1)), F.size(seen))
+    def compare(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, gap = [], ord("-")
+        for s, t in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            if s is None or t is None:
+                out.append(None)
+                continue
+            n = max(len(s), len(t))
+            x, y = (np.frombuffer(v.ljust(n, "-").encode("utf-32-le"), np.uint32) for v in (s, t))
+            differ, seen = x != y, (x != gap) & (y != gap)
+            places = int(seen.sum())
+            out.append((int(differ.sum()), int((differ & seen).sum()) / places if places else None))
+        return pa.array([None if v is None else {"raw": v[0], "shared": v[1]} for v in out], pa.struct([("raw", pa.int64()), ("shared", pa.float64())]))
+
+    found = arrow_udf(compare, "struct<raw:long,shared:double>")(a, b)
+    return found["raw"], found["shared"]
 
 
 def one_copy(alignment: DataFrame) -> DataFrame:
