@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lateralis.llm import bloom
-from lateralis.llm.shared import named, release, scratch, smaller_batches, stage
+from lateralis.llm.shared import discard, named, release, scratch, smaller_batches, stage
 from lateralis.llm.wordhash import BASE, LOWER, PLACE, blocks, buffers, mix, powers, runs, words_of
 
 SECOND = np.uint64(0x9E6C63D0876A9A47)
 #: Rows of keys that a task combines at once.
 COMBINED_ROWS = 400_000
+#: Rows of sorted keys that are read at once.
+READ_ROWS = 50_000
 KEY_TYPE = "key long, kind int, other long, d long, row long, line int"
 VARIANT_TYPE = "key long, other long, place int, d long, row long, line int"
 RUN_TYPE = (
@@ -230,13 +232,36 @@ def as_batch(rows: Rows, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
 
 
+def order_of(rows: Rows) -> np.ndarray:
+    """The order of the rows by all their columns; most differ in the first, only the others are compared further."""
+    at = np.argsort(rows[0])
+    tied = ~starts_of(rows[0][at])
+    tied[:-1] |= tied[1:]
+    among = at[tied]
+    at[tied] = among[np.lexsort([c[among] for c in rows[::-1]])]
+    return at
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    """The columns of the batches, of at least ``READ_ROWS`` rows but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= READ_ROWS:
+            yield columns_of(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield columns_of(pa.Table.from_batches(held))
+
+
 def combined(parts: Iterator[Rows], meet: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
     """What a task sends: per ``COMBINED_ROWS`` rows, what is settled there and the earliest of the rest."""
     held, size = [], 0
 
     def send() -> Iterator[pa.RecordBatch]:
         rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-        at = np.lexsort(rows[::-1])
+        at = order_of(rows)
         for out in meet([c[at] for c in rows])[:2]:
             yield as_batch(out, names)
 
@@ -250,8 +275,8 @@ def combined(parts: Iterator[Rows], meet: Callable, names: list[str]) -> Iterato
         yield from send()
 
 
-def columns_of(batch: pa.RecordBatch) -> Rows:
-    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+def columns_of(table: pa.Table) -> Rows:
+    return [c.to_numpy() for c in table.columns]
 
 
 def keys(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None) -> DataFrame:
@@ -285,8 +310,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, several = None, False
-        for batch in batches:
-            rows = columns_of(batch)
+        for rows in together(batches):
             done = rows[1] >= DONE
             if done.any():
                 yield as_batch([c[done] for c in rows], KEY_ORDER).select(["kind", "d", "row", "line"])
@@ -343,8 +367,7 @@ def one_edit(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for batch in batches:
-            rows = columns_of(batch)
+        for rows in together(batches):
             done = rows[2] == SETTLED
             if done.any():
                 yield as_batch([c[done] for c in rows], VARIANT_ORDER).select(["d", "row", "line"])
@@ -438,8 +461,12 @@ def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame
     """(d, row, line), staged: ``near`` and the ``run_lines`` that are within their bound of an earlier one."""
     place = F.struct(*AT)
     each = lines.select(*AT, "n", *BITS, F.explode(F.array_distinct("keys")).alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    each = stage(each.join(shared, "key"), "run-keys")
+    shared = stage(each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "shared-runs")
+    release(lines.sparkSession)
+    bits = bloom.bits_for(shared.count())
+    words = stage(bloom.build(shared.select("key"), "key", bits), "run-filter")
+    maybe = bloom.tested(each, F.col("key"), words, bits, "maybe").filter("maybe").drop("maybe")  # few keys of one line are shuffled
+    each = stage(maybe.join(shared, "key"), "run-keys")
     release(lines.sparkSession)
 
     def partner(rows: DataFrame) -> DataFrame:
@@ -454,6 +481,7 @@ def several_edits(lines: DataFrame, near: DataFrame, per_edit: int) -> DataFrame
         return met.select(*AT, *[f"p_{c}" for c in AT], bound.alias("bound")).distinct()
 
     def settled(pairs: DataFrame, near: DataFrame) -> DataFrame:
+        release(lines.sparkSession)
         own = lines.select(*AT, "words")
         other = lines.select(*[F.col(c).alias(f"p_{c}") for c in AT], F.col("words").alias("p_words"))
         met = pairs.join(own, list(AT)).join(other, [f"p_{c}" for c in AT])
@@ -490,8 +518,9 @@ def line_drops(
         near = stage(one_edit(variants(asked.filter("size(halves) > 0").select("d", "row", "text", "halves"))).distinct(), "near-lines")
         release(docs.sparkSession)
         if per_edit:
-            long = run_lines(asked.filter("size(runs) > 0").select("d", "row", "text", "runs"), per_edit)
-            near = several_edits(stage(long, "run-lines"), near, per_edit)
+            long = stage(run_lines(asked.filter("size(runs) > 0").select("d", "row", "text", "runs"), per_edit), "run-lines")
+            discard(asked)
+            near = several_edits(long, near, per_edit)
         drops = told.select("d", "row", F.explode("drop").alias("line")).unionByName(near)
         return stage(drops.groupBy("d", "row").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops", keep=True)
 
