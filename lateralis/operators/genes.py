@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lateralis.functions import sequences
+from lateralis.session import dealt
 
 
 def assign_clusters(genes: DataFrame, members: DataFrame) -> DataFrame:
@@ -22,12 +23,15 @@ def assign_clusters(genes: DataFrame, members: DataFrame) -> DataFrame:
 
 def cluster_sequences(members: DataFrame, seqs: DataFrame) -> DataFrame:
     """(cluster, gene_id, seq): the sequences of each cluster, null where a gene has none."""
-    return members.select("cluster", "gene_id").distinct().join(seqs.select("gene_id", "seq"), "gene_id", "left").select("cluster", "gene_id", "seq")
+    n = members.count()
+    rows = dealt(members.select("cluster", "gene_id"), n, "gene_id").distinct()
+    return rows.join(dealt(seqs.select("gene_id", "seq"), n, "gene_id"), "gene_id", "left").select("cluster", "gene_id", "seq")
 
 
 def incomplete_clusters(rows: DataFrame) -> DataFrame:
     """(cluster, n_ids, n_seqs) of clusters whose ids and sequences differ in number."""
-    n = rows.groupBy("cluster").agg(F.countDistinct("gene_id").alias("n_ids"), F.count("seq").alias("n_seqs"))
+    each = rows.groupBy("cluster", "gene_id").agg(F.count("seq").alias("n"))
+    n = each.groupBy("cluster").agg(F.count("gene_id").alias("n_ids"), F.sum("n").alias("n_seqs"))
     return n.filter("n_ids <> n_seqs")
 
 
