@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lateralis.operators.statistics import sums_before
+from lateralis.session import dealt
 
 COLUMNS = ["edge", "parent_edge", "is_tip", "length"]
 
@@ -165,10 +166,19 @@ def zero_outgroup(states: DataFrame, tips: DataFrame) -> DataFrame:
     return marked.withColumn("state", F.when(F.col("__out__"), F.lit(0)).otherwise(F.col("state"))).drop("__out__")
 
 
-def ancestors_before(closure: DataFrame, gains: DataFrame) -> DataFrame:
-    """(edge, anc, depth): each edge and the way to the root, up to but without the next gain edge above it."""
-    stop = closure.filter("depth > 1").join(gains.select(F.col("edge").alias("anc")).distinct(), "anc", "left_semi").groupBy("edge").agg(F.min("depth").alias("stop"))
-    return closure.join(stop, "edge", "left").filter("stop IS NULL OR depth < stop").select("edge", "anc", "depth")
+def ancestors_before(closure: DataFrame, gains: DataFrame, features: DataFrame) -> DataFrame:
+    """(feature, edge, anc, depth): for each of ``features`` each edge and the way to the root, up to but without the next gain edge above it.
+
+    ``gains``: feature, edge. ``closure`` is read thrice, so it should be cut; it meets the gains of all features at once.
+    """
+    n = closure.count()
+    marks = dealt(gains.select(F.col("edge").alias("anc"), "feature").distinct(), n, "anc")
+    met = dealt(closure.filter("depth > 1"), n, "anc").join(marks, "anc").select("edge", "feature", "depth")
+    stops = dealt(met, n, "edge").groupBy("edge", "feature").agg(F.min("depth").alias("stop"))
+    stops = stops.groupBy("edge").agg(F.map_from_entries(F.collect_list(F.struct("feature", "stop"))).alias("stops"))
+    rows = dealt(closure, n, "edge").join(stops, "edge", "left").crossJoin(F.broadcast(features.select("feature")))  # a row of the result each
+    stop = F.try_element_at("stops", F.col("feature"))
+    return rows.filter(stop.isNull() | (F.col("depth") < stop)).select("feature", "edge", "anc", "depth")
 
 
 def nearest_label(labels: DataFrame, closure: DataFrame) -> DataFrame:
