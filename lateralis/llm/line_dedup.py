@@ -19,8 +19,9 @@ of their words (k edits change at most 2k bits), are verified word by word: firs
 earliest of its partners, then those that this does not settle with the others.
 
 How it runs: keys are combined in the task that makes them (per key and line only the earliest place
-goes on, and what it settles is settled), dealt by key, sorted, and read in batches with one row
-carried over, so a key that all documents share is a row per task and memory does not grow with it.
+goes on, and what it settles is settled), so a key that all documents share is a row per task. Keys of
+lines are dealt packed, by ranges that grow in number with the documents, and a task reads some ranges at
+a time; variants are dealt by key, sorted, and read in batches with one row carried over.
 """
 
 from __future__ import annotations
@@ -37,14 +38,15 @@ from pyspark.sql.functions import arrow_udf
 
 from lateralis.llm import bloom
 from lateralis.llm.shared import discard, named, release, scratch, smaller_batches, stage
-from lateralis.llm.wordhash import BASE, LOWER, PLACE, blocks, buffers, mix, powers, runs, words_of
+from lateralis.llm.wordhash import BASE, LOWER, PLACE, Words, blocks, buffers, mix, powers, runs, words_of
 
 SECOND = np.uint64(0x9E6C63D0876A9A47)
 #: Rows of keys that a task combines at once.
 COMBINED_ROWS = 400_000
 #: Rows of sorted keys that are read at once.
 READ_ROWS = 50_000
-KEY_TYPE = "key long, kind int, other long, d long, row long, line int"
+#: Documents, on average, whose keys of lines are one range, and the fewest ranges.
+RANGE_DOCUMENTS, LEAST_RANGES = 4096, 1024
 VARIANT_TYPE = "key long, other long, place int, d long, row long, line int"
 RUN_TYPE = (
     "d long, row long, line int, n int, words string, b0 long, b1 long, b2 long, b3 long, "
@@ -191,9 +193,8 @@ def last_true(marks: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(at)
 
 
-def met_keys(rows: Rows, shared: bool = False) -> tuple[Rows, Rows, bool]:
-    """Of rows sorted by ``KEY_ORDER``: what can be said already, the earliest row per key and line, and whether
-    the last key has several lines. ``shared``: the first key had several lines before.
+def met_keys(rows: Rows) -> tuple[Rows, Rows]:
+    """Of rows sorted by ``KEY_ORDER``: what can be said already, and the earliest row per key and line.
 
     A whole line that is not the earliest is said to be DONE + WHOLE; the earliest place of each line that
     has a half or run in common with another line DONE + HALF or DONE + RUN.
@@ -202,12 +203,11 @@ def met_keys(rows: Rows, shared: bool = False) -> tuple[Rows, Rows, bool]:
     group, line = starts_of(key, kind), starts_of(key, kind, other)
     number = np.cumsum(group) - 1
     several = np.bincount(number, weights=line) > 1
-    several[0] |= shared
     repeat = (kind == WHOLE) & before(rows, last_true(line), np.arange(len(key)))
     told = np.flatnonzero(repeat | ((kind != WHOLE) & line & several[number]))
     said, kept = [c[told] for c in rows], np.flatnonzero(line)
     said[1] = said[1] + DONE
-    return said, [c[kept] for c in rows], bool(several[-1])
+    return said, [c[kept] for c in rows]
 
 
 def met_variants(rows: Rows) -> tuple[Rows, Rows]:
@@ -225,6 +225,10 @@ def met_variants(rows: Rows) -> tuple[Rows, Rows]:
 
 
 KEY_ORDER = ["key", "kind", "other", "d", "row", "line"]
+#: How the columns of keys are packed: as what, and cut into parts of what, so that parts that are mostly equal stand together.
+PACKED = {"key": ("<i8", "<u2"), "kind": ("u1", "u1"), "other": ("<i8", "<u2"), "d": ("<i8", "<u2"), "row": ("<i8", "<u2"), "line": ("<i4", "u1")}
+PACKED_NAMES = [f"{c}{i}" for c, (whole, part) in PACKED.items() for i in range(np.dtype(whole).itemsize // np.dtype(part).itemsize)]
+PACKED_TYPE = ", ".join(["at int", *[f"{c} binary" for c in PACKED_NAMES]])
 VARIANT_ORDER = ["key", "other", "place", "d", "row", "line"]
 
 
@@ -232,6 +236,53 @@ def as_batch(rows: Rows, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
 
 
+def packed(rows: Rows, bits: int) -> pa.RecordBatch:
+    """Rows of keys that are sorted by key as one row for each range: the first ``bits`` bits of the key, and the columns in parts."""
+    at = rows[0] >> (64 - bits)
+    first = np.flatnonzero(starts_of(at))
+    bounds = np.append(first, len(at))
+    columns = [pa.array(at[first].astype(np.int32))]
+    for column, (whole, part) in zip(rows, PACKED.values(), strict=True):
+        parts = np.ascontiguousarray(column.astype(whole)).view(part).reshape(len(at), -1)
+        offsets = pa.py_buffer((bounds * parts.itemsize).astype(np.int32))
+        columns += [pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))]) for x in parts.T]
+    return pa.RecordBatch.from_arrays(columns, ["at", *PACKED_NAMES])
+
+
+def unpacked(table: pa.Table) -> Rows:
+    """The rows of keys of ``packed`` ones."""
+    parts = {}
+    for name in PACKED_NAMES:
+        column = pa.concat_arrays(table.column(name).chunks).cast(pa.binary())
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[[column.offset, column.offset + len(column)]]
+        parts[name] = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0]:ends[1]]
+    out = []
+    for c, (whole, part) in PACKED.items():
+        found = [parts[name].view(part) for name in PACKED_NAMES if name.rstrip("0123456789") == c]
+        out.append(np.column_stack(found).view(whole).ravel())
+    out[1] = out[1].astype(np.int32)
+    return out
+
+
+def whole_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    """The rows of keys of ``packed`` ones that are sorted by range, of some whole ranges at a time, in order of all columns."""
+    held, size = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+        size += np.asarray(pc.binary_length(batch.column(2))).sum() // 2
+        at = held.column("at").to_numpy()
+        if size >= COMBINED_ROWS and at[0] != at[-1]:
+            last = int(np.searchsorted(at, at[-1]))  # more of this range may come
+            rows, held = unpacked(held.slice(0, last)), held.slice(last)
+            size -= len(rows[0])
+            yield [c[order] for order in [order_of(rows)] for c in rows]
+    if held is not None:
+        rows = unpacked(held)
+        yield [c[order] for order in [order_of(rows)] for c in rows]
+
+
 def order_of(rows: Rows) -> np.ndarray:
     """The order of the rows by all their columns; most differ in the first, only the others are compared further."""
     at = np.argsort(rows[0])
@@ -255,7 +306,7 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         yield columns_of(pa.Table.from_batches(held))
 
 
-def combined(parts: Iterator[Rows], meet: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+def combined(parts: Iterator[Rows], meet: Callable, sent: Callable[[Rows], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a task sends: per ``COMBINED_ROWS`` rows, what is settled there and the earliest of the rest."""
     held, size = [], 0
 
@@ -263,7 +314,8 @@ def combined(parts: Iterator[Rows], meet: Callable, names: list[str]) -> Iterato
         rows = [np.concatenate(c) for c in zip(*held, strict=True)]
         at = order_of(rows)
         for out in meet([c[at] for c in rows])[:2]:
-            yield as_batch(out, names)
+            if len(out[0]):
+                yield sent(out)
 
     for rows in parts:
         held.append(rows)
@@ -279,8 +331,11 @@ def columns_of(table: pa.Table) -> Rows:
     return [c.to_numpy() for c in table.columns]
 
 
-def keys(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None) -> DataFrame:
-    """``KEY_TYPE``: the keys of all lines. ``docs`` has d, row, text."""
+def keys(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None, bits: int) -> DataFrame:
+    """``PACKED_TYPE``: the keys of all lines. ``docs`` has d, row, text.
+
+    Keys of halves and runs, and the line beside them, are cut to 48 bits to have less to shuffle: they only say which lines are looked at."""
+    cut = np.int64(-1 << 16)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for batch in blocks(batches):
@@ -298,33 +353,27 @@ def keys(docs: DataFrame, min_words: int, near_words: int, per_edit: int | None)
                 key, owner = run_keys(h, first[long], last[long], per_edit)
                 found.append((key, long[owner], None, RUN))
             for key, owner, other, kind in found:
-                yield [
-                    key.view(np.int64), np.full(len(key), kind, dtype=np.int32), (h1[owner] if other is None else other).view(np.int64),
-                    d[owner], row[owner], number[owner].astype(np.int32)]
+                key, other = key.view(np.int64), (h1[owner] if other is None else other).view(np.int64)
+                if kind != WHOLE:
+                    key, other = key & cut, other & cut
+                yield [key, np.full(len(key), kind, dtype=np.int32), other, d[owner], row[owner], number[owner].astype(np.int32)]
 
-    return docs.mapInArrow(lambda batches: combined(emit(batches), met_keys, KEY_ORDER), KEY_TYPE)
+    return docs.mapInArrow(lambda batches: combined(emit(batches), met_keys, lambda rows: packed(rows, bits)), PACKED_TYPE)
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """(kind, d, row, line): DONE + WHOLE for lines that repeat an earlier one, DONE + HALF or RUN for lines that share one."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, several = None, False
-        for rows in together(batches):
+        for rows in whole_ranges(batches):
             done = rows[1] >= DONE
-            if done.any():
-                yield as_batch([c[done] for c in rows], KEY_ORDER).select(["kind", "d", "row", "line"])
-                rows = [c[~done] for c in rows]
-            if not len(rows[0]):
-                continue
-            if carry is not None:
-                several = several and carry[0][0] == rows[0][0] and carry[1][0] == rows[1][0]
-                rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
-            said, kept, several = met_keys(rows, several)
-            carry = [c[-1:] for c in kept]
-            yield as_batch(said, KEY_ORDER).select(["kind", "d", "row", "line"])
+            told = [[c[done] for c in rows]]
+            if not done.all():
+                told.append(met_keys([c[~done] for c in rows])[0])
+            for said in told:
+                yield as_batch(said, KEY_ORDER).select(["kind", "d", "row", "line"])
 
-    return rows.repartition("key").sortWithinPartitions(*KEY_ORDER).mapInArrow(read, "kind int, d long, row long, line int")
+    return rows.repartition("at").sortWithinPartitions("at").mapInArrow(read, "kind int, d long, row long, line int")
 
 
 def asked_lines(texts: pa.Array, asked: pa.Array):
@@ -359,7 +408,7 @@ def variants(docs: DataFrame) -> DataFrame:
                 hashes[0].view(np.int64), hashes[1].view(np.int64), place.astype(np.int32), d[text[line]],
                 row[text[line]], number[line].astype(np.int32)]
 
-    return docs.mapInArrow(lambda batches: combined(emit(batches), met_variants, VARIANT_ORDER), VARIANT_TYPE)
+    return docs.mapInArrow(lambda batches: combined(emit(batches), met_variants, lambda rows: as_batch(rows, VARIANT_ORDER)), VARIANT_TYPE)
 
 
 def one_edit(rows: DataFrame) -> DataFrame:
@@ -430,18 +479,43 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return within(a, b, 1)
 
 
-def verified(line: Column, partner: Column, bound: Column) -> Column:
-    def split(texts: pa.Array) -> list[list[bytes]]:
-        data, _ = buffers(texts)
-        low, words = LOWER[data], words_of(texts)
-        found = [low[s:e].tobytes() for s, e in zip(words.starts, words.ends, strict=True)]
-        return [found[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
+def common_words(a: Words, b: Words) -> np.ndarray:
+    """How many words text i of a and text i of b have in common, each as often as both have it; rather more than fewer, as words
+    are told apart by a part of their hash."""
+    n = len(a.ptr) - 1
+    bits = np.uint64(max(n, 2).bit_length())
+    mixed = [(x.text_of().astype(np.uint64) << (np.uint64(64) - bits)) | (x.hashes >> bits) & ~np.uint64(1) | np.uint64(side) for side, x in enumerate((a, b))]
+    rows = np.sort(np.concatenate(mixed))
+    word = rows >> np.uint64(1)
+    first = np.flatnonzero(starts_of(word))
+    if not len(first):
+        return np.zeros(n, dtype=np.int64)
+    size = np.diff(np.append(first, len(rows)))
+    right = np.add.reduceat((rows & np.uint64(1)).astype(np.int64), first)
+    return np.bincount((rows[first] >> (np.uint64(64) - bits)).astype(np.int64), weights=np.minimum(right, size - right), minlength=n).astype(np.int64)
+
+
+def words_at(low: bytes, words: Words, i: int) -> list[bytes]:
+    at = slice(words.ptr[i], words.ptr[i + 1])
+    return [low[s:e] for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
+
+
+def near_pairs(line: pa.Array, partner: pa.Array, bound: np.ndarray) -> np.ndarray:
+    """Which pairs are within their bounds. Most pairs have too few words in common, which is seen for all at once."""
+    a, b = words_of(line), words_of(partner)
+    n, m = np.diff(a.ptr), np.diff(b.ptr)
+    out = common_words(a, b) >= np.maximum(n, m) - bound
+    low = [LOWER[buffers(texts)[0]].tobytes() for texts in (line, partner)]
+    for i in np.flatnonzero(out).tolist():
+        out[i] = within(words_at(low[0], a, i), words_at(low[1], b, i), int(bound[i]))
+    return out
 
-    def near_pairs(line: pa.Array, partner: pa.Array, bound: pa.Array) -> pa.Array:
-        both = zip(split(line), split(partner), bound.to_pylist(), strict=True)
-        return pa.array([within(a, b, k) for a, b, k in both], pa.bool_())
 
-    return arrow_udf(near_pairs, "boolean")(line, partner, bound)
+def verified(line: Column, partner: Column, bound: Column) -> Column:
+    def near(line: pa.Array, partner: pa.Array, bound: pa.Array) -> pa.Array:
+        return pa.array(near_pairs(line, partner, bound.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    return arrow_udf(near, "boolean")(line, partner, bound)
 
 
 AT = ("d", "row", "line")
@@ -504,7 +578,8 @@ def line_drops(
     smaller_batches(docs.sparkSession)
     texts = docs.select(F.col("__d__").alias("d"), F.col("__row__").alias("row"), F.coalesce(named(text), F.lit("")).alias("text"))
     with scratch(docs.sparkSession):
-        found = stage(shared_keys(keys(texts, min_words, near_words, per_edit)), "line-keys")
+        ranges = max(LEAST_RANGES, texts.count() // RANGE_DOCUMENTS)
+        found = stage(shared_keys(keys(texts, min_words, near_words, per_edit, (ranges - 1).bit_length())), "line-keys")
         release(docs.sparkSession)
 
         def lines(kind: int) -> Column:
