@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lateralis.operators.tree import block_roots as block_roots_of
+
 #: Rate at which the search begins, as in the usual maximisers, and bounds of rates.
 START, LEAST, MOST = 0.1, 1e-8, 1e4
 #: Likelihoods up to this count as none.
@@ -36,12 +38,8 @@ def chances(t: Column, gain: Column, loss: Column) -> list[list[Column]]:
 def with_blocks(edges: DataFrame, closure: DataFrame) -> tuple[DataFrame, int]:
     """(edge, parent_edge, length, level, block) and the level of the blocks' roots: the first below which all subtrees have up to
     ``BLOCK`` edges. Edges above that level are their own block. The level is 0 without edges."""
-    depth = closure.groupBy("edge").agg(F.max("depth").alias("level"))
-    size = closure.groupBy(F.col("anc").alias("edge")).agg(F.count(F.lit(1)).alias("n"))
-    largest = depth.join(size, "edge").groupBy("level").agg(F.max("n").alias("n"))
-    top = largest.filter(F.col("n") <= BLOCK).agg(F.min("level")).first()[0] or 0
-    at = closure.join(depth, "edge").filter(F.col("level") - F.col("depth") + 1 == F.least("level", F.lit(top)))
-    return edges.select("edge", "parent_edge", "length").join(at.select("edge", "level", F.col("anc").alias("block")), "edge"), top
+    at, top = block_roots_of(closure, BLOCK)
+    return edges.select("edge", "parent_edge", "length").join(at, "edge"), top
 
 
 class Block:
