@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -114,6 +114,77 @@ def block_moments(vectors: DataFrame, classes: int) -> DataFrame:
     return m.select("same", "n", mean.alias("mean"), F.sqrt(F.try_divide(F.greatest(F.col("s2") - n * mean * mean, F.lit(0.0)), n - 1)).alias("sd"))
 
 
+def in_strips(vectors: DataFrame, fold: Callable, schema: str, digits: int = 6, size: int = 4096, cells: int = 1 << 20) -> DataFrame:
+    """Rows of ``fold(a, b, d)`` for some vectors a of a label against all of that label, with ``label``.
+
+    ``vectors``: label, id, vector, taken (whether it is to be an a) and what else ``fold`` needs. ``a`` and ``b``: frames of these
+    columns, the largest id first; ``d``: their rounded distances, NaN between equal ids. A task has some ``size`` vectors as a's, of
+    which ``fold`` gets as many at once as make up to ``cells`` distances, so no row per pair leaves it.
+    """
+    v = vectors.filter("label IS NOT NULL AND id IS NOT NULL")
+    parts = v.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    v = v.join(parts, "label").withColumn("own", F.pmod(F.xxhash64("id"), "parts")).withColumn("strip", F.explode(F.expr("sequence(0, parts - 1)")))
+    v = v.withColumn("taken", F.col("taken") & (F.col("own") == F.col("strip"))).drop("own", "parts")
+
+    def one(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = pd.concat(list(frames)).sort_values("id", ascending=False, ignore_index=True)
+        x, ids, taken = np.stack(b.pop("vector").to_numpy()).astype(float), b["id"].to_numpy(), np.flatnonzero(b["taken"])
+        for k in np.array_split(taken, -(-len(taken) * len(b) // cells)) if len(taken) else []:
+            d = rounded_distances(x[k], x, digits)
+            d[ids[k][:, None] == ids[None, :]] = np.nan
+            made = fold(b.iloc[k], b, d)
+            made.insert(0, "label", key[0])
+            yield made
+
+    return v.groupBy("label", "strip").applyInPandas(one, f"label {dict(vectors.dtypes)['label']}, {schema}")
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as DuckDB does, by the scaled value and not by its shortest decimal."""
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def row_numbers(d: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+    """Per row of d without its NaN: how many, smallest, mean, largest and the ``shares`` with linear interpolation. Means are of sums one after the other."""
+    n = (~np.isnan(d)).sum(axis=1)
+    if not d.shape[1]:
+        return np.column_stack([n, *[np.full(len(d), np.nan)] * (3 + len(shares))])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.cumsum(np.nan_to_num(d), axis=1)[:, -1] / n
+    place = np.maximum(n - 1, 0)[:, None] * np.array([0.0, *shares, 1.0])
+    low, high = np.floor(place).astype(int), np.ceil(place).astype(int)
+    at = np.unique([low, high])
+    d = np.partition(d, at, axis=1) if len(at) <= 16 else np.sort(d, axis=1)
+    x, y = np.take_along_axis(d, low, axis=1), np.take_along_axis(d, high, axis=1)
+    q = np.where((low == high) | (x == y), x, (high - place) * x + (place - low) * y)
+    return np.column_stack([n, q[:, 0], mean, q[:, -1], q[:, 1:-1]])
+
+
+def strip_numbers(vectors: DataFrame, shares: dict[str, float], digits: int = 6, size: int = 4096) -> DataFrame:
+    """(label, a, grp, and in_ and out_ n, min, mean, max and ``shares``): distances within one label to a's own grp and to the others,
+    rounded to six digits; null without such a vector. A null grp is neither a's own nor another.
+
+    ``vectors``: label, id, vector, grp, taken, as for ``in_strips``; each row taken makes one of the result.
+    """
+    names = [f"{g}_{n}" for g in ("in", "out") for n in ("n", "min", "mean", "max", *shares)]
+    kinds = dict(vectors.dtypes)
+
+    def rows(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        code, _ = pd.factorize(b["grp"])
+        own, out = code[a.index], np.full((len(a), len(names)), np.nan)
+        out[:, [0, len(names) // 2]] = 0
+        for g in np.unique(own[own >= 0]):
+            here, same = np.flatnonzero(own == g), code == g
+            out[here] = np.hstack([row_numbers(d[here][:, c], tuple(shares.values())) for c in (same, ~same & (code >= 0))])
+        made = pd.DataFrame(half_up(out, 6), columns=names)
+        made.insert(0, "a", a["id"].to_numpy())
+        made.insert(1, "grp", a["grp"].to_numpy())
+        return made
+
+    found = in_strips(vectors, rows, f"a {kinds['id']}, grp {kinds['grp']}, " + ", ".join(f"{n} double" for n in names), digits, size)
+    return found.select("label", "a", "grp", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+
+
 def nearest(dist: DataFrame, a: str = "a", d: str = "dist") -> DataFrame:
     """Rows at each a's smallest distance, ties kept."""
     return dist.withColumn("__r__", F.rank().over(W.partitionBy(a).orderBy(d))).filter("__r__ = 1").drop("__r__")
