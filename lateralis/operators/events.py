@@ -6,10 +6,13 @@ lacks the cluster), status (1 transfer, 2 importation, null unknown), and column
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lateralis.operators import distances
 from lateralis.operators.statistics import label_permutations
 
 
@@ -179,6 +182,29 @@ def long_pairs(pairs: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.join(shares, "a").select("a", "b", "dist", (F.col("sa") == F.col("sb")).alias("same_state"), flag.alias("same_facility"))
 
 
+def label_pairs(vectors: DataFrame) -> DataFrame:
+    """``long_pairs`` of the distances within each label, made where the distances are: no pair is shuffled.
+
+    ``vectors``: label, id, vector, state, facility. Whether an isolate shares its facility with another is counted per label and facility.
+    """
+    v = vectors.filter("label IS NOT NULL AND id IS NOT NULL")
+    met = v.groupBy("label", "facility").agg(F.countDistinct("id").alias("n")).filter("n > 1 AND facility IS NOT NULL").drop("n")
+    shared = v.join(met, ["label", "facility"], "left_semi").select("id").distinct().withColumn("shares", F.lit(True))
+    v = v.join(shared, "id", "left").withColumn("shares", F.coalesce("shares", F.lit(False))).withColumn("taken", F.lit(True))
+
+    def rows(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        ids = b["id"].to_numpy()
+        i, j = np.nonzero(ids[a.index][:, None] != ids[None, :])
+        state, facility = (pd.factorize(b[c])[0] for c in ("state", "facility"))
+        shares, at = a["shares"].to_numpy(), a.index.to_numpy()[i]
+        same, known = state[at] == state[j], (state[at] >= 0) & (state[j] >= 0)
+        place = (facility[at] == facility[j]) & (facility[at] >= 0)
+        return pd.DataFrame({"a": ids[at], "b": ids[j], "dist": d[i, j], "same_state": pd.arrays.BooleanArray(same, ~known), "same_facility": pd.arrays.BooleanArray(place, ~shares[i])})
+
+    kind = dict(vectors.dtypes)["id"]
+    return distances.in_strips(v, rows, f"a {kind}, b {kind}, dist double, same_state boolean, same_facility boolean").drop("label")
+
+
 def indicator_features(meta: DataFrame, genome: str, columns: list[str], least: int = 1) -> DataFrame:
     """(genome, feature): "column=value" of each isolate, for values that ``least`` isolates or more have."""
     parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns]
