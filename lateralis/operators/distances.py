@@ -185,6 +185,96 @@ def strip_numbers(vectors: DataFrame, shares: dict[str, float], digits: int = 6,
     return found.select("label", "a", "grp", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
 
 
+#: Values of one chunk of a histogram, and how far a task counts them in one array.
+CHUNK, DENSE = 1 << 16, 1 << 24
+
+
+def pair_histogram(vectors: DataFrame, digits: int = 6, size: int = 4096, cells: int = 1 << 20) -> DataFrame:
+    """(label, chunk, n, low, high, total, codes, counts): how often each rounded distance occurs among the pairs a < b of a label.
+
+    A distance is the whole number ``code`` by ``10 ** digits``, and a chunk has codes of a range of ``CHUNK``: their distinct values in
+    order, how often each occurs (both packed), all of them, the smallest, the largest and the sum. Pairs are counted within a task for
+    two blocks of vectors and added up by chunk, so no row per pair arises.
+    """
+    v = vectors.filter("label IS NOT NULL AND id IS NOT NULL").select("label", "id", "vector")
+    parts = v.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    v = v.join(parts, "label").withColumn("block", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    v = v.select("label", "id", "vector", "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"))
+    label = dict(vectors.dtypes)["label"]
+
+    def packed(label, codes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        """A row per chunk of distinct codes in order."""
+        at = np.flatnonzero(np.diff(codes // CHUNK, prepend=-1))
+        ends = [*at[1:], len(codes)][: len(at)]
+        rows = [(codes[i] // CHUNK, (codes[i:k] % CHUNK).astype(np.uint16).tobytes(), counts[i:k].astype(np.int64).tobytes()) for i, k in zip(at, ends, strict=True)]
+        made = pd.DataFrame(rows, columns=["chunk", "codes", "counts"])
+        made.insert(0, "label", label)
+        return made
+
+    def counted(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames), ignore_index=True)
+        x, ids = np.stack(pdf["vector"].to_numpy()).astype(float), pdf["id"].to_numpy()
+        left, right = (np.flatnonzero(pdf["block"] == k) for k in key[1:])
+        if not len(left) or not len(right):
+            return
+        most = 2 * np.nan_to_num(np.sqrt((x * x).sum(axis=1)), posinf=np.inf).max() * 10.0**digits + 2
+        dense = np.zeros(int(most) + 1, np.int64) if most < DENSE else None
+        for k in np.array_split(left, -(-len(left) * len(right) // cells)):
+            d = rounded_distances(x[k], x[right], digits)
+            d = d[ids[k][:, None] < ids[right][None, :] if key[1] == key[2] else ~np.isnan(d)]
+            codes = np.rint(d[~np.isnan(d)] * 10.0**digits).astype(np.int64)
+            if dense is None:
+                yield packed(key[0], *np.unique(codes, return_counts=True))
+            else:
+                found = np.bincount(codes)
+                dense[: len(found)] += found
+        if dense is not None:
+            yield packed(key[0], np.flatnonzero(dense), dense[dense > 0])
+
+    def added(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(CHUNK, np.int64)
+        for pdf in frames:
+            for codes, counts in zip(pdf["codes"], pdf["counts"], strict=True):
+                n[np.frombuffer(codes, np.uint16)] += np.frombuffer(counts, np.int64)
+        at = np.flatnonzero(n)
+        codes, n = at + int(key[1]) * CHUNK, n[at]
+        row = (*key, int(n.sum()), codes[0], codes[-1], float(sum(map(int, codes * n.astype(object)))), at.astype(np.uint16).tobytes(), n.tobytes())
+        yield pd.DataFrame([row], columns=["label", "chunk", "n", "low", "high", "total", "codes", "counts"])
+
+    rows = v.groupBy("label", "lower", "upper").applyInPandas(counted, f"label {label}, chunk long, codes binary, counts binary")
+    return rows.groupBy("label", "chunk").applyInPandas(added, f"label {label}, chunk long, n long, low long, high long, total double, codes binary, counts binary")
+
+
+def block_five_numbers(vectors: DataFrame, cut, digits: int = 6, size: int = 4096) -> DataFrame:
+    """(label, min, q1, median, mean, q3, max): distances of the pairs a < b of each label, with linear interpolation, from their histogram."""
+    chunks = cut(pair_histogram(vectors, digits, size))
+    whole = chunks.groupBy("label").agg(F.sum("n").alias("all"), F.min("low").alias("min"), F.max("high").alias("max"), F.sum("total").alias("total"))
+    before = F.sum("n").over(W.partitionBy("label").orderBy("chunk")) - F.col("n")
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    place = {k: (F.col("all") - 1) * F.lit(p) for k, p in shares.items()}
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil)]))
+    rows = chunks.withColumn("before", before).join(whole.select("label", ranks.alias("ranks")), "label")
+    rows = rows.withColumn("rank", F.explode("ranks")).filter("rank >= before AND rank < before + n")  # one chunk each
+    rows = rows.select("label", "rank", (F.col("rank") - F.col("before")).alias("at"), "chunk", "codes", "counts")
+
+    def value(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [np.frombuffer(c, np.uint16)[np.searchsorted(np.cumsum(np.frombuffer(n, np.int64)), at, side="right")] for c, n, at in zip(pdf["codes"], pdf["counts"], pdf["at"], strict=True)]
+            yield pdf[["label", "rank"]].assign(value=(np.array(found, np.int64) + pdf["chunk"].to_numpy() * CHUNK) / 10.0**digits)
+
+    values = rows.mapInPandas(value, f"label {dict(vectors.dtypes)['label']}, rank long, value double")
+    values = values.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("v"))
+    scale = 10.0**digits
+
+    def share(p: Column) -> Column:
+        x, y = F.col("v")[F.floor(p)], F.col("v")[F.ceil(p)]
+        return F.when(x == y, x).otherwise((F.ceil(p) - p) * x + (p - F.floor(p)) * y)
+
+    q = {k: share(p).alias(k) for k, p in place.items()}
+    return whole.join(values, "label").select(
+        "label", (F.col("min") / scale).alias("min"), q["q1"], q["median"], (F.col("total") / F.col("all") / scale).alias("mean"), q["q3"], (F.col("max") / scale).alias("max"))
+
+
 def nearest(dist: DataFrame, a: str = "a", d: str = "dist") -> DataFrame:
     """Rows at each a's smallest distance, ties kept."""
     return dist.withColumn("__r__", F.rank().over(W.partitionBy(a).orderBy(d))).filter("__r__ = 1").drop("__r__")
